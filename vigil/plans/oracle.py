@@ -119,4 +119,8 @@ def with_tables(sql: str, *names: str) -> str:
         add(n)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in order) + "\n" + sql
+    head = "WITH " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in order)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return head + ",\n" + body[5:]
+    return head + "\n" + body
