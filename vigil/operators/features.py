@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vigil import rules
 from vigil.functions import scalars as S
 from vigil.operators import windows as W
+from vigil.session import ensure_checkpoint_dir
 
 
 # M1 ----------------------------------------------------------------------------
@@ -124,14 +125,26 @@ def assemble(df: DataFrame, features: list[str] | None = None, scaled: bool = Tr
     return df.select(*[c for c in ("id", "timestamp", "pid", "user_name", "command") if c in df.columns], *cols)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared checkpoint directory
+    (``spark.checkpoint.dir``) so later passes neither recompute nor re-plan
+    the chain behind it, and a lost executor does not force a recompute."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def prepare_model_input(process: DataFrame, vocab: DataFrame | None = None,
                         scaler: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """M1 -> M2 -> M3 -> M4: returns (features frame, assembled, vocab, scaler)."""
-    x = behavior_features(preprocess_process(process))
-    vocab = vocab if vocab is not None else fit_vocab(x)
+    """M1 -> M2 -> M3 -> M4: returns (features frame, assembled, vocab, scaler).
+
+    The behaviour features and the final matrix are each read several times
+    (vocabulary, scaler, sampling, scoring, offset), so both are
+    checkpointed once."""
+    x = cut_lineage(behavior_features(preprocess_process(process)))
+    vocab = vocab if vocab is not None else cut_lineage(fit_vocab(x))
     x = encode(x, vocab)
     scaler = scaler if scaler is not None else fit_scaler(x)
-    x = scale(x, scaler)
+    x = cut_lineage(scale(x, scaler))
     return x, assemble(x), vocab, scaler
 
 
