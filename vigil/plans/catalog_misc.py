@@ -189,3 +189,29 @@ def _kmeans(t):
     from vigil.operators.cluster import kmeans_sources
 
     return kmeans_sources(t.network)
+
+
+# -- text parsers over rendered entity rows --------------------------------------------
+
+@query("parse_top", """
+    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS timestamp, pid, user_name, cpu, memory, virt, res, shr, s,
+           time_used, command, sha256(command) AS hashed_command FROM process""", ("process",))
+def _parse_top(t):
+    from vigil.sources.files import parse_top, top_lines_from_process
+
+    return parse_top(top_lines_from_process(t.process))
+
+
+@query("parse_process_csv", """
+    SELECT CAST(date_trunc('second', timestamp) AS TIMESTAMP) AS timestamp, pid, user_name, cpu, memory, virt, res,
+           shr, s, time_used, command, hashed_command FROM process""", ("process",))
+def _parse_process_csv(t):
+    from vigil.sources.files import parse_process_csv
+
+    p = t.process
+    line = F.concat_ws(",", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "pid", "user_name", "cpu", "memory",
+                       "virt", "res", "shr", "s", "time_used", "command", "hashed_command")
+    header = p.limit(1).select(F.lit(",".join(rules.PROCESS_CSV_HEADER)).alias("value"))
+    parsed = parse_process_csv(header.unionByName(p.select(line.alias("value"))))
+    return parsed.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp_ntz"))

@@ -121,6 +121,8 @@ def with_tables(sql: str, *names: str) -> str:
         return sql
     head = "WITH " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in order)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + head[5:] + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return head + ",\n" + body[5:]
     return head + "\n" + body
