@@ -75,18 +75,21 @@ def read_process_csv(spark: SparkSession, path: str) -> DataFrame:
 
 # -- NDJSON events -----------------------------------------------------------------
 
-def read_events_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One JSON object per line; a bad line becomes a row with only
-    ``_corrupt_record`` set; blank lines are skipped."""
+def parse_ndjson(lines: DataFrame, schema: T.StructType | None = None, col: str = "value") -> DataFrame:
+    """Text lines -> envelope rows.  Blank lines are skipped; a line that is
+    not a JSON object keeps its raw text in ``_corrupt_record``."""
     schema = schema or schemas.EVENT_ENVELOPE
-    df = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-        .select("*", "_metadata")
-    )
-    return _ingest_order(df).drop("_metadata")
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = lines.filter(F.trim(F.col(col)) != "")
+    parsed = rows.withColumn("_e", F.from_json(F.col(col), schema, opts))
+    keep = [c for c in rows.columns if c != col]
+    return parsed.select(*keep, "_e.*")
+
+
+def read_events_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """One JSON object per line; never fails a file on a bad line."""
+    lines = _ingest_order(spark.read.text(path).select("value", "_metadata")).drop("_metadata")
+    return parse_ndjson(lines, schema)
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,15 +33,14 @@ DEFAULT_WATERMARK = "10 minutes"
 def stream_events(spark: SparkSession, path: str, schema: T.StructType | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """NDJSON files dropped into ``path`` (each file read once: producers write
-    new files).  Bad lines keep ``_corrupt_record``; ``timestamp`` is typed."""
-    reader = (
-        spark.readStream.schema(schema or schemas.EVENT_ENVELOPE)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-    )
+    new files).  Bad lines keep ``_corrupt_record``; blank lines are skipped;
+    missing ``type`` -> ``unknown``; ``timestamp`` is typed."""
+    from vigil.sources.files import parse_ndjson
+
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.json(path)
+    df = parse_ndjson(reader.text(path), schema)
     return df.withColumns({
         "type": F.coalesce(F.col("type"), F.lit("unknown")),
         "timestamp": F.col("timestamp").try_cast("timestamp"),
