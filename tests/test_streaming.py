@@ -101,7 +101,8 @@ def test_stream_events_route_and_quarantine(spark):
     ev = ST.stream_events(spark, f"{d}/in")
     q = ST.stream_route(ev, f"{d}/out", f"{d}/ck")
     q.awaitTermination()
-    routed = spark.read.json(f"{d}/out")
+    routed = spark.read.json(f"{d}/out/batch=*")
+    assert [r.value for r in spark.read.text(f"{d}/out/_quarantine").collect()] == ["not json"]
     assert sorted(r.type for r in routed.collect()) == ["network_event", "unknown"]
     alerts = _drive(spark, ST.alerts(ST.stream_events(spark, f"{d}/in")))
     assert [r.alert for r in alerts.collect()] == ["ALERT: Suspicious network activity on port 23"]
