@@ -215,3 +215,8 @@ def _parse_process_csv(t):
     parsed = parse_process_csv(header.unionByName(p.select(line.alias("value"))))
     return parsed.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn(
         "timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query("sort_incidents_rank", f"WITH {ASOF_SQL} SELECT * FROM ({INCIDENTS_SQL}) i", NP)
+def _sort_incidents_rank(t):
+    return D.sort_incidents(incidents(t), "rank")

@@ -425,3 +425,40 @@ def _bulk_ip_report(t):
     """, NET)
 def _incident_multi_port(t):
     return D.incident_multi_port(t.network)
+
+
+@query("intel_links", f"""
+    SELECT ip, {', '.join(f"'{base}' || ip AS link_{name.lower()}" for name, base in rules.THREAT_INTEL_SOURCES)}
+    FROM ({IPS_SQL}) i""", NET)
+def _intel_links(t):
+    ips = X.all_ips(t.network, t.commands)
+    links = S.intel_links(F.col("ip"))
+    return ips.select("ip", *[links[n].alias(f"link_{n.lower()}") for n, _ in rules.THREAT_INTEL_SOURCES])
+
+
+@query("validate_ip", f"""
+    SELECT ip, regexp_full_match(ip, '{P.IPV4_RE.strip('^$')}') AS is_valid FROM ({IPS_SQL}) i""", NET)
+def _validate_ip(t):
+    return X.all_ips(t.network, t.commands).select("ip", P.validate_ip(F.col("ip")).alias("is_valid"))
+
+
+@query("union_collector", """
+    SELECT 'suspicious_command' AS type, id, timestamp, user_name, command, CAST(pid AS BIGINT) AS pid,
+           NULL AS file, CAST(NULL AS BIGINT) AS mtime_s, NULL AS cron_file, NULL AS job, NULL AS src_ip,
+           NULL AS dst_ip, CAST(NULL AS INTEGER) AS src_port, CAST(NULL AS INTEGER) AS dst_port, NULL AS flags
+    FROM commands
+    UNION ALL SELECT 'file_event', id, timestamp, NULL, NULL, NULL, file, mtime_s, NULL, NULL, NULL, NULL, NULL, NULL,
+           NULL FROM file_ev
+    UNION ALL SELECT 'cron_event', id, timestamp, NULL, NULL, NULL, NULL, NULL, cron_file, job, NULL, NULL, NULL, NULL,
+           NULL FROM cron
+    UNION ALL SELECT 'network_event', id, timestamp, NULL, NULL, NULL, NULL, NULL, NULL, NULL, src_ip, dst_ip,
+           src_port, dst_port, flags FROM network WHERE COALESCE(src_port IN (22, 23, 80, 443, 8080)
+           OR dst_port IN (22, 23, 80, 443, 8080), FALSE)""", ("commands", "file_ev", "cron", "network"))
+def _union_collector(t):
+    cmds = t.commands.select(F.lit("suspicious_command").alias("type"), "id", "timestamp", "user_name", "command",
+                             F.col("pid").cast("bigint").alias("pid"))
+    files = t.files.select(F.lit("file_event").alias("type"), "id", "timestamp", "file", "mtime_s")
+    cron = t.cron.select(F.lit("cron_event").alias("type"), "id", "timestamp", "cron_file", "job")
+    net = C.filter_suspicious_ports(t.network).select(F.lit("network_event").alias("type"), "id", "timestamp",
+                                                      "src_ip", "dst_ip", "src_port", "dst_port", "flags")
+    return X.union_events(cmds, files, cron, net)

@@ -450,3 +450,43 @@ def _behavior_features(t):
     b = M.behavior_features(M.preprocess_process(t.process))
     cols = [f"{c}_rolling_{k}" for c in rules.ROLLING_FEATURES for k in ("mean", "std")]
     return b.select("id", *[F.round(c, 6).alias(c) for c in cols], "command_frequency")
+
+
+PRE_SQL = """(SELECT *, CAST(hour(timestamp) AS INTEGER) AS hour, CAST(minute(timestamp) AS INTEGER) AS minute,
+   CAST(isodow(timestamp) - 1 AS INTEGER) AS day_of_week,
+   CASE WHEN time_used IS NULL THEN 0.0 ELSE TRY_CAST(split_part(time_used, ':', 1) AS INTEGER) * 60.0
+        + TRY_CAST(split_part(time_used, ':', 2) AS DOUBLE) END AS time_used_seconds,
+   res / (virt + 1e-6) AS mem_ratio FROM process)"""
+
+
+@query("select_features", f"""
+    SELECT cpu, memory, virt, res, shr, time_used_seconds, round(mem_ratio, 9) AS mem_ratio, hour, minute,
+           day_of_week FROM {PRE_SQL} p""", PROC)
+def _select_features(t):
+    return C.select_features(M.preprocess_process(t.process)).withColumn("mem_ratio", F.round("mem_ratio", 9))
+
+
+@query("scale_features", f"""
+    SELECT id, {', '.join(f"round(({c} - (SELECT avg({c}) FROM {PRE_SQL} a)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM {PRE_SQL} b), 6) AS {c}_scaled" for c in rules.SCALED_FEATURES)}
+    FROM {PRE_SQL} p""", PROC)
+def _scale_features(t):
+    p = M.preprocess_process(t.process)
+    out = M.scale(p, M.fit_scaler(p))
+    return out.select("id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in rules.SCALED_FEATURES])
+
+
+@query("hour_command_pivot_sql", """
+    PIVOT (SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, command, cpu FROM process
+           WHERE command IS NOT NULL)
+    ON command USING round(avg(cpu), 6) GROUP BY user_name, hour""", PROC)
+def _hour_command_pivot_sql(t):
+    wide = A.hour_command_pivot(t.process)
+    return wide.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if c not in ("user_name", "hour") else F.col(c)
+                         for c in wide.columns])
+
+
+@query("retrain_168h")
+def _retrain(t):
+    from vigil.plans.flagship import retrain
+
+    return retrain(t.process, rules.TRAIN_HOURS).nodes
