@@ -77,6 +77,22 @@ def _stream_first_seen(t):
     return _run(t, ST.first_seen(proc.select("id", "timestamp", "command"), ["command"]))
 
 
+@query("stream_first_seen_keys", "SELECT DISTINCT command FROM process", ("process",))
+def _stream_first_seen_keys(t):
+    proc = AD.process_from_events(_events_stream(t))
+    return _run(t, ST.first_seen(proc.select("id", "timestamp", "command"), ["command"])).select("command")
+
+
+@query("stream_window_totals", """
+    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, sum(bytes_sent) AS bytes_sent,
+           count(*) AS events FROM network WHERE src_ip IS NOT NULL GROUP BY 1, 2""", ("network",))
+def _stream_window_totals(t):
+    """Complete output mode: every window of the state, exact sums/counts."""
+    net = AD.network_from_events(_events_stream(t)).filter(F.col("src_ip").isNotNull())
+    agg = ST.window_stats(net).select("time_window", "src_ip", "bytes_sent", "events")
+    return _ntz(_run(t, agg, "complete"), "time_window")
+
+
 @query("stream_correlate", f"""
     SELECT p.id AS process_id, p.timestamp AS process_timestamp, p.pid, p.command, n.id, n.timestamp,
            n.src_ip, n.dst_ip, n.dst_port
@@ -99,7 +115,27 @@ def _stream_file_changes(t):
     return _ntz(_run(t, ST.file_changes(files)), "timestamp")
 
 
-@query("stream_cron_diff")
+CRON_STATE_SQL = """
+    WITH RECURSIVE s AS (SELECT DISTINCT cron_file, CAST(snapshot_date AS TIMESTAMP) AS snapshot_ts, job FROM cron),
+    d AS (SELECT cron_file, snapshot_ts, row_number() OVER (PARTITION BY cron_file ORDER BY snapshot_ts) AS rn
+          FROM (SELECT DISTINCT cron_file, snapshot_ts FROM s) x),
+    walk(cron_file, rn, snapshot_ts, prev_state, state) AS (
+      SELECT cron_file, rn, snapshot_ts, CAST(NULL AS TIMESTAMP), snapshot_ts FROM d WHERE rn = 1
+      UNION ALL
+      SELECT d.cron_file, d.rn, d.snapshot_ts, w.state,
+             CASE WHEN EXISTS (SELECT 1 FROM s x WHERE x.cron_file = d.cron_file AND x.snapshot_ts = d.snapshot_ts
+                               AND NOT EXISTS (SELECT 1 FROM s y WHERE y.cron_file = d.cron_file
+                                               AND y.snapshot_ts = w.state AND y.job = x.job))
+                  THEN d.snapshot_ts ELSE w.state END
+      FROM walk w JOIN d ON d.cron_file = w.cron_file AND d.rn = w.rn + 1)
+    SELECT w.cron_file, w.snapshot_ts, x.job FROM walk w JOIN s x ON x.cron_file = w.cron_file
+      AND x.snapshot_ts = w.snapshot_ts
+    WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.cron_file = w.cron_file AND y.snapshot_ts = w.prev_state
+                      AND y.job = x.job)
+"""
+
+
+@query("stream_cron_diff", CRON_STATE_SQL, ("cron",))
 def _stream_cron_diff(t):
     cron = AD.cron_from_events(_events_stream(t))
     lines = cron.select("cron_file", F.col("snapshot_date").cast("timestamp").alias("snapshot_ts"),
@@ -123,7 +159,7 @@ def _stream_throttle(t):
     return _ntz(_run(t, ST.throttle(cmds)), "timestamp")
 
 
-@query("stream_upsert_new")
+@query("stream_upsert_new", "SELECT id, timestamp, pid, command FROM process", ("process",))
 def _stream_upsert_new(t):
     spark = t.spark
     table = shared_dir(spark, "upsert_table")
@@ -132,4 +168,4 @@ def _stream_upsert_new(t):
     q = (proc.writeStream.foreachBatch(ST.upsert_new_rows(table)).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table).drop("batch_id")
+    return spark.read.parquet(table).drop("batch_id").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
