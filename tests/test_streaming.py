@@ -106,3 +106,30 @@ def test_stream_events_route_and_quarantine(spark):
     assert sorted(r.type for r in routed.collect()) == ["network_event", "unknown"]
     alerts = _drive(spark, ST.alerts(ST.stream_events(spark, f"{d}/in")))
     assert [r.alert for r in alerts.collect()] == ["ALERT: Suspicious network activity on port 23"]
+
+
+def test_late_rows_dropped_and_counted(spark):
+    d = tempfile.mkdtemp(prefix="vigil-late-", dir="/tmp")
+    schema = "id long, timestamp timestamp, src_ip string, dst_ip string, dst_port int, bytes_sent long"
+    t0 = dt.datetime(2024, 1, 1, 1, 0)
+    spark.createDataFrame([(1, t0, "a", "b", 1, 10)], schema).write.parquet(f"{d}/in/p1")
+    ck, out = f"{d}/ck", f"{d}/out"
+
+    def run():
+        src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+        q = (ST.window_stats(src).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return q
+
+    run()
+    spark.createDataFrame([(2, t0 - dt.timedelta(hours=1), "a", "b", 1, 10)], schema).write.parquet(f"{d}/in/p2")
+    q = run()
+    assert ST.late_rows(q) == 1
+
+
+def test_size_column(spark):
+    from vigil.operators.features import size_column
+
+    assert size_column(spark.createDataFrame([(1.0, 2.0)], "memory double, cpu double")) == "cpu"
+    assert size_column(spark.createDataFrame([(1,)], "x int")) is None

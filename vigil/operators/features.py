@@ -190,3 +190,11 @@ def rule_merged(t) -> DataFrame:
 
     p = t.process.withColumn("threat_score", S.threat_score(t.process))
     return J.network_behavior_join(p, A.network_window_stats(t.network))
+
+
+SIZE_CANDIDATES = ["bytes_sent", "cpu", "memory", "time_used_seconds"]
+
+
+def size_column(df: DataFrame) -> str | None:
+    """First present column usable as a marker size in the correlation view."""
+    return next((c for c in SIZE_CANDIDATES if c in df.columns), None)

@@ -257,8 +257,11 @@ def late_rows(query) -> int:
     """Rows dropped as late by watermarked stateful operators so far."""
     n = 0
     for prog in query.recentProgress:
-        for op in prog.get("stateOperators", []) if isinstance(prog, dict) else []:
-            n += int(op.get("numRowsDroppedByWatermark", 0))
+        ops = prog.get("stateOperators", []) if isinstance(prog, dict) else getattr(prog, "stateOperators", [])
+        for op in ops or []:
+            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else getattr(
+                op, "numRowsDroppedByWatermark", 0)
+            n += int(v or 0)
     return n
 
 
