@@ -47,3 +47,14 @@ def test_file_changes_bucketed_equals_plain(spark):
     a = sorted(r.id for r in W.file_mod_changes(df, bucket=None).collect())
     b = sorted(r.id for r in W.file_mod_changes(df, bucket="hour").collect())
     assert a == b and len(a) > 0
+
+
+def test_choose_bucket_refines_for_hot_keys(spark):
+    rows = [dict(user_name="hot", timestamp=ts(h=1, m=i % 60, s=i % 7)) for i in range(300)]
+    rows += [dict(user_name="cold", timestamp=ts(h=i)) for i in range(20)]
+    df = proc_rows(spark, rows)
+    assert W.choose_bucket(df, ["user_name"], max_rows=1000) == "day"
+    assert W.choose_bucket(df, ["user_name"], max_rows=100) == "minute"
+    a = sorted(W.rolling_stats(df, ["user_name"], ["cpu"], bucket=None).collect())
+    b = sorted(W.rolling_stats(df, ["user_name"], ["cpu"], bucket="minute").collect())
+    assert [(x.id, x.cpu_rolling_mean) for x in a] == [(y.id, y.cpu_rolling_mean) for y in b]

@@ -15,7 +15,10 @@ little state the frame needs from earlier buckets:
   newest P rows of earlier buckets, found among each bucket's last P rows).
 
 Results are identical to the unbucketed window; ``bucket=None`` gives the
-plain window for small inputs and for tests that compare the two.
+plain window for small inputs and for tests that compare the two.  The
+default ``bucket="auto"`` picks the coarsest of day / hour / minute whose
+largest (key, bucket) group stays under ``MAX_BUCKET_ROWS`` rows, so a key
+holding a third of the data is still cut into task-sized pieces.
 """
 
 from __future__ import annotations
@@ -25,7 +28,26 @@ from pyspark.sql import functions as F
 
 from vigil import rules
 
-DEFAULT_BUCKET = "day"
+DEFAULT_BUCKET = "auto"
+BUCKET_UNITS = ("day", "hour", "minute")
+MAX_BUCKET_ROWS = 5_000_000
+
+
+def choose_bucket(df: DataFrame, keys: list[str], ts: str = "timestamp", max_rows: int = MAX_BUCKET_ROWS,
+                  units: tuple[str, ...] = BUCKET_UNITS) -> str:
+    """Coarsest time unit whose largest (key, bucket) group holds at most
+    ``max_rows`` rows.  Each probe is one partial aggregate over the key and
+    time columns returning a single number; usually the first unit fits."""
+    for unit in units:
+        biggest = (df.groupBy(*keys, F.date_trunc(unit, F.col(ts)).alias("_b"))
+                   .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0])
+        if biggest is None or biggest <= max_rows:
+            return unit
+    return units[-1]
+
+
+def _resolve(df: DataFrame, keys: list[str], ts: str, bucket: str | None) -> str | None:
+    return choose_bucket(df, keys, ts) if bucket == "auto" else bucket
 
 
 def _bucket(ts: str, unit: str | None) -> Column:
@@ -39,6 +61,7 @@ def time_diff(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp
     """Seconds since the previous row of the same key (NULL for the first)."""
     keys = keys or ["src_ip", "dst_ip"]
     order = [F.col(ts), F.col(tie)]
+    bucket = _resolve(df, keys, ts, bucket)
     if bucket is None:
         prev = F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(out, F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6))
@@ -75,6 +98,7 @@ def file_mod_changes(files: DataFrame, key: str = "file", mtime: str = "mtime_s"
     same file; the first observation of a file is the baseline (never
     emitted)."""
     order = [F.col(ts), F.col(tie)]
+    bucket = _resolve(files, [key], ts, bucket)
     if bucket is None:
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return files.withColumn("prev_max", F.max(mtime).over(w)).filter(F.col(mtime) > F.col("prev_max"))
@@ -112,6 +136,7 @@ def rolling_stats(df: DataFrame, keys: list[str] | None = None, values: list[str
     values = values or list(rules.ROLLING_FEATURES)
     P = rows - 1
     order = [F.col(ts), F.col(tie)]
+    bucket = _resolve(df, keys, ts, bucket)
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-P, 0)
         return df.withColumns(_rolling_cols(values, w))
