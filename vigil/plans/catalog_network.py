@@ -279,7 +279,7 @@ def _network_metrics(t):
 
 
 @query("network_window_stats", f"""
-    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, sum(bytes_sent) AS bytes_sent,
+    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
            count(DISTINCT dst_port) AS n_dst_ports, count(DISTINCT dst_ip) AS n_dst_ips,
            max(c2_risk) AS c2_risk, max(exfil_risk) AS exfil_risk
     FROM (SELECT *, {C2_SQL} AS c2_risk, {EXFIL_SQL} AS exfil_risk FROM network) x
@@ -297,7 +297,7 @@ def _scanned_ports(t):
 
 
 @query("c2_rollup", f"""
-    SELECT src_ip, dst_ip, protocol, sum(bytes_sent) AS bytes_sent,
+    SELECT src_ip, dst_ip, protocol, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
            CAST(grouping(src_ip, dst_ip, protocol) AS BIGINT) AS level
     FROM (SELECT *, {C2_SQL} AS c2_risk FROM network) x WHERE c2_risk = 1
     GROUP BY ROLLUP (src_ip, dst_ip, protocol)""", NET)
@@ -306,7 +306,7 @@ def _c2_rollup(t):
 
 
 @query("exfil_flows", f"""
-    SELECT src_ip, dst_ip, sum(bytes_sent) AS bytes_sent, count(*) AS flows
+    SELECT src_ip, dst_ip, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent, count(*) AS flows
     FROM (SELECT *, {EXFIL_SQL} AS exfil_risk FROM network) x
     WHERE exfil_risk = 1 AND src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY src_ip, dst_ip""", NET)
 def _exfil_flows(t):

@@ -315,7 +315,7 @@ def _correlate(t):
     SELECT p.*, s.src_ip, s.bytes_sent, s.n_dst_ports, s.n_dst_ips, s.c2_risk, s.exfil_risk
     FROM (SELECT *, time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window FROM process) p
     LEFT JOIN (
-      SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, sum(bytes_sent) AS bytes_sent,
+      SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
              count(DISTINCT dst_port) AS n_dst_ports, count(DISTINCT dst_ip) AS n_dst_ips,
              max(c2_risk) AS c2_risk, max(exfil_risk) AS exfil_risk
       FROM (SELECT *, {C2_SQL} AS c2_risk,
@@ -328,13 +328,13 @@ def _network_behavior_join(t):
 
 
 @query("threat_matrix_rule", f"""
-    SELECT command, n_dst_ports, max(threat_score) AS max_risk, sum(bytes_sent) AS bytes_sent,
+    SELECT command, n_dst_ports, max(threat_score) AS max_risk, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
            count(DISTINCT pid) AS n_pids
     FROM (SELECT p.command, p.pid, {THREAT_PROC_SQL} AS threat_score,
                  s.n_dst_ports, s.bytes_sent
           FROM (SELECT *, time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window FROM process) p
           LEFT JOIN (SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip,
-                            sum(bytes_sent) AS bytes_sent, count(DISTINCT dst_port) AS n_dst_ports
+                            CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent, count(DISTINCT dst_port) AS n_dst_ports
                      FROM network WHERE timestamp IS NOT NULL AND src_ip IS NOT NULL GROUP BY 1, 2) s
           ON p.time_window = s.time_window) m
     WHERE command IS NOT NULL AND n_dst_ports IS NOT NULL GROUP BY command, n_dst_ports""", ("process", "network"))

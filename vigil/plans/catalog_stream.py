@@ -84,7 +84,7 @@ def _stream_first_seen_keys(t):
 
 
 @query("stream_window_totals", """
-    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, sum(bytes_sent) AS bytes_sent,
+    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
            count(*) AS events FROM network WHERE src_ip IS NOT NULL GROUP BY 1, 2""", ("network",))
 def _stream_window_totals(t):
     """Complete output mode: every window of the state, exact sums/counts."""
