@@ -38,3 +38,29 @@ def test_same_seed_same_trees_any_partitioning(spark):
 def test_c_factor():
     assert FR.c_factor(1) == 0.0 and FR.c_factor(2) == 1.0
     assert abs(FR.c_factor(256) - 10.244770920116851) < 1e-9
+
+
+def test_model_and_preprocessing_round_trip(spark):
+    import tempfile
+
+    from conftest import proc_rows, ts
+    from vigil.operators import features as M
+    from vigil.plans.flagship import process_intelligence, retrain
+
+    rows = [dict(user_name=f"u{i % 3}", cpu=float(i % 17), memory=float(i % 11), command=f"cmd{i % 4}",
+                 timestamp=ts(h=i % 48, m=i % 60)) for i in range(300)]
+    proc = proc_rows(spark, rows)
+    net = spark.createDataFrame([], "id long, timestamp timestamp, src_ip string, dst_ip string, src_port int, "
+                                    "dst_port int, flags string, bytes_sent long, duration double, protocol string")
+    path = tempfile.mkdtemp(prefix="vigil-model-", dir="/tmp")
+    a = process_intelligence(proc, net, model_path=path)
+    first = sorted((r.id, r.anomaly_score) for r in a.process.collect())
+    vocab1 = sorted(tuple(r) for r in spark.read.parquet(f"{path}/vocab").collect())
+    # Second run reuses the stored forest, vocabulary and scaler: same scores.
+    b = process_intelligence(proc, net, model_path=path)
+    assert sorted((r.id, r.anomaly_score) for r in b.process.collect()) == first
+    # Retrain refits the trees but keeps the vocabulary (never refit by default).
+    retrain(proc.filter("cpu < 10"), hours=None, model_path=path)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{path}/vocab").collect()) == vocab1
+    v, s = M.load_preprocessing(spark, path)
+    assert v is not None and s is not None

@@ -40,10 +40,8 @@ def detect_c2(network: DataFrame) -> DataFrame:
 
 def detect_c2_extended(network: DataFrame) -> DataFrame:
     """C2 rule variant: more domains, protocol list and night hours (0-5)."""
-    n = network.withColumn("timestamp", F.col("timestamp"))
-    return n.withColumn(
-        "hour", F.hour("timestamp")
-    ).withColumn(
+    n = with_defaults(network, {"dst_port": -1, "dst_ip": "", "protocol": None})
+    return n.withColumn("hour", F.hour("timestamp")).withColumn(
         "c2_risk", S.c2_risk_extended(F.col("dst_port"), F.col("dst_ip"), F.col("protocol"), F.col("timestamp"))
     )
 

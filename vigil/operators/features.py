@@ -198,3 +198,24 @@ SIZE_CANDIDATES = ["bytes_sent", "cpu", "memory", "time_used_seconds"]
 def size_column(df: DataFrame) -> str | None:
     """First present column usable as a marker size in the correlation view."""
     return next((c for c in SIZE_CANDIDATES if c in df.columns), None)
+
+
+# M8: persisted preprocessing (fit once, never refit) ----------------------------------
+
+def save_preprocessing(vocab: DataFrame, scaler: DataFrame, path: str) -> None:
+    """Store vocabulary and scaler next to the forest (first fit only)."""
+    from vigil.sources.files import path_exists
+
+    spark = vocab.sparkSession
+    if not path_exists(spark, f"{path}/vocab"):
+        vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    if not path_exists(spark, f"{path}/scaler"):
+        scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+
+
+def load_preprocessing(spark, path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    from vigil.sources.files import path_exists
+
+    vocab = spark.read.parquet(f"{path}/vocab") if path_exists(spark, f"{path}/vocab") else None
+    scaler = spark.read.parquet(f"{path}/scaler") if path_exists(spark, f"{path}/scaler") else None
+    return vocab, scaler

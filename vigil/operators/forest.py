@@ -91,7 +91,7 @@ def _grow_tree(pdf: pd.DataFrame, features: list[str], seed: int, height_limit:
             continue
         f = int(movable[rng.integers(movable.size)])
         thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] < thr
+        go_left = sub[:, f] <= thr
         left, right = next_id, next_id + 1
         next_id += 2
         rows.append((tree, node, f, thr, left, right, n, float("nan")))
@@ -165,7 +165,7 @@ def _path_lengths(X: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
             if not inner.any():
                 break
             fi = np.where(inner, f, 0)
-            go_left = X[rows, fi] < m["thr"][t, node]
+            go_left = X[rows, fi] <= m["thr"][t, node]
             nxt = np.where(go_left, m["left"][t, node], m["right"][t, node])
             node = np.where(inner, nxt, node)
         total += m["plen"][t, node]

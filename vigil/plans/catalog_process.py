@@ -490,3 +490,17 @@ def _retrain(t):
     from vigil.plans.flagship import retrain
 
     return retrain(t.process, rules.TRAIN_HOURS).nodes
+
+
+@query("over_limit_cpu_top10", f"""
+    SELECT * FROM (SELECT * FROM process ORDER BY cpu DESC, id DESC LIMIT 10) x
+    WHERE cpu > {rules.OVER_LIMIT_CPU} AND {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
+def _over_limit_cpu_top10(t):
+    return C.over_limit_candidates(t.process, "cpu", pool=10)
+
+
+@query("over_limit_memory_top10", f"""
+    SELECT * FROM (SELECT * FROM process ORDER BY cpu DESC, id DESC LIMIT 10) x
+    WHERE memory > {rules.OVER_LIMIT_MEMORY} AND {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
+def _over_limit_memory_top10(t):
+    return C.over_limit_candidates(t.process, "memory", pool=10)

@@ -35,14 +35,20 @@ class Intelligence:
 
 
 def retrain(process: DataFrame, hours: int | None = rules.TRAIN_HOURS, model_path: str | None = None,
-            vocab: DataFrame | None = None, scaler: DataFrame | None = None) -> FR.ForestModel:
-    """M9: window -> M1..M5 -> forest.  Raises on an empty window.  Vocabulary
-    and scaler are reused when given (never refit, as in the source)."""
+            refit_preprocessing: bool = False) -> FR.ForestModel:
+    """M9: window -> M1..M5 -> forest.  Raises on an empty window.  The
+    stored vocabulary and scaler are reused (never refit, as in the source)
+    unless ``refit_preprocessing``; the forest itself is always refit."""
     p = C.fetch_window(process, hours) if hours else process
-    _, matrix, _, _ = M.prepare_model_input(p, vocab, scaler)
+    spark = process.sparkSession
+    vocab = scaler = None
+    if model_path and not refit_preprocessing:
+        vocab, scaler = M.load_preprocessing(spark, model_path)
+    _, matrix, vocab, scaler = M.prepare_model_input(p, vocab, scaler)
     model = FR.train(matrix, [c for c in rules.MODEL_FEATURES if c in matrix.columns])
     if model_path:
         FR.save_model(model, model_path)
+        M.save_preprocessing(vocab, scaler, model_path)
     return model
 
 
@@ -53,9 +59,12 @@ def process_intelligence(process: DataFrame, network: DataFrame, hours: int | No
         process = C.fetch_window(process, hours)
         network = C.fetch_window(network, hours)
     net = D.detect_network_threats(network)
-    feats, matrix, _, _ = M.prepare_model_input(process)
     spark = process.sparkSession
+    vocab, scaler = M.load_preprocessing(spark, model_path) if model_path else (None, None)
+    feats, matrix, vocab, scaler = M.prepare_model_input(process, vocab, scaler)
     model = FR.load_or_fit(spark, matrix, model_path, [c for c in rules.MODEL_FEATURES if c in matrix.columns])
+    if model_path:
+        M.save_preprocessing(vocab, scaler, model_path)
     scores = FR.score_anomalies(matrix, model).select("id", "anomaly_score", "is_anomaly", "anomaly_risk")
     scored = feats.join(scores, "id")
     if persist:
