@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vigil import rules
 from vigil.functions import scalars as S
 from vigil.operators import windows as W
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import shared_dir
 
 
 # M1 ----------------------------------------------------------------------------
@@ -125,12 +125,15 @@ def assemble(df: DataFrame, features: list[str] | None = None, scaled: bool = Tr
     return df.select(*[c for c in ("id", "timestamp", "pid", "user_name", "command") if c in df.columns], *cols)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint directory
-    (``spark.checkpoint.dir``) so later passes neither recompute nor re-plan
-    the chain behind it, and a lost executor does not force a recompute."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a parquet table under the cluster's shared checkpoint
+    directory (``spark.checkpoint.dir``) and read it back: later passes
+    neither recompute nor re-plan the chain behind it, a lost executor does
+    not force a recompute, and readers get column pruning.  (One job, where
+    ``Dataset.checkpoint`` of an unpersisted plan runs it twice.)"""
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def prepare_model_input(process: DataFrame, vocab: DataFrame | None = None,
@@ -140,11 +143,11 @@ def prepare_model_input(process: DataFrame, vocab: DataFrame | None = None,
     The behaviour features and the final matrix are each read several times
     (vocabulary, scaler, sampling, scoring, offset), so both are
     checkpointed once."""
-    x = cut_lineage(behavior_features(preprocess_process(process)))
-    vocab = vocab if vocab is not None else cut_lineage(fit_vocab(x))
+    x = cut_lineage(behavior_features(preprocess_process(process)), "features")
+    vocab = vocab if vocab is not None else cut_lineage(fit_vocab(x), "vocab")
     x = encode(x, vocab)
     scaler = scaler if scaler is not None else fit_scaler(x)
-    x = cut_lineage(scale(x, scaler))
+    x = cut_lineage(scale(x, scaler), "matrix")
     return x, assemble(x), vocab, scaler
 
 

@@ -9,7 +9,7 @@ Spark's ``_metadata`` column, so it does not depend on task scheduling.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,8 +122,8 @@ def parse_top(lines: DataFrame) -> DataFrame:
     snapshot is one ``top`` output, so the per-snapshot header lookup is a
     small group."""
     is_header = F.col("line").contains("PID") & F.col("line").contains("USER") & F.col("line").contains("%CPU")
-    header = lines.filter(is_header).groupBy("snapshot_id").agg(F.min("line_no").alias("_hdr"))
-    body = lines.join(header, "snapshot_id").filter(F.col("line_no") > F.col("_hdr"))
+    hdr = F.min(F.when(is_header, F.col("line_no"))).over(Window.partitionBy("snapshot_id"))
+    body = lines.withColumn("_hdr", hdr).filter(F.col("line_no") > F.col("_hdr"))
     body = body.filter(_strip(F.col("line")) != "")
     parts = F.split(_strip(F.col("line")), r"\s+", 12)
     body = body.withColumn("_p", parts).filter(F.size("_p") >= 12)
