@@ -181,7 +181,8 @@ def _cron_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
             out += [(cron_file, ts, j) for j in new]
             last = jobs  # state replaced only when something new appeared
     state.update((last,))
-    yield pd.DataFrame(out, columns=["cron_file", "snapshot_ts", "job"])
+    if out:
+        yield pd.DataFrame(out, columns=["cron_file", "snapshot_ts", "job"])
 
 
 def cron_diff(lines: DataFrame) -> DataFrame:
@@ -211,7 +212,8 @@ def _file_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
             out.append((key[0], ts, int(m)))
             last = int(m)
     state.update((last,))
-    yield pd.DataFrame(out, columns=["file", "timestamp", "mtime_s"])
+    if out:
+        yield pd.DataFrame(out, columns=["file", "timestamp", "mtime_s"])
 
 
 def file_changes(files: DataFrame) -> DataFrame:
@@ -246,7 +248,8 @@ def throttle(alerts_df: DataFrame, hours: float = rules.ALERT_INTERVAL_HOURS, ke
                 keep.append(False)
         if last is not None:
             state.update((pd.Timestamp(last).to_pydatetime(),))
-        yield pdf[keep]
+        if any(keep):
+            yield pdf[keep]
 
     out = df.groupBy(k).applyInPandasWithState(fn, out_schema, THROTTLE_STATE, "append", GroupStateTimeout.NoTimeout)
     return out if key else out.drop(k)
