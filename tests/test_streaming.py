@@ -133,3 +133,31 @@ def test_size_column(spark):
 
     assert size_column(spark.createDataFrame([(1.0, 2.0)], "memory double, cpu double")) == "cpu"
     assert size_column(spark.createDataFrame([(1,)], "x int")) is None
+
+
+def _greedy(times, gap):
+    out, last = [], None
+    for i, t in sorted(enumerate(times), key=lambda x: (x[1], x[0])):
+        if last is None or t - last >= gap:
+            out.append(i)
+            last = t
+    return sorted(out)
+
+
+def test_distributed_throttle_matches_sequential(spark):
+    import random
+
+    from vigil.operators.throttle import throttle_batch
+
+    hours = [0, 3 + 59 / 60, 4, 7 + 59 / 60, 8]
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, t0 + dt.timedelta(hours=h)) for i, h in enumerate(hours)],
+                               "id long, timestamp timestamp")
+    assert sorted(r.id for r in throttle_batch(df).collect()) == [0, 2, 4]
+    rnd = random.Random(11)
+    times = [t0 + dt.timedelta(seconds=rnd.randint(0, 20 * 24 * 3600)) for _ in range(600)]
+    times += [t0 + dt.timedelta(days=3, seconds=rnd.randint(0, 600)) for _ in range(200)]  # hot burst
+    df = spark.createDataFrame(list(enumerate(times)), "id long, timestamp timestamp")
+    got = sorted(r.id for r in throttle_batch(df, bucket="minute").collect())
+    assert got == _greedy(times, dt.timedelta(hours=4))
+    assert sorted(r.id for r in throttle_batch(df, bucket="hour").collect()) == got

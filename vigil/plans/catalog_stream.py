@@ -143,7 +143,7 @@ def _stream_cron_diff(t):
     return _ntz(_run(t, ST.cron_diff(lines)), "snapshot_ts")
 
 
-@query("stream_throttle", f"""
+THROTTLE_SQL = f"""
     WITH RECURSIVE a AS (SELECT id, timestamp FROM commands),
     chain(id, timestamp) AS (
       SELECT * FROM (SELECT id, timestamp FROM a ORDER BY timestamp, id LIMIT 1) first_alert
@@ -152,11 +152,37 @@ def _stream_cron_diff(t):
               ORDER BY a.timestamp, a.id LIMIT 1),
              (SELECT min(a.timestamp) FROM a WHERE a.timestamp >= c.timestamp + INTERVAL {rules.ALERT_INTERVAL_HOURS} HOURS)
       FROM chain c WHERE c.id IS NOT NULL)
-    SELECT id, timestamp FROM chain WHERE id IS NOT NULL""", ("commands",))
+    SELECT id, timestamp FROM chain WHERE id IS NOT NULL"""
+
+
+@query("stream_throttle", THROTTLE_SQL, ("commands",))
 def _stream_throttle(t):
+    """Distributed throttle per micro-batch (foreachBatch), state = last pass."""
+    from vigil.operators.throttle import throttle_sink
+
+    spark = t.spark
+    table, ck = shared_dir(spark, "throttle_table"), shared_dir(spark, "throttle_ck")
     proc = AD.process_from_events(_events_stream(t))
     cmds = proc.filter(high_risk_match(F.col("command"))).select("id", "timestamp")
-    return _ntz(_run(t, ST.throttle(cmds)), "timestamp")
+    q = cmds.writeStream.foreachBatch(throttle_sink(table)).option("checkpointLocation", ck).trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    return _ntz(spark.read.parquet(table).drop("batch_id"), "timestamp")
+
+
+@query("throttle_alerts", THROTTLE_SQL, ("commands",))
+def _throttle_alerts(t):
+    from vigil.operators.throttle import throttle_batch
+
+    return throttle_batch(t.commands.select("id", "timestamp"))
+
+
+@query("stream_throttle_keyed")
+def _stream_throttle_keyed(t):
+    """Per-user throttle with keyed state (applyInPandasWithState)."""
+    proc = AD.process_from_events(_events_stream(t))
+    cmds = proc.filter(high_risk_match(F.col("command"))).select("id", "timestamp", "user_name")
+    return _ntz(_run(t, ST.throttle(cmds, key="user_name")), "timestamp")
 
 
 @query("stream_upsert_new", "SELECT id, timestamp, pid, command FROM process", ("process",))
