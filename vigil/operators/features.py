@@ -173,7 +173,8 @@ def process_info_columns(process: DataFrame) -> DataFrame:
 
 
 def command_scalars(process: DataFrame) -> DataFrame:
-    suffix = F.when(F.col("id") % 3 == 0, "m").when(F.col("id") % 3 == 1, "g").otherwise("")
+    # Memory text as `top` prints it: zombie rows in MiB, running rows in GiB.
+    suffix = F.when(F.col("s") == "Z", "m").when(F.col("s") == "R", "g").otherwise("")
     mem_text = F.concat((F.col("res") + 1).cast("string"), suffix)
     return process.select(
         "id", "command",

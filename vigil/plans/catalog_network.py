@@ -114,22 +114,23 @@ def _with_defaults(t):
 
 
 @query("coerce_timestamp",
-       "SELECT id, TRY_CAST(CASE WHEN id % 7 = 0 THEN 'not a time' ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S') END "
+       "SELECT id, TRY_CAST(CASE WHEN flags = 'SEC' THEN 'not a time' ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S') END "
        "AS TIMESTAMP) AS timestamp FROM network", NET)
 def _coerce_timestamp(t):
-    # Text timestamps as the collector sends them (ISO with 'T'); every 7th is garbage.
-    txt = F.when(F.col("id") % 7 == 0, F.lit("not a time")).otherwise(
+    # Timestamps as text, as the collector sends them (ISO with 'T'); rows of
+    # the malformed-flag kind ('SEC') carry garbage text instead.
+    txt = F.when(F.col("flags") == "SEC", F.lit("not a time")).otherwise(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
     df = t.network.select("id", txt.alias("timestamp"))
     return C.coerce_timestamp(df, "timestamp").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query("drop_invalid_ts",
-       "SELECT id, ts AS timestamp FROM (SELECT id, TRY_CAST(CASE WHEN id % 7 = 0 THEN 'not a time' "
+       "SELECT id, ts AS timestamp FROM (SELECT id, TRY_CAST(CASE WHEN flags = 'SEC' THEN 'not a time' "
        "ELSE strftime(timestamp, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS ts FROM network) x WHERE ts IS NOT NULL",
        NET)
 def _drop_invalid_ts(t):
-    txt = F.when(F.col("id") % 7 == 0, F.lit("not a time")).otherwise(
+    txt = F.when(F.col("flags") == "SEC", F.lit("not a time")).otherwise(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     df = C.coerce_timestamp(t.network.select("id", txt.alias("timestamp")), "timestamp")
     return C.drop_invalid_ts(df).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

@@ -195,8 +195,8 @@ def _process_info(t):
     SELECT id, command, sha256(command) AS hash_command,
            CASE WHEN length(command) > 50 THEN substr(command, 1, 50) || '...' ELSE command END AS command_short,
            round(CASE WHEN memory = 0 THEN NULL ELSE cpu / memory END, 9) AS cpu_mem_ratio,
-           CAST(res + 1 AS VARCHAR) || CASE id % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'g' ELSE '' END AS mem_text,
-           CAST(round((res + 1) * CASE id % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1 END) AS BIGINT) AS mem_kib
+           CAST(res + 1 AS VARCHAR) || CASE s WHEN 'Z' THEN 'm' WHEN 'R' THEN 'g' ELSE '' END AS mem_text,
+           CAST(round((res + 1) * CASE s WHEN 'Z' THEN 1024 WHEN 'R' THEN 1048576 ELSE 1 END) AS BIGINT) AS mem_kib
     FROM process""", PROC)
 def _command_scalars(t):
     return M.command_scalars(t.process)
