@@ -154,12 +154,12 @@ def prepare_model_input(process: DataFrame, vocab: DataFrame | None = None,
 # -- row helpers used by registered queries -------------------------------------------
 
 def high_risk_detail(process: DataFrame) -> DataFrame:
-    """Which high-risk literals each command contains (one row per hit).
-    The pattern table is the fixed list (134 rows), broadcast on purpose."""
-    spark = process.sparkSession
-    pats = spark.createDataFrame([(p,) for p in dict.fromkeys(rules.HIGH_RISK_COMMANDS)], "pattern string")
-    return process.join(F.broadcast(pats), F.col("command").contains(F.col("pattern"))).select(
-        "id", "command", "pattern")
+    """Which high-risk literals each command contains (one row per hit):
+    the fixed pattern list is a literal array filtered per row and exploded,
+    so no join is needed."""
+    pats = F.array(*[F.lit(p) for p in dict.fromkeys(rules.HIGH_RISK_COMMANDS)])
+    hits = F.filter(pats, lambda p: F.coalesce(F.col("command").contains(p), F.lit(False)))
+    return process.select("id", "command", F.explode(hits).alias("pattern"))
 
 
 def process_info_columns(process: DataFrame) -> DataFrame:
