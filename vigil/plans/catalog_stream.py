@@ -32,9 +32,11 @@ def _events_stream(t) -> DataFrame:
 
 
 def _run(t, df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run the stream into a parquet table in the shared folder; read it back."""
     name = "vigil_" + uuid.uuid4().hex[:12]
-    ST.run_to_memory(df, name, shared_dir(t.spark, name), mode)
-    return t.spark.table(name)
+    path = shared_dir(t.spark, f"{name}_out")
+    ST.run_to_table(df, path, shared_dir(t.spark, f"{name}_ck"), mode)
+    return t.spark.read.parquet(path)
 
 
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:

@@ -268,9 +268,24 @@ def late_rows(query) -> int:
     return n
 
 
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Drive a stream over everything available into a parquet table in the
+    shared folder (append: file sink; complete: each batch rewrites the
+    table, idempotently).  Output never goes through the driver."""
+    if mode == "complete":
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+
+        w = df.writeStream.outputMode("complete").foreachBatch(write)
+    else:
+        w = df.writeStream.format("parquet").option("path", path).outputMode("append")
+    q = w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Drive a stream over everything available into a memory table (tests,
-    batch-equivalence checks)."""
+    """Drive a stream into an in-driver memory table (small tests only)."""
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
