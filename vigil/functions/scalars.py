@@ -19,6 +19,19 @@ def _lit_map(pairs: list[tuple[str, str]]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in pairs))
 
 
+# -- aggregates ----------------------------------------------------------------
+
+def mean_of(c: Column, exact_scale: int | None = None) -> Column:
+    """Mean of ``c``.  With ``exact_scale`` the values are summed as
+    fixed-point decimals of that scale: the sum is exact, so the mean no
+    longer depends on summation order (partitioning, engine) and is the same
+    on every run; without it, the usual floating ``avg``."""
+    if exact_scale is None:
+        return F.avg(c)
+    total = F.sum(c.cast(f"decimal(38,{exact_scale})")).cast("double")
+    return F.try_divide(total, F.count(c).cast("double"))
+
+
 # -- threat score ----------------------------------------------------------
 
 def threat_score(columns: list[str] | DataFrame) -> Column:

@@ -21,11 +21,12 @@ def _count() -> Column:
 
 
 # A1 --------------------------------------------------------------------------
-def process_metrics(process: DataFrame) -> DataFrame:
+def process_metrics(process: DataFrame, exact_scale: int | None = None) -> DataFrame:
+    """Row count, mean CPU, mean memory (``exact_scale``: see ``mean_of``)."""
     return process.agg(
         _count().alias("total_processes"),
-        F.avg("cpu").alias("avg_cpu"),
-        F.avg("memory").alias("avg_memory"),
+        S.mean_of(F.col("cpu"), exact_scale).alias("avg_cpu"),
+        S.mean_of(F.col("memory"), exact_scale).alias("avg_memory"),
     )
 
 
@@ -175,20 +176,23 @@ def time_histogram(df: DataFrame, width_minutes: int = 60, ts: str = "timestamp"
 
 
 # A16 ---------------------------------------------------------------------------
-def hour_command_cpu(process: DataFrame) -> DataFrame:
+def hour_command_cpu(process: DataFrame, exact_scale: int | None = None) -> DataFrame:
     """Long form of the heat map: mean CPU per (user, hour, command)."""
     return (
         process.filter(F.col("command").isNotNull() & F.col("timestamp").isNotNull())
         .groupBy("user_name", F.hour("timestamp").alias("hour"), "command")
-        .agg(F.avg("cpu").alias("avg_cpu"))
+        .agg(S.mean_of(F.col("cpu"), exact_scale).alias("avg_cpu"))
     )
 
 
-def hour_command_pivot(process: DataFrame, commands: list[str] | None = None) -> DataFrame:
+def hour_command_pivot(process: DataFrame, commands: list[str] | None = None,
+                       exact_scale: int | None = None) -> DataFrame:
     """Wide heat map: one row per (user, hour), one column per command.
-    Pass ``commands`` when known to avoid the extra distinct-values job."""
+    Pass ``commands`` when known to avoid the extra distinct-values job (and
+    to bound the number of columns; Spark refuses more than
+    ``spark.sql.pivotMaxValues`` discovered values)."""
     base = process.filter(F.col("command").isNotNull()).withColumn("hour", F.hour("timestamp"))
-    return base.groupBy("user_name", "hour").pivot("command", commands).agg(F.avg("cpu"))
+    return base.groupBy("user_name", "hour").pivot("command", commands).agg(S.mean_of(F.col("cpu"), exact_scale))
 
 
 # A17 ---------------------------------------------------------------------------

@@ -180,7 +180,7 @@ def command_scalars(process: DataFrame) -> DataFrame:
         "id", "command",
         S.hash_command(F.col("command")).alias("hash_command"),
         S.truncate_command(F.col("command")).alias("command_short"),
-        F.round(S.cpu_mem_ratio(F.col("cpu"), F.col("memory")), 9).alias("cpu_mem_ratio"),
+        S.cpu_mem_ratio(F.col("cpu"), F.col("memory")).alias("cpu_mem_ratio"),
         mem_text.alias("mem_text"),
         S.parse_mem_unit(mem_text).alias("mem_kib"),
     )

@@ -1,8 +1,9 @@
 """Registered network queries: detectors, incidents, aggregates, top-k.
 
 Each query reads the whole ``events`` table through the network adapter.
-Floating outputs are rounded to 6 decimals on both sides so the oracle
-comparison does not depend on summation order.
+Floating outputs that are one IEEE operation on identical inputs (ratios,
+rates) are compared as is; only sums whose order differs between engines
+are rounded (6 decimals) on both sides.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ C2X_SQL = (f"CAST(({sql_regex_ci('dst_ip', rules.C2_DOMAINS_EXTENDED)} OR COALES
            f"OR COALESCE(protocol IN ({', '.join(sql_str(p) for p in rules.C2_PROTOCOLS_EXTENDED)}), FALSE) "
            f"OR COALESCE(hour(timestamp) BETWEEN 0 AND 5, FALSE)) AS INTEGER)")
 EXFIL_SQL = f"CAST(({sql_external('dst_ip')} AND COALESCE(bytes_sent > {rules.EXFIL_BYTES}, FALSE)) AS INTEGER)"
-RATE_SQL = "round(bytes_sent / (duration + 0.001), 6)"
+RATE_SQL = "bytes_sent / (duration + 0.001)"
 DIFF_SQL = "(epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY src_ip, dst_ip ORDER BY timestamp, id))) / 1e6"
 SCAN_STATS_SQL = f"""
   SELECT src_ip, dst_ip, unique_ports, first_attempt, last_attempt, scan_duration,
@@ -67,7 +68,7 @@ def _flag_text_sql(col: str) -> str:
 
 def scored(t):
     """Network rows with the three detector flags (shared by many queries)."""
-    return D.detect_network_threats(t.network).withColumn("transfer_rate", F.round("transfer_rate", 6))
+    return D.detect_network_threats(t.network)
 
 
 # -- adapters / scans ----------------------------------------------------------------
@@ -156,15 +157,14 @@ def _detect_c2x(t):
 
 @query("detect_exfil", f"SELECT *, {RATE_SQL} AS transfer_rate, {EXFIL_SQL} AS exfil_risk FROM network", NET)
 def _detect_exfil(t):
-    return D.detect_exfil(t.network).withColumn("transfer_rate", F.round("transfer_rate", 6))
+    return D.detect_exfil(t.network)
 
 
 @query("exfil_threats",
        f"SELECT * FROM (SELECT *, {RATE_SQL} AS transfer_rate, {EXFIL_SQL} AS exfil_risk FROM network) x "
        "WHERE exfil_risk = 1", NET)
 def _exfil_threats(t):
-    return C.flag_filter(D.detect_exfil(t.network), "exfil_risk").withColumn(
-        "transfer_rate", F.round("transfer_rate", 6))
+    return C.flag_filter(D.detect_exfil(t.network), "exfil_risk")
 
 
 @query("detect_exfil_extended", f"""
@@ -172,7 +172,7 @@ def _exfil_threats(t):
              OR COALESCE(time_diff > 0 AND time_diff <= {rules.BEACON_MAX_GAP_SECONDS}, FALSE))) AS INTEGER) AS exfil_risk
     FROM (SELECT *, {RATE_SQL} AS transfer_rate, {DIFF_SQL} AS time_diff FROM network) x""", NET)
 def _detect_exfil_x(t):
-    return D.detect_exfil_extended(t.network).withColumn("transfer_rate", F.round("transfer_rate", 6))
+    return D.detect_exfil_extended(t.network)
 
 
 @query("beaconing", f"""
@@ -324,15 +324,14 @@ def _network_threat_counts(t):
 @query("syn_ack_ratio", """
     SELECT src_ip, count(*) AS packets, count(*) FILTER (WHERE flags = 'S') AS syn,
            count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) AS ack,
-           round(count(*) FILTER (WHERE flags = 'S') / count(*), 6) AS syn_share,
-           round(count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) / count(*), 6) AS ack_share,
-           round(CASE WHEN count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) = 0 THEN NULL
-                 ELSE count(*) FILTER (WHERE flags = 'S')
-                      / count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) END, 6) AS syn_ack_ratio
+           count(*) FILTER (WHERE flags = 'S') / count(*) AS syn_share,
+           count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) / count(*) AS ack_share,
+           CASE WHEN count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) = 0 THEN NULL
+                ELSE count(*) FILTER (WHERE flags = 'S')
+                     / count(*) FILTER (WHERE COALESCE(contains(upper(flags), 'A'), FALSE)) END AS syn_ack_ratio
     FROM network WHERE src_ip IS NOT NULL GROUP BY src_ip""", NET)
 def _syn_ack_ratio(t):
-    return A.syn_ack_ratio(t.network).withColumns(
-        {c: F.round(c, 6) for c in ("syn_share", "ack_share", "syn_ack_ratio")})
+    return A.syn_ack_ratio(t.network)
 
 
 @query("hourly_timeline", """

@@ -194,7 +194,7 @@ def _process_info(t):
 @query("command_scalars", """
     SELECT id, command, sha256(command) AS hash_command,
            CASE WHEN length(command) > 50 THEN substr(command, 1, 50) || '...' ELSE command END AS command_short,
-           round(CASE WHEN memory = 0 THEN NULL ELSE cpu / memory END, 9) AS cpu_mem_ratio,
+           CASE WHEN memory = 0 THEN NULL ELSE cpu / memory END AS cpu_mem_ratio,
            CAST(res + 1 AS VARCHAR) || CASE s WHEN 'Z' THEN 'm' WHEN 'R' THEN 'g' ELSE '' END AS mem_text,
            CAST(round((res + 1) * CASE s WHEN 'Z' THEN 1024 WHEN 'R' THEN 1048576 ELSE 1 END) AS BIGINT) AS mem_kib
     FROM process""", PROC)
@@ -213,12 +213,15 @@ def _command_entropy(t):
 
 # -- aggregates ----------------------------------------------------------------------
 
+EXACT_MEAN = "CAST(sum(CAST({c} AS DECIMAL(38,2))) AS DOUBLE) / count({c})"
+
+
 @query("process_metrics",
-       "SELECT count(*) AS total_processes, round(avg(cpu), 6) AS avg_cpu, round(avg(memory), 6) AS avg_memory "
-       "FROM process", PROC)
+       f"SELECT count(*) AS total_processes, {EXACT_MEAN.format(c='cpu')} AS avg_cpu, "
+       f"{EXACT_MEAN.format(c='memory')} AS avg_memory FROM process", PROC)
 def _process_metrics(t):
-    return A.process_metrics(t.process).select(
-        "total_processes", F.round("avg_cpu", 6).alias("avg_cpu"), F.round("avg_memory", 6).alias("avg_memory"))
+    # cpu / memory are percentages with two decimals: exact fixed-point means.
+    return A.process_metrics(t.process, exact_scale=2)
 
 
 @query("command_metrics", f"""
@@ -241,11 +244,11 @@ def _top_commands(t):
     return A.top_commands(t.commands)
 
 
-@query("hour_command_cpu", """
-    SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, command, round(avg(cpu), 6) AS avg_cpu
+@query("hour_command_cpu", f"""
+    SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, command, {EXACT_MEAN.format(c='cpu')} AS avg_cpu
     FROM process WHERE command IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1, 2, 3""", PROC)
 def _hour_command_cpu(t):
-    return A.hour_command_cpu(t.process).withColumn("avg_cpu", F.round("avg_cpu", 6))
+    return A.hour_command_cpu(t.process, exact_scale=2)
 
 
 @query("hour_command_pivot")
@@ -344,7 +347,7 @@ def _threat_matrix_rule(t):
 
 
 @query("risk_density_rule", f"""
-    SELECT n_dst_ports, command, round(avg(threat_score), 6) AS avg_risk
+    SELECT n_dst_ports, command, avg(threat_score) AS avg_risk
     FROM (SELECT p.command, {THREAT_PROC_SQL} AS threat_score, s.n_dst_ports
           FROM (SELECT *, time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window FROM process) p
           LEFT JOIN (SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip,
@@ -353,7 +356,7 @@ def _threat_matrix_rule(t):
           ON p.time_window = s.time_window) m
     WHERE command IS NOT NULL AND n_dst_ports IS NOT NULL GROUP BY n_dst_ports, command""", ("process", "network"))
 def _risk_density_rule(t):
-    return A.risk_density(M.rule_merged(t), "threat_score").withColumn("avg_risk", F.round("avg_risk", 6))
+    return A.risk_density(M.rule_merged(t), "threat_score")
 
 
 # -- features -------------------------------------------------------------------------
@@ -364,13 +367,13 @@ def _risk_density_rule(t):
            CASE WHEN time_used IS NULL THEN 0.0 ELSE
              TRY_CAST(split_part(time_used, ':', 1) AS INTEGER) * 60.0 + TRY_CAST(split_part(time_used, ':', 2) AS DOUBLE)
            END AS time_used_seconds,
-           round(res / (virt + 1e-6), 9) AS mem_ratio,
+           res / (virt + 1e-6) AS mem_ratio,
            CAST(isodow(timestamp) >= 6 AS INTEGER) AS weekend
     FROM process""", PROC)
 def _preprocess(t):
     p = M.preprocess_process(t.process)
     return p.select("id", "timestamp", "hour", "minute", "day_of_week", "time_used_seconds",
-                    F.round("mem_ratio", 9).alias("mem_ratio"), S.weekend_flag(F.col("timestamp")).alias("weekend"))
+                    "mem_ratio", S.weekend_flag(F.col("timestamp")).alias("weekend"))
 
 
 @query("end_time", """
@@ -460,10 +463,10 @@ PRE_SQL = """(SELECT *, CAST(hour(timestamp) AS INTEGER) AS hour, CAST(minute(ti
 
 
 @query("select_features", f"""
-    SELECT cpu, memory, virt, res, shr, time_used_seconds, round(mem_ratio, 9) AS mem_ratio, hour, minute,
+    SELECT cpu, memory, virt, res, shr, time_used_seconds, mem_ratio, hour, minute,
            day_of_week FROM {PRE_SQL} p""", PROC)
 def _select_features(t):
-    return C.select_features(M.preprocess_process(t.process)).withColumn("mem_ratio", F.round("mem_ratio", 9))
+    return C.select_features(M.preprocess_process(t.process))
 
 
 @query("scale_features", f"""
@@ -475,14 +478,12 @@ def _scale_features(t):
     return out.select("id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in rules.SCALED_FEATURES])
 
 
-@query("hour_command_pivot_sql", """
-    PIVOT (SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, command, cpu FROM process
-           WHERE command IS NOT NULL)
-    ON command USING round(avg(cpu), 6) GROUP BY user_name, hour""", PROC)
+@query("hour_command_pivot_sql", f"""
+    PIVOT (SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, command, {EXACT_MEAN.format(c='cpu')} AS v
+           FROM process WHERE command IS NOT NULL GROUP BY 1, 2, 3)
+    ON command USING first(v) GROUP BY user_name, hour""", PROC)
 def _hour_command_pivot_sql(t):
-    wide = A.hour_command_pivot(t.process)
-    return wide.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if c not in ("user_name", "hour") else F.col(c)
-                         for c in wide.columns])
+    return A.hour_command_pivot(t.process, exact_scale=2)
 
 
 @query("retrain_168h")

@@ -30,8 +30,7 @@ def _keyed(df: DataFrame, section: str, key: str) -> DataFrame:
 
 
 def report_summary(network: DataFrame, process: DataFrame, commands: DataFrame) -> DataFrame:
-    pm = A.process_metrics(process).select(
-        "total_processes", F.round("avg_cpu", 6).alias("avg_cpu"), F.round("avg_memory", 6).alias("avg_memory"))
+    pm = A.process_metrics(process, exact_scale=2)
     incidents = D.detect_incidents(network, process)
     parts = [
         _long(pm, "process"),
@@ -55,8 +54,9 @@ def summary_sql(incidents_sql: str, threat_cmd_sql: str) -> str:
     own, pt, st, n = rules.OWN_IP, rules.PORT_THRESHOLD, rules.SYN_THRESHOLD, rules.TOP_N
     return f"""
   SELECT 'process' AS section, 'total_processes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM process
-  UNION ALL SELECT 'process', 'avg_cpu', round(avg(cpu), 6) FROM process
-  UNION ALL SELECT 'process', 'avg_memory', round(avg(memory), 6) FROM process
+  UNION ALL SELECT 'process', 'avg_cpu', CAST(sum(CAST(cpu AS DECIMAL(38,2))) AS DOUBLE) / count(cpu) FROM process
+  UNION ALL SELECT 'process', 'avg_memory', CAST(sum(CAST(memory AS DECIMAL(38,2))) AS DOUBLE) / count(memory)
+     FROM process
   UNION ALL SELECT 'network', 'total_events', count(*) FROM network
   UNION ALL SELECT 'network', 'unique_ips', count(DISTINCT src_ip) FROM network
   UNION ALL SELECT 'network', 'multi_port_accesses', count(*) FROM (SELECT src_ip, dst_port FROM network
