@@ -161,3 +161,25 @@ def test_distributed_throttle_matches_sequential(spark):
     got = sorted(r.id for r in throttle_batch(df, bucket="minute").collect())
     assert got == _greedy(times, dt.timedelta(hours=4))
     assert sorted(r.id for r in throttle_batch(df, bucket="hour").collect()) == got
+
+
+def test_upsert_skips_stored_and_duplicate_keys(spark):
+    d = tempfile.mkdtemp(prefix="vigil-upsert-", dir="/tmp")
+    schema = "id long, timestamp timestamp, command string"
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, t0, "a"), (2, t0, "b"), (3, t0 + dt.timedelta(seconds=1), "c")],
+                          schema).write.parquet(f"{d}/in/p1")
+    table, ck = f"{d}/table", f"{d}/ck"
+
+    def run():
+        src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+        q = (src.writeStream.foreachBatch(ST.upsert_new_rows(table)).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    spark.createDataFrame([(4, t0 + dt.timedelta(seconds=1), "dup"), (5, t0 + dt.timedelta(seconds=2), "d")],
+                          schema).write.parquet(f"{d}/in/p2")
+    run()
+    got = sorted((r.id, r.command) for r in spark.read.parquet(table).collect())
+    assert got == [(1, "a"), (3, "c"), (5, "d")]

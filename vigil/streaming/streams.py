@@ -114,6 +114,10 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
         firsts = X.dedup_first(batch.filter(F.col(key).isNotNull()), [key], order or ["id"])
         if path_exists(spark, table_path):
             stored = spark.read.parquet(table_path).filter(F.col("batch_id") != batch_id)
+            # Only stored keys inside the batch's own key range can collide;
+            # the range filter lets parquet statistics skip the rest.
+            lo, hi = batch.select(F.min(key)).scalar(), batch.select(F.max(key)).scalar()
+            stored = stored.filter(F.col(key).between(lo, hi))
             firsts = firsts.join(stored.select(key), key, "left_anti")
         firsts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{table_path}/batch_id={batch_id}")
