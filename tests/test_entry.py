@@ -1,7 +1,6 @@
 """Driver contract and the SQL oracle on the smallest scale factor."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from vigil.operators import windows as W
 from vigil.session import shared_dir

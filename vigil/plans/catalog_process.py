@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil import rules
-from vigil.functions import predicates as P
 from vigil.functions import scalars as S
 from vigil.operators import aggregates as A
 from vigil.operators import clean as C

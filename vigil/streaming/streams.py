@@ -24,7 +24,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil import rules
 from vigil.operators import sets as X
-from vigil.sources import schemas
 
 DEFAULT_WATERMARK = "10 minutes"
 
