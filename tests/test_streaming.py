@@ -44,10 +44,11 @@ def test_cron_state_rule(spark):
 def test_throttle_greedy(spark):
     hours = [0, 3 + 59 / 60, 4, 7 + 59 / 60, 8]
     t0 = dt.datetime(2024, 1, 1)
-    pdf = pd.DataFrame({"id": range(5), "timestamp": [t0 + dt.timedelta(hours=h) for h in hours]})
-    _, stream = _folder_stream(spark, pdf, "id long, timestamp timestamp")
-    got = sorted(r.id for r in _drive(spark, ST.throttle(stream)).collect())
-    assert got == [0, 2, 4]
+    pdf = pd.DataFrame({"id": list(range(5)) + [5, 6], "user_name": ["a"] * 5 + ["b", "b"],
+                        "timestamp": [t0 + dt.timedelta(hours=h) for h in hours + [0, 1]]})
+    _, stream = _folder_stream(spark, pdf, "id long, user_name string, timestamp timestamp")
+    got = sorted(r.id for r in _drive(spark, ST.throttle(stream, key="user_name")).collect())
+    assert got == [0, 2, 4, 5]
 
 
 def test_file_changes_stream_equals_batch(spark):

@@ -179,7 +179,20 @@ def _throttle_alerts(t):
     return throttle_batch(t.commands.select("id", "timestamp"))
 
 
-@query("stream_throttle_keyed")
+@query("stream_throttle_keyed", f"""
+    WITH RECURSIVE a AS (SELECT id, timestamp, user_name FROM commands),
+    chain(user_name, id, timestamp) AS (
+      SELECT user_name, id, timestamp FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_name ORDER BY timestamp, id) AS rn FROM a) f WHERE rn = 1
+      UNION ALL
+      SELECT c.user_name,
+             (SELECT a.id FROM a WHERE a.user_name = c.user_name
+                AND a.timestamp >= c.timestamp + INTERVAL {rules.ALERT_INTERVAL_HOURS} HOURS
+              ORDER BY a.timestamp, a.id LIMIT 1),
+             (SELECT min(a.timestamp) FROM a WHERE a.user_name = c.user_name
+                AND a.timestamp >= c.timestamp + INTERVAL {rules.ALERT_INTERVAL_HOURS} HOURS)
+      FROM chain c WHERE c.id IS NOT NULL)
+    SELECT id, timestamp, user_name FROM chain WHERE id IS NOT NULL""", ("commands",))
 def _stream_throttle_keyed(t):
     """Per-user throttle with keyed state (applyInPandasWithState)."""
     proc = AD.process_from_events(_events_stream(t))

@@ -228,14 +228,13 @@ def file_changes(files: DataFrame) -> DataFrame:
 THROTTLE_STATE = T.StructType([T.StructField("last_sent", T.TimestampType())])
 
 
-def throttle(alerts_df: DataFrame, hours: float = rules.ALERT_INTERVAL_HOURS, key: str | None = None) -> DataFrame:
-    """Pass an alert only if >= ``hours`` since the last *passed* alert of
-    the key (greedy).  ``key=None`` is one global throttle, as reproduced;
-    its input per micro-batch is bounded by the trigger size."""
+def throttle(alerts_df: DataFrame, hours: float = rules.ALERT_INTERVAL_HOURS, key: str = "user_name") -> DataFrame:
+    """Per-key throttle with keyed state: an alert passes only if >= ``hours``
+    since the last *passed* alert of its key (greedy); state per key is one
+    timestamp.  The single global throttle of the reproduced alert mail is
+    ``vigil.operators.throttle.throttle_sink`` (distributed, no hot group)."""
     gap = pd.Timedelta(hours=hours)
-    k = key or "_throttle_key"
-    df = alerts_df if key else alerts_df.withColumn(k, F.lit("all"))
-    out_schema = T.StructType([f for f in df.schema.fields])
+    out_schema = T.StructType(list(alerts_df.schema.fields))
 
     def fn(kv, pdfs, state: GroupState):
         pdf = pd.concat(list(pdfs), ignore_index=True)
@@ -254,8 +253,8 @@ def throttle(alerts_df: DataFrame, hours: float = rules.ALERT_INTERVAL_HOURS, ke
         if any(keep):
             yield pdf[keep]
 
-    out = df.groupBy(k).applyInPandasWithState(fn, out_schema, THROTTLE_STATE, "append", GroupStateTimeout.NoTimeout)
-    return out if key else out.drop(k)
+    return alerts_df.groupBy(key).applyInPandasWithState(
+        fn, out_schema, THROTTLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # S11 ---------------------------------------------------------------------------------
