@@ -119,3 +119,16 @@ def test_ip_enrich_range_join(spark):
     got = {r.ip: (r.status, r.country) for r in J.ip_enrich(ips, geo).collect()}
     assert got == {"203.0.113.5": ("OK", "A"), "203.0.113.200": ("OK", "B"),
                    "not-an-ip": ("Invalid IP address", None), OWN: ("Whitelisted", None)}
+
+
+def test_null_keys_belong_to_no_group(spark):
+    rows = [dict(src_ip=None, dst_ip="x", dst_port=p, timestamp=ts(s=p)) for p in range(25)]
+    rows += [dict(src_ip="a", dst_ip=None, dst_port=1, timestamp=ts(s=1)), dict(src_ip="a", dst_ip=None, dst_port=2,
+                                                                               timestamp=ts(s=2))]
+    df = net_rows(spark, rows)
+    assert D.port_scan_stats(df).count() == 0
+    assert D.detect_port_scanning(df).filter("scan_risk = 1").count() == 0
+    for bucket in (None, "hour"):
+        diffs = [r.time_diff for r in W.time_diff(df, bucket=bucket).collect()]
+        assert all(d is None for d in diffs)
+    assert D.incident_multi_port(net_rows(spark, [dict(src_ip=None, dst_port=p) for p in range(6)])).count() == 0

@@ -128,3 +128,10 @@ def test_over_limit_and_manager_view(spark):
                            dict(cpu=99.0, command="python3 /tst.py"), dict(cpu=50.0, command="x /script.py")])
     assert [r.cpu for r in C.over_limit_candidates(df, "cpu").collect()] == [31.0]
     assert [r.cpu for r in C.manager_view(df, pool=2).collect()] == []
+
+
+def test_null_user_gets_no_rolling_stats(spark):
+    df = proc_rows(spark, [dict(user_name=None, cpu=1.0), dict(user_name=None, cpu=3.0), dict(user_name="a", cpu=2.0)])
+    for bucket in (None, "day"):
+        got = {r.id: r.cpu_rolling_mean for r in W.rolling_stats(df, ["user_name"], ["cpu"], bucket=bucket).collect()}
+        assert got == {0: None, 1: None, 2: 2.0}

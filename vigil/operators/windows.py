@@ -54,6 +54,15 @@ def _bucket(ts: str, unit: str | None) -> Column:
     return F.date_trunc(unit, F.col(ts)) if unit else F.lit(0)
 
 
+def _keys_present(keys: list[str]) -> Column:
+    """Rows whose group key has a NULL part belong to no group (pandas
+    ``groupby`` drops them): their window results are NULL."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return cond
+
+
 # -- lag: seconds since the previous event of the key ------------------------
 
 def time_diff(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp", tie: str = "id",
@@ -64,7 +73,8 @@ def time_diff(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp
     bucket = _resolve(df, keys, ts, bucket)
     if bucket is None:
         prev = F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6))
+        diff = F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6)
+        return df.withColumn(out, F.when(_keys_present(keys), diff))
 
     b = "_tb"
     x = df.withColumn(b, _bucket(ts, bucket))
@@ -77,9 +87,8 @@ def time_diff(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp
     )
     x = x.join(edges, [*keys, b], "left")
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return x.withColumn(out, F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6)).drop(
-        b, "_prev", "_carry"
-    )
+    diff = F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6)
+    return x.withColumn(out, F.when(_keys_present(keys), diff)).drop(b, "_prev", "_carry")
 
 
 def beaconing(df: DataFrame, keys: list[str] | None = None, **kw) -> DataFrame:
@@ -101,10 +110,11 @@ def file_mod_changes(files: DataFrame, key: str = "file", mtime: str = "mtime_s"
     bucket = _resolve(files, [key], ts, bucket)
     if bucket is None:
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return files.withColumn("prev_max", F.max(mtime).over(w)).filter(F.col(mtime) > F.col("prev_max"))
+        return files.filter(F.col(key).isNotNull()).withColumn("prev_max", F.max(mtime).over(w)).filter(
+            F.col(mtime) > F.col("prev_max"))
 
     b = "_tb"
-    x = files.withColumn(b, _bucket(ts, bucket))
+    x = files.filter(F.col(key).isNotNull()).withColumn(b, _bucket(ts, bucket))
     w_in = Window.partitionBy(key, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_in", F.max(mtime).over(w_in))
     carry = (
@@ -139,7 +149,7 @@ def rolling_stats(df: DataFrame, keys: list[str] | None = None, values: list[str
     bucket = _resolve(df, keys, ts, bucket)
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-P, 0)
-        return df.withColumns(_rolling_cols(values, w))
+        return _null_for_missing_keys(df.withColumns(_rolling_cols(values, w)), keys, values)
 
     b = "_tb"
     wk = Window.partitionBy(*keys, b)
@@ -172,7 +182,14 @@ def rolling_stats(df: DataFrame, keys: list[str] | None = None, values: list[str
     fixed = fixed.withColumns(_rolling_cols(values, wk.orderBy(*order).rowsBetween(-P, 0)))
     fixed = fixed.filter(~F.col("_halo")).drop("_halo")
     keep = [*base_cols, *[c for v in values for c in (f"{v}_rolling_mean", f"{v}_rolling_std")]]
-    return body.select(*keep).unionByName(fixed.select(*keep))
+    return _null_for_missing_keys(body.select(*keep).unionByName(fixed.select(*keep)), keys, values)
+
+
+def _null_for_missing_keys(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    present = _keys_present(keys)
+    return df.withColumns({
+        c: F.when(present, F.col(c)) for v in values for c in (f"{v}_rolling_mean", f"{v}_rolling_std")
+    })
 
 
 # -- value frequency mapped back ---------------------------------------------

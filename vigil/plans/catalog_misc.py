@@ -94,7 +94,7 @@ def _cron_new_jobs(t):
 @query("file_mod_changes", """
     SELECT * FROM (SELECT *, max(mtime_s) OVER (PARTITION BY file ORDER BY timestamp, id
                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max
-                   FROM file_ev) x
+                   FROM file_ev WHERE file IS NOT NULL) x
     WHERE mtime_s > prev_max""", ("file_ev",))
 def _file_mod_changes(t):
     return W.file_mod_changes(t.files)

@@ -32,7 +32,8 @@ C2X_SQL = (f"CAST(({sql_regex_ci('dst_ip', rules.C2_DOMAINS_EXTENDED)} OR COALES
            f"OR COALESCE(hour(timestamp) BETWEEN 0 AND 5, FALSE)) AS INTEGER)")
 EXFIL_SQL = f"CAST(({sql_external('dst_ip')} AND COALESCE(bytes_sent > {rules.EXFIL_BYTES}, FALSE)) AS INTEGER)"
 RATE_SQL = "bytes_sent / (duration + 0.001)"
-DIFF_SQL = "(epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY src_ip, dst_ip ORDER BY timestamp, id))) / 1e6"
+DIFF_SQL = ("CASE WHEN src_ip IS NOT NULL AND dst_ip IS NOT NULL THEN (epoch_us(timestamp) - epoch_us(lag(timestamp) "
+            "OVER (PARTITION BY src_ip, dst_ip ORDER BY timestamp, id))) / 1e6 END")
 SCAN_STATS_SQL = f"""
   SELECT src_ip, dst_ip, unique_ports, first_attempt, last_attempt, scan_duration,
          (unique_ports >= {rules.SCAN_PORTS_ALWAYS} OR (unique_ports >= {rules.SCAN_PORTS_BURST}

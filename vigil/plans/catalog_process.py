@@ -269,8 +269,8 @@ def _rolling_sql(cols: list[str]) -> str:
     w = "OVER (PARTITION BY user_name ORDER BY timestamp, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
     parts = []
     for c in cols:
-        parts.append(f"round(avg({c}) {w}, 6) AS {c}_rolling_mean")
-        parts.append(f"round(stddev_samp({c}) {w}, 6) AS {c}_rolling_std")
+        parts.append(f"CASE WHEN user_name IS NOT NULL THEN round(avg({c}) {w}, 6) END AS {c}_rolling_mean")
+        parts.append(f"CASE WHEN user_name IS NOT NULL THEN round(stddev_samp({c}) {w}, 6) END AS {c}_rolling_std")
     return ", ".join(parts)
 
 
@@ -441,7 +441,7 @@ def _fit_scaler(t):
 
 
 @query("behavior_features", f"""
-    SELECT p.id, {', '.join(f"round(avg({c}) OVER w, 6) AS {c}_rolling_mean, round(stddev_samp({c}) OVER w, 6) AS {c}_rolling_std" for c in rules.ROLLING_FEATURES)},
+    SELECT p.id, {', '.join(f"CASE WHEN p.user_name IS NOT NULL THEN round(avg({c}) OVER w, 6) END AS {c}_rolling_mean, CASE WHEN p.user_name IS NOT NULL THEN round(stddev_samp({c}) OVER w, 6) END AS {c}_rolling_std" for c in rules.ROLLING_FEATURES)},
            f.command_frequency
     FROM (SELECT *, CASE WHEN time_used IS NULL THEN 0.0 ELSE TRY_CAST(split_part(time_used, ':', 1) AS INTEGER) * 60.0
                  + TRY_CAST(split_part(time_used, ':', 2) AS DOUBLE) END AS time_used_seconds FROM process) p
