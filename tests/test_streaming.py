@@ -183,3 +183,36 @@ def test_upsert_skips_stored_and_duplicate_keys(spark):
     run()
     got = sorted((r.id, r.command) for r in spark.read.parquet(table).collect())
     assert got == [(1, "a"), (3, "c"), (5, "d")]
+
+
+def test_ingest_application_end_to_end(spark):
+    import json
+
+    from vigil.streaming.ingest import await_all, start_ingest
+
+    d = tempfile.mkdtemp(prefix="vigil-ingest-", dir="/tmp")
+    os.makedirs(f"{d}/in")
+    ev = [
+        {"type": "suspicious_command", "timestamp": "2024-01-01T00:00:01", "user": "r", "command": "nc -e sh", "pid": 7},
+        {"type": "suspicious_command", "timestamp": "2024-01-01T00:00:01", "user": "r", "command": "dup ts", "pid": 8},
+        {"type": "network_event", "timestamp": "2024-01-01T00:00:02", "src_ip": "1.1.1.1", "dst_ip": "2.2.2.2",
+         "src_port": 40000, "dst_port": 22, "flags": "S"},
+        {"type": "cron_event", "timestamp": "2024-01-01T00:00:03", "cron_file": "/etc/crontab", "job": "* * * * * x"},
+    ]
+    with open(f"{d}/in/a.ndjson", "w") as f:
+        for e in ev:
+            f.write(json.dumps(e) + "\n")
+        f.write("{broken\n")
+    await_all(start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/ck"))
+    cmds = spark.read.parquet(f"{d}/out/tables/suspicious_command").collect()
+    assert [(r.command, r.pid) for r in cmds] == [("nc -e sh", 7)]       # first row per timestamp kept
+    assert spark.read.parquet(f"{d}/out/tables/network_event").count() == 1
+    assert sorted(r.alert for r in spark.read.parquet(f"{d}/out/alerts").collect()) == [
+        "ALERT: Suspicious command detected - dup ts", "ALERT: Suspicious command detected - nc -e sh",
+        "ALERT: Suspicious network activity on port 22"]
+    assert [r.value for r in spark.read.text(f"{d}/out/routed/_quarantine").collect()] == ["{broken"]
+    # A second file with an already stored timestamp adds nothing to the table (restart from checkpoints).
+    with open(f"{d}/in/b.ndjson", "w") as f:
+        f.write(json.dumps({**ev[0], "command": "later same ts"}) + "\n")
+    await_all(start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/ck"))
+    assert spark.read.parquet(f"{d}/out/tables/suspicious_command").count() == 1

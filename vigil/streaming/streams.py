@@ -110,7 +110,11 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        firsts = X.dedup_first(batch.filter(F.col(key).isNotNull()), [key], order or ["id"])
+        if "_seq" in (order or []) and "_seq" not in batch.columns:
+            # Arrival order inside the micro-batch (file split order); only
+            # available on the static batch, not on the stream itself.
+            batch = batch.withColumn("_seq", F.monotonically_increasing_id())
+        firsts = X.dedup_first(batch.filter(F.col(key).isNotNull()), [key], order or ["id"]).drop("_seq")
         if path_exists(spark, table_path):
             stored = spark.read.parquet(table_path).filter(F.col("batch_id") != batch_id)
             # Only stored keys inside the batch's own key range can collide;
