@@ -132,3 +132,15 @@ def test_null_keys_belong_to_no_group(spark):
         diffs = [r.time_diff for r in W.time_diff(df, bucket=bucket).collect()]
         assert all(d is None for d in diffs)
     assert D.incident_multi_port(net_rows(spark, [dict(src_ip=None, dst_port=p) for p in range(6)])).count() == 0
+
+
+def test_network_view_panels_share_one_scored_frame(spark):
+    from vigil.plans.network_view import network_view
+
+    rows = [dict(src_ip="9.9.9.9", flags="S", dst_port=p % 3) for p in range(16)]      # 6/5/5 per port
+    rows += [dict(src_ip="9.9.9.9", flags="PA", dst_port=10 + p) for p in range(5)]    # 8 distinct ports
+    v = network_view(net_rows(spark, rows))
+    assert v.syn_floods.count() == 1 and v.port_access.count() == 3
+    assert [r.src_ip for r in v.top_inbound.collect()] == ["9.9.9.9"]
+    assert {r.type for r in v.incidents.collect()} == {"Multiple Ports Accessed", "Possible SYN Flood"}
+    assert v.metrics.first().total_events == 21

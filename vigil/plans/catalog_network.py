@@ -463,3 +463,11 @@ def _union_collector(t):
     net = C.filter_suspicious_ports(t.network).select(F.lit("network_event").alias("type"), "id", "timestamp",
                                                       "src_ip", "dst_ip", "src_port", "dst_port", "flags")
     return X.union_events(cmds, files, cron, net)
+
+
+@query("network_view_scored", f"""
+    SELECT *, CAST(0 AS INTEGER) AS threat_score, {_flag_text_sql('flags')} AS flag_analysis FROM network""", NET)
+def _network_view_scored(t):
+    from vigil.plans.network_view import score_network
+
+    return score_network(t.network)
