@@ -161,6 +161,7 @@ def test_distributed_throttle_matches_sequential(spark):
     got = sorted(r.id for r in throttle_batch(df, bucket="minute").collect())
     assert got == _greedy(times, dt.timedelta(hours=4))
     assert sorted(r.id for r in throttle_batch(df, bucket="hour").collect()) == got
+    assert sorted(r.id for r in throttle_batch(df, bucket="second").collect()) == got
 
 
 def test_upsert_skips_stored_and_duplicate_keys(spark):

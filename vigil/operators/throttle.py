@@ -28,6 +28,7 @@ from vigil import rules
 from vigil.session import shared_dir
 
 BUCKET_UNITS = ("hour", "minute", "second")
+COARSER = {"hour": "month", "minute": "day", "second": "hour"}
 
 
 def _us(ts: Column) -> Column:
@@ -48,13 +49,21 @@ def successors(alerts: DataFrame, gap_us: int, bucket: str = "minute", ts: str =
     w = (Window.partitionBy("_b").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("aid").desc_nulls_last())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = merged.withColumn("_nx", F.last(alert_ref, ignorenulls=True).over(w)).filter(F.col("kind") == 0)
-    # One row per bucket seen by an alert or a target (bounded by span / bucket
-    # width): the first alert of any later bucket, skipping empty buckets.
-    firsts = merged.groupBy("_b").agg(F.min(alert_ref).alias("_first"))
-    later = firsts.withColumn(
-        "_later", F.last("_first", ignorenulls=True).over(
-            Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    ).select("_b", "_later")
+    # First alert of any later bucket (empty buckets skipped), in two levels so
+    # no window sees more than one coarse bucket's fine buckets: inside each
+    # coarse bucket, a window over its fine buckets; across coarse buckets, a
+    # window over one row per coarse bucket (span / coarse unit rows).
+    coarse = COARSER[bucket]
+    firsts = merged.groupBy("_b").agg(F.min(alert_ref).alias("_first")).withColumn(
+        "_c", F.date_trunc(coarse, F.col("_b")))
+    before = Window.unboundedPreceding
+    in_c = firsts.withColumn("_later_in_c", F.last("_first", ignorenulls=True).over(
+        Window.partitionBy("_c").orderBy(F.col("_b").desc()).rowsBetween(before, -1)))
+    per_c = firsts.groupBy("_c").agg(F.min("_first").alias("_cfirst")).withColumn(
+        "_later_c", F.last("_cfirst", ignorenulls=True).over(
+            Window.orderBy(F.col("_c").desc()).rowsBetween(before, -1)))
+    later = in_c.join(per_c.select("_c", "_later_c"), "_c").select(
+        "_b", F.coalesce(F.col("_later_in_c"), F.col("_later_c")).alias("_later"))
     out = found.join(later, "_b", "left")
     return out.select(F.col("qid").alias("id"), F.coalesce(F.col("_nx.id"), F.col("_later.id")).alias("nxt"))
 
