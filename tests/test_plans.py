@@ -51,3 +51,46 @@ def test_no_python_and_no_cartesian(spark, name):
     s = summarise(text)
     assert not s["python"], s["python"]
     assert "CartesianProduct" not in text
+
+
+def _top_level_lists(args: str) -> list[str]:
+    groups, depth, start = [], 0, None
+    for i, ch in enumerate(args):
+        if ch in "[(":
+            if ch == "[" and depth == 0:
+                start = i + 1
+            depth += 1
+        elif ch in "])":
+            depth -= 1
+            if ch == "]" and depth == 0 and start is not None:
+                groups.append(args[start:i])
+                start = None
+    return groups
+
+
+def _window_partition_specs(text):
+    """Partition-column lists of every Window operator in a formatted plan
+    ("" for a window without PARTITION BY)."""
+    import re
+
+    specs = []
+    for block in re.split(r"\n\n", text):
+        if re.match(r"^\(\d+\) Window\s*$", block.split("\n", 1)[0]):
+            args = re.search(r"Arguments: (.*)", block)
+            if not args:
+                continue
+            groups = _top_level_lists(args.group(1))
+            if len(groups) >= 3:
+                specs.append(groups[1])
+            elif len(groups) == 2 and not re.search(r"\b(ASC|DESC)\b", groups[1]):
+                specs.append(groups[1])
+            else:
+                specs.append("")
+    return specs
+
+
+@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - {n for n in E.oracle_sql() if n.startswith("stream_")}
+                                        - {"throttle_alerts"}))
+def test_no_single_partition_window(spark, name):
+    specs = _window_partition_specs(_plan(spark, name))
+    assert all(s.strip() for s in specs), specs

@@ -45,19 +45,29 @@ def behavior_features(process: DataFrame, bucket: str | None = W.DEFAULT_BUCKET)
 
 
 # M3 ----------------------------------------------------------------------------
+MAX_CODE_PARTS = 1024
+
+
 def dense_codes(labels: DataFrame, group: str, label: str, parts: int | None = None) -> DataFrame:
-    """(group, label) distinct rows -> code = rank of label within group, 0-based."""
+    """(group, label) distinct rows -> code = rank of label within group, 0-based.
+
+    Labels are range-partitioned (at most ``MAX_CODE_PARTS`` ranges) and
+    numbered inside each range; a range's offset is the number of labels of
+    the same group in earlier ranges, summed over the small per-range size
+    table (at most groups x ranges^2 / 2 pairs) -- no window ever sees more
+    than one range."""
     spark = labels.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CODE_PARTS)
     r = labels.repartitionByRange(parts, group, label).withColumn("_part", F.spark_partition_id())
     r = r.withColumn("_pos", F.row_number().over(Window.partitionBy(group, "_part").orderBy(label)))
     sizes = r.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part")
-                                   .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select(group, "_part", "_off")
-    # offsets has (#groups x #partitions) rows: a fixed, small bound.
+    a, b = sizes.alias("a"), sizes.alias("b")
+    offsets = (
+        a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("b._part") < F.col("a._part")), "left")
+        .groupBy(F.col(f"a.{group}").alias(group), F.col("a._part").alias("_part"))
+        .agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_off"))
+    )
+    # offsets has at most (#groups x ranges) rows: a fixed, small bound.
     return r.join(F.broadcast(offsets), [group, "_part"]).select(
         group, label, (F.col("_off") + F.col("_pos") - 1).cast("int").alias("code")
     )
