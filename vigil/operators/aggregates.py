@@ -197,9 +197,11 @@ def hour_command_pivot(process: DataFrame, commands: list[str] | None = None,
 
 # A17 ---------------------------------------------------------------------------
 def c2_rollup(c2_rows: DataFrame) -> DataFrame:
-    """Hierarchical byte totals src -> dst -> protocol (sunburst data)."""
+    """Hierarchical byte totals src -> dst -> protocol (sunburst data).  The
+    grand-total row sums every row, so the sum is a 38-digit decimal (no
+    64-bit overflow at any scale)."""
     return c2_rows.rollup("src_ip", "dst_ip", "protocol").agg(
-        F.sum("bytes_sent").alias("bytes_sent"), F.grouping_id().alias("level")
+        F.sum(F.col("bytes_sent").cast("decimal(38,0)")).alias("bytes_sent"), F.grouping_id().alias("level")
     )
 
 

@@ -299,7 +299,7 @@ def _scanned_ports(t):
 
 
 @query("c2_rollup", f"""
-    SELECT src_ip, dst_ip, protocol, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
+    SELECT src_ip, dst_ip, protocol, CAST(sum(bytes_sent) AS DECIMAL(38,0)) AS bytes_sent,
            CAST(grouping(src_ip, dst_ip, protocol) AS BIGINT) AS level
     FROM (SELECT *, {C2_SQL} AS c2_risk FROM network) x WHERE c2_risk = 1
     GROUP BY ROLLUP (src_ip, dst_ip, protocol)""", NET)
