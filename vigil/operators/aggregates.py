@@ -275,3 +275,10 @@ def sort_by_threat(df: DataFrame) -> DataFrame:
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def value_histogram(df: DataFrame, col: str, width: float) -> DataFrame:
+    """Counts per fixed-width bin of a numeric column (bin = lower edge);
+    NULL values are left out (chart data: anomaly scores, CPU usage)."""
+    edge = (F.floor(F.col(col) / F.lit(width)) * F.lit(width)).cast("double")
+    return df.filter(F.col(col).isNotNull()).groupBy(edge.alias("bin_start")).agg(_count().alias("count"))

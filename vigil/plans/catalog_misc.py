@@ -220,3 +220,8 @@ def _parse_process_csv(t):
 @query("sort_incidents_rank", f"WITH {ASOF_SQL} SELECT * FROM ({INCIDENTS_SQL}) i", NP)
 def _sort_incidents_rank(t):
     return D.sort_incidents(incidents(t), "rank")
+
+
+@query("anomaly_score_histogram")
+def _anomaly_score_histogram(t):
+    return A.value_histogram(_intel(t).process, "anomaly_score", 0.05)

@@ -504,3 +504,10 @@ def _over_limit_cpu_top10(t):
     WHERE memory > {rules.OVER_LIMIT_MEMORY} AND {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
 def _over_limit_memory_top10(t):
     return C.over_limit_candidates(t.process, "memory", pool=10)
+
+
+@query("cpu_histogram", """
+    SELECT CAST(floor(cpu / 10.0) * 10.0 AS DOUBLE) AS bin_start, count(*) AS count FROM process
+    WHERE cpu IS NOT NULL GROUP BY 1""", PROC)
+def _cpu_histogram(t):
+    return A.value_histogram(t.process, "cpu", 10.0)
