@@ -125,14 +125,21 @@ def scale(df: DataFrame, scaler: DataFrame, suffix: str = "_scaled") -> DataFram
 def assemble(df: DataFrame, features: list[str] | None = None, scaled: bool = True) -> DataFrame:
     """Model matrix: the fixed feature list (scaled columns where present),
     NULL/NaN -> 0.0, as double columns named after the features."""
+    cols = [c.alias(f) for f, c in feature_columns(df, features, scaled).items()]
+    return df.select(*[c for c in ("id", "timestamp", "pid", "user_name", "command") if c in df.columns], *cols)
+
+
+def feature_columns(df: DataFrame, features: list[str] | None = None, scaled: bool = True) -> dict:
+    """feature name -> model input expression (scaled column where present,
+    NULL/NaN -> 0.0) for the features ``df`` can provide."""
     feats = features or list(rules.MODEL_FEATURES)
-    cols = []
+    out = {}
     for f in feats:
         src = f"{f}_scaled" if scaled and f"{f}_scaled" in df.columns else f
         if src in df.columns:
             v = F.col(src).cast("double")
-            cols.append(F.when(F.isnan(v) | v.isNull(), F.lit(0.0)).otherwise(v).alias(f))
-    return df.select(*[c for c in ("id", "timestamp", "pid", "user_name", "command") if c in df.columns], *cols)
+            out[f] = F.when(F.isnan(v) | v.isNull(), F.lit(0.0)).otherwise(v)
+    return out
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

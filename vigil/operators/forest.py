@@ -172,11 +172,14 @@ def _path_lengths(X: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
     return total / n_trees
 
 
-def score_samples(X: DataFrame, model: ForestModel, out: str = "anomaly_score_raw") -> DataFrame:
-    """Append ``-2^(-E[h]/c(psi))`` (in [-1, 0]; lower = more anomalous)."""
+def score_samples(X: DataFrame, model: ForestModel, out: str = "anomaly_score_raw",
+                  columns: list[str] | None = None) -> DataFrame:
+    """Append ``-2^(-E[h]/c(psi))`` (in [-1, 0]; lower = more anomalous).
+    ``columns`` names the input column of each model feature (default: the
+    feature names themselves)."""
     spark = X.sparkSession
     bc = spark.sparkContext.broadcast(_model_arrays(model))
-    feats, cpsi = list(model.features), c_factor(model.psi)
+    feats, cpsi = list(columns or model.features), c_factor(model.psi)
     schema = T.StructType(X.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
@@ -196,12 +199,12 @@ def fit_offset(scored: DataFrame, contamination: float = rules.FOREST_CONTAMINAT
     return float(scored.agg(F.percentile_approx(col, contamination, accuracy)).first()[0])
 
 
-def score_anomalies(X: DataFrame, model: ForestModel) -> DataFrame:
+def score_anomalies(X: DataFrame, model: ForestModel, columns: list[str] | None = None) -> DataFrame:
     """anomaly_score = raw - offset; is_anomaly = -1 if < 0 else 1;
     anomaly_risk = 10 - half-even(10 * score)."""
     from vigil.functions.scalars import anomaly_risk
 
-    raw = score_samples(X, model)
+    raw = score_samples(X, model, columns=columns)
     offset = model.offset if model.offset is not None else 0.0
     s = F.col("anomaly_score_raw") - F.lit(offset)
     return raw.withColumn("anomaly_score", s).withColumn(

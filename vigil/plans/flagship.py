@@ -65,8 +65,12 @@ def process_intelligence(process: DataFrame, network: DataFrame, hours: int | No
     model = FR.load_or_fit(spark, matrix, model_path, [c for c in rules.MODEL_FEATURES if c in matrix.columns])
     if model_path:
         M.save_preprocessing(vocab, scaler, model_path)
-    scores = FR.score_anomalies(matrix, model).select("id", "anomaly_score", "is_anomaly", "anomaly_risk")
-    scored = feats.join(scores, "id")
+    # Score the feature rows directly (model inputs as temporary columns), so
+    # no join of two full-size frames is needed to attach the scores.
+    inputs = M.feature_columns(feats, model.features)
+    tmp = {f"__in_{f}": c for f, c in inputs.items()}
+    scored = FR.score_anomalies(feats.withColumns(tmp), model, columns=list(tmp)).drop(
+        *tmp, "anomaly_score_raw")
     if persist:
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     merged = J.network_behavior_join(scored, A.network_window_stats(net))
