@@ -87,13 +87,21 @@ def fit_vocab(process: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``<col>_encoded`` = vocabulary code, -1 for labels not in the vocabulary."""
+    """``<col>_encoded`` = vocabulary code, -1 for labels not in the vocabulary.
+
+    The distinct label combinations are encoded first (one small join per
+    column), then the rows get all codes in a single join on the
+    combination (NULL-safe), instead of one full-size join per column;
+    process snapshots repeat the same (user, command, state) combinations."""
     cols = cols or [c for c in rules.CATEGORICAL_FEATURES if c in df.columns]
-    out = df
+    combos = df.select(*cols).distinct()
     for c in cols:
         v = vocab.filter(F.col("feature") == c).select(F.col("label").alias(c), F.col("code").alias(f"{c}_encoded"))
-        out = out.join(v, c, "left").withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(-1)))
-    return out
+        combos = combos.join(v, c, "left").withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(-1)))
+    d, t = df.alias("_d"), combos.alias("_t")
+    cond = reduce(lambda a, b: a & b, [F.col(f"_d.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in cols])
+    return d.join(t, cond, "left").select(
+        "_d.*", *[F.coalesce(F.col(f"_t.{c}_encoded"), F.lit(-1)).alias(f"{c}_encoded") for c in cols])
 
 
 # M4 ----------------------------------------------------------------------------
