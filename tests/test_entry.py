@@ -48,3 +48,10 @@ def test_oracle(spark, duck, name):
     idx = [dcols.index(c) for c in cols]
     drows = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert srows == drows
+
+
+@pytest.mark.parametrize("name", ["approx_port_scan", "hour_command_pivot", "kmeans_network", "stream_first_seen",
+                                  "stream_window_stats"])
+def test_rows_only_queries_run(spark, name):
+    df = E.queries()[name](spark, SF)
+    assert df.count() > 0
