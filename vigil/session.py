@@ -49,24 +49,29 @@ def apply_defaults(spark: SparkSession) -> None:
             pass
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint directory.
+def shared_base(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    The cluster names that directory in ``spark.checkpoint.dir``; we only set
-    one ourselves when it is unset (local tests).
-    """
+    A local master (tests) may leave it unset and gets a folder under
+    ``/tmp``; any other master must name one, because a folder on one machine
+    is invisible to the others and later reads would miss rows."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/vigil-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable: reuse the configured directory."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/vigil-checkpoints"
-    spark.sparkContext.setCheckpointDir(base)
-    return spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
+    spark.sparkContext.setCheckpointDir("/tmp/vigil-checkpoints")
+    return "/tmp/vigil-checkpoints"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint directory."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``shared_dir`` once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
