@@ -25,6 +25,42 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# -- 1: WARC -----------------------------------------------------------------------------
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS first FROM p GROUP BY h),
+u AS (SELECT h, first, array_to_string(list_transform(string_split(sha1(h), ''), c -> ['0000', '0001', '0010', '0011',
+        '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111']
+        [instr('0123456789abcdef', c)]), '') AS bits FROM g),
+x AS (SELECT h, first, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+        + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+        + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS digest FROM u)
+SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, x.digest AS payload_digest,
+       CASE WHEN p.page_id = x.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> x.first THEN x.first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p JOIN x ON p.h = x.h
+"""
+
+
+@register("op1_warc", WARC_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.warc import round_trip
+
+    back = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+# -- 2: suffix-array dedup ---------------------------------------------------------------
+
+@register("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=100).drop("spans", "kept")
+
+
 # -- 3: benchmark decontamination --------------------------------------------------------
 
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -58,6 +94,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), bench).drop("items")
 
 
+# -- 4: toxicity -------------------------------------------------------------------------
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+# -- 5: language ID ----------------------------------------------------------------------
+
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.language import language_id
+
+    return language_id(documents(spark, sf_dir))
+
+
 # -- 6: exact dedup ----------------------------------------------------------------------
 
 EXACT_SQL = """
@@ -76,6 +130,44 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+# -- 7: MinHash near-dedup ---------------------------------------------------------------
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, step.b FROM reach JOIN step ON reach.b = step.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.component_id, d.doc_id = comp.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.a = d.doc_id
+"""
+
+
+@register("op7_near_dedup", NEAR_SQL)
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.near_dup import near_dedup
+
+    return near_dedup(documents(spark, sf_dir), shingle=3, percent=85)
+
+
+# -- 8: SentencePiece --------------------------------------------------------------------
+
+@register("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again: number and hash of the ids,
+    digest of the decoded text, and whether it is the text."""
+    from vigil.llm.pieces import round_trip
+
+    both = round_trip(documents(spark, sf_dir).select("doc_id", "text"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), F.col("same").alias("round_trip"))
+
+
 # -- 9: sharding -------------------------------------------------------------------------
 
 @register("op9_sharding")
@@ -85,3 +177,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(documents(spark, sf_dir), shards=40, seed=20240101)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+# -- 10: personal data -------------------------------------------------------------------
+
+@register("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.personal_data import as_text, personal_data
+
+    found = personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
+                        as_text(F.col("found")).alias("spans"))

@@ -83,6 +83,22 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     return scratch.cut(keyed, "keyed")
 
 
+def with_key(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart, ordered
+    like the id: the id itself where it is unique, else an added number of
+    the rows sorted by id and text hash, written once."""
+    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
+    if odd.isEmpty():
+        return docs, id_col
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    hashed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    numbered = hashed.repartitionByRange(id_col, key).sortWithinPartitions(id_col, key).withColumn(
+        key, F.monotonically_increasing_id())
+    return scratch.cut(numbered, "numbered"), key
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): (node, comp) for
     every node of an edge, ``comp`` the smallest node of its component.
