@@ -50,7 +50,7 @@ def test_oracle(spark, duck, name):
     assert srows == drows
 
 
-@pytest.mark.parametrize("name", ["approx_port_scan", "hour_command_pivot", "kmeans_network", "stream_first_seen",
+@pytest.mark.parametrize("name", ["approx_port_scan", "kmeans_network", "stream_first_seen",
                                   "stream_window_stats"])
 def test_rows_only_queries_run(spark, name):
     df = E.queries()[name](spark, SF)

@@ -72,9 +72,9 @@ def test_c2_extended_adds_protocol_and_night(spark):
 def test_beaconing_gaps(spark):
     rows = [dict(timestamp=ts(s=0)), dict(timestamp=ts(s=0)), dict(timestamp=ts(s=3600)),
             dict(timestamp=ts(s=7201))]
-    for bucket in (None, "day", "hour"):
+    for ranged in (False, True):
         got = [(r.time_diff, r.periodic_flag) for r in
-               W.beaconing(net_rows(spark, rows), bucket=bucket).orderBy("id").collect()]
+               W.beaconing(net_rows(spark, rows), ranged=ranged).orderBy("id").collect()]
         assert got == [(None, False), (0.0, False), (3600.0, True), (3601.0, False)]
 
 
@@ -128,8 +128,8 @@ def test_null_keys_belong_to_no_group(spark):
     df = net_rows(spark, rows)
     assert D.port_scan_stats(df).count() == 0
     assert D.detect_port_scanning(df).filter("scan_risk = 1").count() == 0
-    for bucket in (None, "hour"):
-        diffs = [r.time_diff for r in W.time_diff(df, bucket=bucket).collect()]
+    for ranged in (False, True):
+        diffs = [r.time_diff for r in W.time_diff(df, ranged=ranged).collect()]
         assert all(d is None for d in diffs)
     assert D.incident_multi_port(net_rows(spark, [dict(src_ip=None, dst_port=p) for p in range(6)])).count() == 0
 

@@ -79,10 +79,10 @@ def test_rolling_matches_plain_and_min_periods(spark):
     rows += [dict(user_name="b", cpu=7.0, timestamp=ts(h=1))]
     rows += [dict(user_name="c", cpu=float(i), timestamp=ts(h=2)) for i in range(5)]  # ties on time
     df = proc_rows(spark, rows)
-    plain = W.rolling_stats(df, ["user_name"], ["cpu"], bucket=None)
-    bucketed = W.rolling_stats(df, ["user_name"], ["cpu"], bucket="day")
+    plain = W.rolling_stats(df, ["user_name"], ["cpu"], ranged=False)
+    spread = W.rolling_stats(df, ["user_name"], ["cpu"], ranged=True)
     a = sorted((r.id, r.cpu_rolling_mean, r.cpu_rolling_std) for r in plain.collect())
-    b = sorted((r.id, r.cpu_rolling_mean, r.cpu_rolling_std) for r in bucketed.collect())
+    b = sorted((r.id, r.cpu_rolling_mean, r.cpu_rolling_std) for r in spread.collect())
     assert a == b
     by_id = {r[0]: r for r in a}
     assert by_id[0][2] is None and by_id[0][1] == 0.0          # first row: std NULL
@@ -101,7 +101,7 @@ def test_vocab_and_unseen(spark):
 
 def test_dense_codes_many_partitions(spark):
     labels = spark.range(0, 5000).select(F.lit("f").alias("feature"), F.format_string("%05d", "id").alias("label"))
-    codes = M.dense_codes(labels, "feature", "label", parts=7)
+    codes = M.dense_codes(labels, "feature", "label")
     got = sorted((r.label, r.code) for r in codes.collect())
     assert [c for _, c in got] == list(range(5000))
 
@@ -132,6 +132,6 @@ def test_over_limit_and_manager_view(spark):
 
 def test_null_user_gets_no_rolling_stats(spark):
     df = proc_rows(spark, [dict(user_name=None, cpu=1.0), dict(user_name=None, cpu=3.0), dict(user_name="a", cpu=2.0)])
-    for bucket in (None, "day"):
-        got = {r.id: r.cpu_rolling_mean for r in W.rolling_stats(df, ["user_name"], ["cpu"], bucket=bucket).collect()}
+    for ranged in (False, True):
+        got = {r.id: r.cpu_rolling_mean for r in W.rolling_stats(df, ["user_name"], ["cpu"], ranged=ranged).collect()}
         assert got == {0: None, 1: None, 2: 2.0}

@@ -68,8 +68,10 @@ def suspicious_port(src_port: Column, dst_port: Column, ports: list[int] | None
 
 IPV4_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"^{IPV4_OCTET}(\.{IPV4_OCTET}){{3}}$"
-# Simplified IPv6 shape: hex groups and colons (optionally a dotted tail).
-IPV6_RE = r"^[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}(:[0-9.]+)?$"
+# Eight hex groups, or fewer around one "::".
+HEXTET = r"[0-9A-Fa-f]{1,4}"
+IPV6_FULL = rf"^{HEXTET}(:{HEXTET}){{7}}$"
+IPV6_SHORT = rf"^({HEXTET}(:{HEXTET})*)?::({HEXTET}(:{HEXTET})*)?$"
 
 
 def is_ipv4(c: Column) -> Column:
@@ -77,5 +79,15 @@ def is_ipv4(c: Column) -> Column:
 
 
 def validate_ip(c: Column) -> Column:
-    """Address parses as IPv4 (strict dotted quad) or looks like IPv6."""
-    return F.coalesce(c.rlike(IPV4_RE) | (c.contains(":") & c.rlike(IPV6_RE)), F.lit(False))
+    """Address parses as IPv4 (strict dotted quad) or IPv6."""
+    return F.coalesce(c.rlike(IPV4_RE) | is_ipv6(c), F.lit(False))
+
+
+def is_ipv6(c: Column) -> Column:
+    """Eight groups, or at most seven around one ``::``; a dotted quad may
+    stand for the last two, a scope (``%eth0``) may follow."""
+    bare = F.regexp_replace(c, r"%[^%/]+$", "")
+    dotted = F.regexp_extract(bare, r":([0-9.]+)$", 1)
+    hexed = F.when(dotted.contains(".") & dotted.rlike(IPV4_RE), F.regexp_replace(bare, r"[0-9.]+$", "0:0")).otherwise(bare)
+    groups = F.size(F.filter(F.split(hexed, ":"), lambda g: g != ""))
+    return F.coalesce(hexed.rlike(IPV6_FULL) | (hexed.rlike(IPV6_SHORT) & (groups <= 7)), F.lit(False))

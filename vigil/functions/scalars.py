@@ -51,7 +51,7 @@ def threat_score(columns: list[str] | DataFrame) -> Column:
         for kw in rules.THREAT_KEYWORDS:
             terms.append(F.when(F.coalesce(c.contains(kw), F.lit(False)), rules.THREAT_KEYWORD_WEIGHT).otherwise(0))
     if "cpu" in cols and "memory" in cols:
-        hot = F.coalesce((F.col("cpu") > 90) & (F.col("memory") > 90), F.lit(False))
+        hot = F.coalesce(over(F.col("cpu"), 90) & over(F.col("memory"), 90), F.lit(False))
         terms.append(F.when(hot, rules.THREAT_RESOURCE_WEIGHT).otherwise(0))
     total = sum(terms[1:], terms[0]) if terms else F.lit(0)
     return F.least(total, F.lit(rules.THREAT_CAP)).cast("int")
@@ -191,6 +191,11 @@ def mem_ratio(res: Column, virt: Column) -> Column:
     return res / (virt + F.lit(1e-6))
 
 
+def over(value: Column, limit: float) -> Column:
+    """value > limit, with NaN over nothing (Spark orders NaN above all)."""
+    return (value > limit) & ~F.isnan(value.cast("double"))
+
+
 def floor_minutes(ts: Column, minutes: int = rules.BUCKET_MINUTES) -> Column:
     return F.window(ts, f"{minutes} minutes").start
 

@@ -9,11 +9,12 @@ aggregate and reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import rules
 from vigil.functions import scalars as S
+from vigil.operators.clean import coerce_timestamp, with_defaults
 
 
 def _count() -> Column:
@@ -96,7 +97,9 @@ def cron_metrics(cron: DataFrame) -> DataFrame:
 # A9 ----------------------------------------------------------------------------
 def network_window_stats(network: DataFrame, minutes: int = rules.BUCKET_MINUTES) -> DataFrame:
     """Per (5-minute bucket, source): bytes, distinct ports, distinct
-    destinations and the max of the risk flags that are present."""
+    destinations and the max of the risk flags that are present.  Columns the
+    stored table may lack get the behaviour analysis' defaults."""
+    network = coerce_timestamp(with_defaults(network, {"bytes_sent": 0, "dst_port": -1, "dst_ip": "0.0.0.0", "src_ip": "0.0.0.0"}))
     n = network.withColumn("time_window", S.floor_minutes(F.col("timestamp"), minutes))
     aggs = [
         F.sum("bytes_sent").alias("bytes_sent"),
@@ -133,13 +136,26 @@ def scanned_ports_by_source(scan_rows: DataFrame) -> DataFrame:
 
 
 # A13 / A18 ---------------------------------------------------------------------
-def threat_matrix(merged: DataFrame, risk: str = "anomaly_risk") -> DataFrame:
-    """Per (command, n_dst_ports): max risk, total bytes, distinct pids.
-    Null group keys are dropped (pandas groupby semantics)."""
+def behavior_cells(process: DataFrame, window_stats: DataFrame, risk: str,
+                   minutes: int = rules.BUCKET_MINUTES) -> DataFrame:
+    """What the behaviour join says per (window, command, pid, n_dst_ports),
+    without the join's rows: process rows are counted per (window, command,
+    pid) and sources per (window, n_dst_ports) first, and a cell stands for
+    ``rows`` x ``sources`` joined rows.  Null group keys are dropped."""
+    p = (process.filter(F.col("command").isNotNull())
+         .groupBy(S.floor_minutes(F.col("timestamp"), minutes).alias("time_window"), "command", "pid")
+         .agg(_count().alias("rows"), F.count(risk).alias("risks"), F.max(risk).alias("max_risk"), F.sum(risk).alias("sum_risk")))
+    n = (window_stats.filter(F.col("n_dst_ports").isNotNull()).groupBy("time_window", "n_dst_ports")
+         .agg(_count().alias("sources"), F.sum("bytes_sent").alias("bytes_sent")))
+    return p.join(n, "time_window")
+
+
+def threat_matrix(process: DataFrame, window_stats: DataFrame, risk: str = "anomaly_risk") -> DataFrame:
+    """Per (command, n_dst_ports) of the behaviour join: max risk, total
+    bytes, distinct pids."""
     return (
-        merged.filter(F.col("command").isNotNull() & F.col("n_dst_ports").isNotNull())
-        .groupBy("command", "n_dst_ports")
-        .agg(F.max(risk).alias("max_risk"), F.sum("bytes_sent").alias("bytes_sent"),
+        behavior_cells(process, window_stats, risk).groupBy("command", "n_dst_ports")
+        .agg(F.max("max_risk").alias("max_risk"), F.sum(F.col("bytes_sent") * F.col("rows")).alias("bytes_sent"),
              F.countDistinct("pid").alias("n_pids"))
     )
 
@@ -148,10 +164,12 @@ def top_matrix(matrix: DataFrame, n: int = 10) -> DataFrame:
     return matrix.orderBy(F.col("max_risk").desc(), F.col("command"), F.col("n_dst_ports")).limit(n)
 
 
-def risk_density(merged: DataFrame, risk: str = "anomaly_risk") -> DataFrame:
+def risk_density(process: DataFrame, window_stats: DataFrame, risk: str = "anomaly_risk") -> DataFrame:
+    """Per (n_dst_ports, command) of the behaviour join: mean risk."""
+    total = F.sum(F.col("sum_risk") * F.col("sources"))
     return (
-        merged.filter(F.col("command").isNotNull() & F.col("n_dst_ports").isNotNull())
-        .groupBy("n_dst_ports", "command").agg(F.avg(risk).alias("avg_risk"))
+        behavior_cells(process, window_stats, risk).groupBy("n_dst_ports", "command")
+        .agg(F.try_divide(total, F.sum(F.col("risks") * F.col("sources"))).alias("avg_risk"))
     )
 
 
@@ -185,13 +203,12 @@ def hour_command_cpu(process: DataFrame, exact_scale: int | None = None) -> Data
     )
 
 
-def hour_command_pivot(process: DataFrame, commands: list[str] | None = None,
-                       exact_scale: int | None = None) -> DataFrame:
-    """Wide heat map: one row per (user, hour), one column per command.
-    Pass ``commands`` when known to avoid the extra distinct-values job (and
-    to bound the number of columns; Spark refuses more than
-    ``spark.sql.pivotMaxValues`` discovered values)."""
-    base = process.filter(F.col("command").isNotNull()).withColumn("hour", F.hour("timestamp"))
+def hour_command_pivot(process: DataFrame, commands: list[str], exact_scale: int | None = None) -> DataFrame:
+    """Wide heat map: one row per (user, hour), one column per command of
+    ``commands``.  The columns are the caller's choice (a chart's rows);
+    finding them in the data would bring every distinct command to the
+    driver.  All commands are in the long form, ``hour_command_cpu``."""
+    base = process.filter(F.col("command").isNotNull() & F.col("timestamp").isNotNull()).withColumn("hour", F.hour("timestamp"))
     return base.groupBy("user_name", "hour").pivot("command", commands).agg(S.mean_of(F.col("cpu"), exact_scale))
 
 
@@ -273,10 +290,6 @@ def sort_by_threat(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("threat_score").desc(), F.col("timestamp").desc(), F.col("id").desc())
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 def value_histogram(df: DataFrame, col: str, width: float) -> DataFrame:
     """Counts per fixed-width bin of a numeric column (bin = lower edge);
     NULL values are left out (chart data: anomaly scores, CPU usage)."""

@@ -58,10 +58,18 @@ def fetch_window(df: DataFrame, hours: int = rules.DEFAULT_HOURS, as_of: Column
     """Rows of the last ``hours`` hours before ``as_of`` (default: newest row).
 
     The bound is compared against the bare timestamp column, so parquet
-    min/max statistics (and a date partition filter, when the table is
-    partitioned by event date) prune files."""
+    min/max statistics prune files; a table with ``event_date`` folders gets
+    the same bound on the date, which prunes whole folders."""
     as_of = as_of if as_of is not None else df.select(F.max(ts)).scalar()
-    return df.filter(F.col(ts) >= as_of - F.make_dt_interval(hours=F.lit(hours)))
+    since = as_of - F.make_dt_interval(hours=F.lit(hours))
+    rows = df.filter(F.col(ts) >= since)
+    return rows.filter(F.col("event_date") >= F.to_date(since)) if "event_date" in df.columns else rows
+
+
+def latest_snapshot(process: DataFrame, minutes: int = rules.BUCKET_MINUTES, ts: str = "timestamp") -> DataFrame:
+    """Rows of the newest listing: those in the time bucket of the newest row."""
+    newest = process.agg(F.max(ts).alias("newest")).select(S.floor_minutes(F.col("newest"), minutes)).scalar()
+    return process.filter(F.col(ts) >= newest)
 
 
 def latest_n(df: DataFrame, n: int = rules.LATEST_N, ts: str = "timestamp", tie: str = "id") -> DataFrame:
@@ -90,24 +98,26 @@ def with_external_flag(df: DataFrame, col: str = "dst_ip") -> DataFrame:
 
 
 def over_limit_candidates(process: DataFrame, metric: str = "cpu", threshold: float | None = None,
-                          pool: int | None = None) -> DataFrame:
-    """Processes over a CPU (default > 30) or memory (> 25) limit, not
-    whitelisted and not one of the excluded scripts.  ``pool=k`` first keeps
-    the k top-CPU rows (the remote listing only shows those); ``None`` = all.
-    Emits candidates only; no action is taken."""
+                          pool: int | None = None, minutes: int | None = rules.BUCKET_MINUTES) -> DataFrame:
+    """Processes of the latest snapshot over a CPU (default > 30) or memory
+    (> 25) limit, not whitelisted and not one of the excluded scripts.
+    ``pool=k`` first keeps the k top-CPU rows (the remote listing only shows
+    those); ``None`` = all.  ``minutes`` is the width of a snapshot; None
+    takes every row.  Emits candidates only; no action is taken."""
     if threshold is None:
         threshold = rules.OVER_LIMIT_CPU if metric == "cpu" else rules.OVER_LIMIT_MEMORY
-    rows = process
+    rows = latest_snapshot(process, minutes) if minutes else process
     if pool is not None:
         rows = rows.orderBy(F.col("cpu").desc(), F.col("id").desc()).limit(pool)
     cmd = F.col("command")
-    return rows.filter((F.col(metric) > threshold) & ~P.is_whitelisted(cmd) & ~P.is_excluded(cmd))
+    return rows.filter(S.over(F.col(metric), threshold) & ~P.is_whitelisted(cmd) & ~P.is_excluded(cmd))
 
 
-def manager_view(process: DataFrame, pool: int = 10) -> DataFrame:
-    """Top ``pool`` processes by CPU, then whitelist/exclusions removed (the
+def manager_view(process: DataFrame, pool: int = 10, minutes: int | None = rules.BUCKET_MINUTES) -> DataFrame:
+    """Top ``pool`` processes of the latest snapshot by CPU, then whitelist/exclusions removed (the
     limit applies before the exclusion, as in the process manager page)."""
-    top = process.orderBy(F.col("cpu").desc(), F.col("id").desc()).limit(pool)
+    rows = latest_snapshot(process, minutes) if minutes else process
+    top = rows.orderBy(F.col("cpu").desc(), F.col("id").desc()).limit(pool)
     cmd = F.col("command")
     return top.filter(~P.is_whitelisted(cmd) & ~P.is_excluded(cmd)).withColumn(
         "command_short", S.truncate_command(cmd)

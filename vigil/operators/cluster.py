@@ -20,8 +20,8 @@ def source_profiles(network: DataFrame) -> DataFrame:
         .groupBy("src_ip")
         .agg(
             F.count(F.lit(1)).cast("double").alias("events"),
-            F.approx_count_distinct("dst_port").cast("double").alias("n_dst_ports"),
-            F.approx_count_distinct("dst_ip").cast("double").alias("n_dst_ips"),
+            F.countDistinct("dst_port").cast("double").alias("n_dst_ports"),
+            F.countDistinct("dst_ip").cast("double").alias("n_dst_ips"),
             F.sum("bytes_sent").cast("double").alias("bytes_sent"),
             (F.count_if(F.col("flags") == "S") / F.count(F.lit(1))).alias("syn_share"),
         )

@@ -6,8 +6,9 @@ Scale notes
   plans it as a two-level aggregate keyed first by (src, dst, port), so even a
   pair holding a third of all rows is pre-aggregated map-side and the final
   state per key is bounded by the number of distinct ports (<= 65536).
-* The merge of the per-pair verdict back onto the detail rows is an equi join
-  on (src, dst); AQE's skew-join splitting takes care of a hot pair.
+* The per-pair verdicts are written as a table and joined back on (src, dst):
+  with an exchange of its own on either side, the join of a hot pair can be
+  split by adaptive execution.
 * Incident rules aggregate before anything is projected, and their output is
   bounded by the number of distinct sources.
 """
@@ -21,6 +22,7 @@ from vigil import rules
 from vigil.functions import predicates as P
 from vigil.functions import scalars as S
 from vigil.operators.clean import coerce_timestamp, drop_invalid_ts, with_defaults
+from vigil.session import cut_lineage
 
 INCIDENT_COLUMNS = ["type", "source", "severity", "description", "timestamp"]
 
@@ -104,17 +106,18 @@ def approx_port_scan_stats(network: DataFrame, rsd: float = 0.01,
 
 
 def detect_port_scanning(network: DataFrame, th: rules.Thresholds = rules.Thresholds()) -> DataFrame:
-    """Detail rows with ``is_scan`` of their (src, dst) pair and ``scan_risk``."""
-    n = with_defaults(network, {"src_ip": "0.0.0.0", "dst_ip": "0.0.0.0", "dst_port": -1})
+    """Detail rows with ``is_scan`` of their (src, dst) pair and ``scan_risk``.
+
+    Absent columns get defaults (a timestamp: now).  The
+    verdicts are written as a table, so the join has an exchange of its own
+    on either side and adaptive execution can split a hot pair."""
+    n = with_defaults(network, {"src_ip": "0.0.0.0", "dst_ip": "0.0.0.0", "dst_port": -1,
+                                "timestamp": "now"})
     n = drop_invalid_ts(coerce_timestamp(n, "timestamp"), "timestamp")
-    verdict = port_scan_stats(n, th).select("src_ip", "dst_ip", "is_scan")
+    verdict = cut_lineage(port_scan_stats(n, th).select("src_ip", "dst_ip", "is_scan"), "scans")
     return n.join(verdict, ["src_ip", "dst_ip"], "left").withColumn("scan_risk", S.scan_risk(F.col("is_scan")))
 
 
-def scan_merge_back(network: DataFrame) -> DataFrame:
-    return detect_port_scanning(network)
-
-
 def detect_network_threats(network: DataFrame) -> DataFrame:
     """All three network detectors, in the order the dashboard applies them."""
     return detect_port_scanning(detect_exfil(detect_c2(network)))
@@ -169,7 +172,7 @@ def _command_col(process: DataFrame) -> str | None:
 
 def high_memory_filter(process: DataFrame, threshold: float = rules.HIGH_MEMORY) -> DataFrame:
     cmd = _command_col(process)
-    out = process.filter(F.col("memory") > threshold)
+    out = process.filter(S.over(F.col("memory"), threshold))
     return out.filter(~P.is_whitelisted(F.col(cmd))) if cmd else out
 
 
@@ -224,13 +227,14 @@ SEVERITY_RANK = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
 def sort_incidents(incidents: DataFrame, severity_order: str = "lexical") -> DataFrame:
     """Severity descending then timestamp descending.  ``lexical`` compares
     the severity text (so High sorts before Critical, as reproduced);
-    ``rank`` uses Critical > High > Medium > Low."""
+    ``rank`` uses Critical > High > Medium > Low.  Ties go by the text columns."""
+    ties = [F.col(c) for c in ("type", "source", "description")]
     if severity_order == "rank":
         rank = F.coalesce(
             F.try_element_at(F.create_map(*[x for k, v in SEVERITY_RANK.items() for x in (F.lit(k), F.lit(v))]),
                              F.col("severity")), F.lit(0))
-        return incidents.orderBy(rank.desc(), F.col("timestamp").desc())
-    return incidents.orderBy(F.col("severity").desc(), F.col("timestamp").desc())
+        return incidents.orderBy(rank.desc(), F.col("timestamp").desc(), *ties)
+    return incidents.orderBy(F.col("severity").desc(), F.col("timestamp").desc(), *ties)
 
 
 def critical_anomalies(scored: DataFrame, max_score: float = rules.ALERT_MIN_ANOMALY_SCORE) -> DataFrame:

@@ -3,11 +3,11 @@
 Scale notes
 -----------
 * ``fit_vocab`` assigns dense codes 0..n-1 in label order without sending a
-  feature's labels to one task: labels are range-partitioned and sorted,
-  per-partition counts (a tiny table) give each partition its offset, and
-  the code is offset + row number inside the partition.
+  feature's labels to one task: labels are range-partitioned and written
+  once, per-range counts (a tiny table) give each range its offset, and
+  the code is offset + row number inside the range.
 * ``fit_scaler`` is one global algebraic aggregate (partial per partition).
-* ``behavior_features`` uses the bucketed rolling window and a pre-aggregated
+* ``behavior_features`` uses the ranged rolling window and a pre-aggregated
   frequency join (see ``windows``).
 """
 
@@ -17,11 +17,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil import rules
 from vigil.functions import scalars as S
 from vigil.operators import windows as W
-from vigil.session import shared_dir
+from vigil.session import cut_lineage
 
 
 # M1 ----------------------------------------------------------------------------
@@ -37,38 +38,28 @@ def preprocess_process(process: DataFrame) -> DataFrame:
 
 
 # M2 ----------------------------------------------------------------------------
-def behavior_features(process: DataFrame, bucket: str | None = W.DEFAULT_BUCKET) -> DataFrame:
+def behavior_features(process: DataFrame, ranged: bool = True) -> DataFrame:
     """Rolling mean/std (last 5 rows per user) of CPU, memory and run time,
     plus the frequency of the command hash."""
-    x = W.rolling_stats(process, ["user_name"], list(rules.ROLLING_FEATURES), rules.ROLLING_ROWS, bucket=bucket)
+    x = W.rolling_stats(process, ["user_name"], list(rules.ROLLING_FEATURES), rules.ROLLING_ROWS, ranged=ranged)
     return W.value_frequency(x, "hashed_command", "command_frequency")
 
 
 # M3 ----------------------------------------------------------------------------
-MAX_CODE_PARTS = 1024
-
-
-def dense_codes(labels: DataFrame, group: str, label: str, parts: int | None = None) -> DataFrame:
+def dense_codes(labels: DataFrame, group: str, label: str) -> DataFrame:
     """(group, label) distinct rows -> code = rank of label within group, 0-based.
 
-    Labels are range-partitioned (at most ``MAX_CODE_PARTS`` ranges) and
-    numbered inside each range; a range's offset is the number of labels of
-    the same group in earlier ranges, summed over the small per-range size
-    table (at most groups x ranges^2 / 2 pairs) -- no window ever sees more
-    than one range."""
-    spark = labels.sparkSession
-    parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CODE_PARTS)
-    r = labels.repartitionByRange(parts, group, label).withColumn("_part", F.spark_partition_id())
-    r = r.withColumn("_pos", F.row_number().over(Window.partitionBy(group, "_part").orderBy(label)))
+    Labels are range-partitioned and numbered inside each range; a range's
+    offset is the number of labels of the same group in earlier ranges.  The
+    ranges come from sampling, so the labels are written once with their
+    range and every later pass reads that table: all of them see the same
+    ranges.  No window sees more than one range, or one row per range."""
+    r = cut_lineage(labels.repartitionByRange(group, label).withColumn("_part", F.spark_partition_id()), "labels")
     sizes = r.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    a, b = sizes.alias("a"), sizes.alias("b")
-    offsets = (
-        a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("b._part") < F.col("a._part")), "left")
-        .groupBy(F.col(f"a.{group}").alias(group), F.col("a._part").alias("_part"))
-        .agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_off"))
-    )
-    # offsets has at most (#groups x ranges) rows: a fixed, small bound.
-    return r.join(F.broadcast(offsets), [group, "_part"]).select(
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    r = r.withColumn("_pos", F.row_number().over(Window.partitionBy(group, "_part").orderBy(label)))
+    return r.join(offsets, [group, "_part"]).select(
         group, label, (F.col("_off") + F.col("_pos") - 1).cast("int").alias("code")
     )
 
@@ -83,25 +74,28 @@ def fit_vocab(process: DataFrame, cols: list[str] | None = None) -> DataFrame:
         for c in cols
     ]
     labels = reduce(DataFrame.unionByName, parts).distinct()
-    return dense_codes(labels, "feature", "label")
+    return cut_lineage(dense_codes(labels, "feature", "label"), "vocab")
+
+
+#: Vocabulary rows up to which one column's vocabulary is broadcast.
+BROADCAST_LABELS = 500_000
 
 
 def encode(df: DataFrame, vocab: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``<col>_encoded`` = vocabulary code, -1 for labels not in the vocabulary.
 
-    The distinct label combinations are encoded first (one small join per
-    column), then the rows get all codes in a single join on the
-    combination (NULL-safe), instead of one full-size join per column;
-    process snapshots repeat the same (user, command, state) combinations."""
+    One join per column with that column's part of the vocabulary.  ``vocab``
+    should be a written table (``fit_vocab`` returns one); its sizes are
+    counted first: a small part is broadcast, so rows are not shuffled, a
+    larger one is joined by an exchange whose hot labels adaptive execution
+    can split."""
     cols = cols or [c for c in rules.CATEGORICAL_FEATURES if c in df.columns]
-    combos = df.select(*cols).distinct()
+    sizes = {r["feature"]: r["count"] for r in vocab.groupBy("feature").count().collect()}  # one row per column
     for c in cols:
         v = vocab.filter(F.col("feature") == c).select(F.col("label").alias(c), F.col("code").alias(f"{c}_encoded"))
-        combos = combos.join(v, c, "left").withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(-1)))
-    d, t = df.alias("_d"), combos.alias("_t")
-    cond = reduce(lambda a, b: a & b, [F.col(f"_d.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in cols])
-    return d.join(t, cond, "left").select(
-        "_d.*", *[F.coalesce(F.col(f"_t.{c}_encoded"), F.lit(-1)).alias(f"{c}_encoded") for c in cols])
+        v = F.broadcast(v) if sizes.get(c, 0) <= BROADCAST_LABELS else v
+        df = df.join(v, c, "left").withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(-1)))
+    return df
 
 
 # M4 ----------------------------------------------------------------------------
@@ -150,29 +144,17 @@ def feature_columns(df: DataFrame, features: list[str] | None = None, scaled: bo
     return out
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a parquet table under the cluster's shared checkpoint
-    directory (``spark.checkpoint.dir``) and read it back: later passes
-    neither recompute nor re-plan the chain behind it, a lost executor does
-    not force a recompute, and readers get column pruning.  (One job, where
-    ``Dataset.checkpoint`` of an unpersisted plan runs it twice.)"""
-    path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def prepare_model_input(process: DataFrame, vocab: DataFrame | None = None,
                         scaler: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """M1 -> M2 -> M3 -> M4: returns (features frame, assembled, vocab, scaler).
 
-    The behaviour features and the final matrix are each read several times
-    (vocabulary, scaler, sampling, scoring, offset), so both are
-    checkpointed once."""
-    x = cut_lineage(behavior_features(preprocess_process(process)), "features")
-    vocab = vocab if vocab is not None else cut_lineage(fit_vocab(x), "vocab")
-    x = encode(x, vocab)
-    scaler = scaler if scaler is not None else fit_scaler(x)
-    x = cut_lineage(scale(x, scaler), "matrix")
+    Only the behaviour features are written: vocabulary, scaler, sampling and
+    scoring read that table, and the codes and scaled values are expressions
+    on top of it (broadcast look-ups and arithmetic)."""
+    feats = cut_lineage(behavior_features(preprocess_process(process)), "features")
+    vocab = vocab if vocab is not None else fit_vocab(feats)
+    scaler = scaler if scaler is not None else fit_scaler(feats)
+    x = scale(encode(feats, vocab), scaler)
     return x, assemble(x), vocab, scaler
 
 
@@ -211,22 +193,23 @@ def command_scalars(process: DataFrame) -> DataFrame:
     )
 
 
-def rule_merged(t) -> DataFrame:
-    """Process rows (with the rule threat score as risk) joined to the
-    per-bucket network stats: input of the rule-based threat matrix."""
+def rule_risk(t) -> tuple[DataFrame, DataFrame]:
+    """Process rows with the rule threat score as risk, and the per-bucket
+    network stats: inputs of the rule-based matrices."""
     from vigil.operators import aggregates as A
-    from vigil.operators import joins as J
 
-    p = t.process.withColumn("threat_score", S.threat_score(t.process))
-    return J.network_behavior_join(p, A.network_window_stats(t.network))
+    return t.process.withColumn("threat_score", S.threat_score(t.process)), A.network_window_stats(t.network)
 
 
+#: Columns that can size a marker in the correlation view, best first.
 SIZE_CANDIDATES = ["bytes_sent", "cpu", "memory", "time_used_seconds"]
 
 
 def size_column(df: DataFrame) -> str | None:
-    """First present column usable as a marker size in the correlation view."""
-    return next((c for c in SIZE_CANDIDATES if c in df.columns), None)
+    """The best numeric candidate the frame has."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    ranked = sorted(numeric.intersection(SIZE_CANDIDATES), key=SIZE_CANDIDATES.index)
+    return ranked[0] if ranked else None
 
 
 # M8: persisted preprocessing (fit once, never refit) ----------------------------------

@@ -105,11 +105,11 @@ def sample_for_trees(X: DataFrame, n_trees: int, psi: int, seed: int, n_rows: in
     p = min(1.0, 4.0 * n_trees * psi / max(n_rows, 1))
     pool_size = max(1.0, p * n_rows)
     q = min(1.0, 2.0 * psi / pool_size)
-    u1 = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1_000_000_007) / F.lit(1_000_000_007.0)
+    u1 = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     pooled = X.filter(u1 < p) if p < 1.0 else X
     exploded = pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
     h = F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1))
-    u2 = (F.abs(h) % 1_000_000_007) / F.lit(1_000_000_007.0)
+    u2 = F.pmod(h, F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     offered = exploded.withColumn("_h", h).filter(u2 < q) if q < 1.0 else exploded.withColumn("_h", h)
     w = Window.partitionBy("tree").orderBy("_h", key)
     return offered.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).drop("_rn")
@@ -173,24 +173,21 @@ def _path_lengths(X: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def score_samples(X: DataFrame, model: ForestModel, out: str = "anomaly_score_raw",
-                  columns: list[str] | None = None) -> DataFrame:
+                  inputs: list | None = None) -> DataFrame:
     """Append ``-2^(-E[h]/c(psi))`` (in [-1, 0]; lower = more anomalous).
-    ``columns`` names the input column of each model feature (default: the
-    feature names themselves)."""
+    ``inputs`` are the columns of the model's features (default: the columns
+    of that name).  Only these go to Python; the other columns stay in the JVM."""
     spark = X.sparkSession
     bc = spark.sparkContext.broadcast(_model_arrays(model))
-    feats, cpsi = list(columns or model.features), c_factor(model.psi)
-    schema = T.StructType(X.schema.fields + [T.StructField(out, T.DoubleType())])
+    cpsi = c_factor(model.psi)
 
-    def run(batches):
-        m = bc.value
-        for pdf in batches:
-            arr = pdf[feats].to_numpy(dtype=float)
-            h = _path_lengths(arr, m) if len(arr) else np.zeros(0)
-            pdf[out] = -np.power(2.0, -h / cpsi) if cpsi > 0 else -np.ones(len(arr))
-            yield pdf
+    def run(*cols: pd.Series) -> pd.Series:
+        arr = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+        h = _path_lengths(arr, bc.value) if len(arr) else np.zeros(0)
+        return pd.Series(-np.power(2.0, -h / cpsi) if cpsi > 0 else -np.ones(len(arr)))
 
-    return X.mapInPandas(run, schema)
+    score = F.pandas_udf(run, T.DoubleType())
+    return X.withColumn(out, score(*(inputs or [F.col(f) for f in model.features])))
 
 
 def fit_offset(scored: DataFrame, contamination: float = rules.FOREST_CONTAMINATION,
@@ -199,24 +196,33 @@ def fit_offset(scored: DataFrame, contamination: float = rules.FOREST_CONTAMINAT
     return float(scored.agg(F.percentile_approx(col, contamination, accuracy)).first()[0])
 
 
-def score_anomalies(X: DataFrame, model: ForestModel, columns: list[str] | None = None) -> DataFrame:
+def score_anomalies(X: DataFrame, model: ForestModel, inputs: list | None = None) -> DataFrame:
     """anomaly_score = raw - offset; is_anomaly = -1 if < 0 else 1;
     anomaly_risk = 10 - half-even(10 * score)."""
+    return judge_scores(score_samples(X, model, inputs=inputs), model.offset)
+
+
+def judge_scores(raw: DataFrame, offset: float | None) -> DataFrame:
+    """The same on rows that hold ``anomaly_score_raw``."""
     from vigil.functions.scalars import anomaly_risk
 
-    raw = score_samples(X, model, columns=columns)
-    offset = model.offset if model.offset is not None else 0.0
-    s = F.col("anomaly_score_raw") - F.lit(offset)
+    s = F.col("anomaly_score_raw") - F.lit(offset if offset is not None else 0.0)
     return raw.withColumn("anomaly_score", s).withColumn(
         "is_anomaly", F.when(s < 0, -1).otherwise(1)
     ).withColumn("anomaly_risk", anomaly_risk(F.col("anomaly_score")))
 
 
-def train(X: DataFrame, features: list[str] | None = None, **kw) -> ForestModel:
-    """Fit the trees, then the offset from the training scores."""
+def grow(X: DataFrame, features: list[str] | None = None, **kw) -> ForestModel:
+    """Fit the trees; the node table (at most trees x (2 psi - 1) rows) is
+    brought to the driver once, for every later scoring pass."""
     model = fit_isolation_forest(X, features, **kw)
-    # Materialise the small node table once (it is reused by every scoring pass).
     model.nodes = model.nodes.sparkSession.createDataFrame(model.nodes.toPandas(), NODE_SCHEMA)
+    return model
+
+
+def train(X: DataFrame, features: list[str] | None = None, **kw) -> ForestModel:
+    """Fit the trees, then the offset from the training scores."""
+    model = grow(X, features, **kw)
     model.offset = fit_offset(score_samples(X, model))
     return model
 

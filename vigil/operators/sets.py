@@ -33,13 +33,6 @@ def first_seen_connections(network: DataFrame) -> DataFrame:
     return dedup_first(filter_suspicious_ports(network), keys, ["timestamp", "id"])
 
 
-def union_incidents(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def union_events(*parts: DataFrame) -> DataFrame:
     """Stack event frames with differing columns (missing -> NULL)."""
     out = parts[0]
@@ -68,13 +61,15 @@ def recent_events_for_ip(network: DataFrame, commands: DataFrame | None, ip: str
                 .select(F.lit("suspicious_command").alias("source"), F.col(ip_col).alias("ip"), "command",
                         "timestamp")
             )
-    return union_events(*parts).orderBy(F.col("timestamp").desc())
+    out = union_events(*parts)
+    ties = [F.col(c) for c in ("source", "ip", "dst_ip", "dst_port", "flags", "command") if c in out.columns]
+    return out.orderBy(F.col("timestamp").desc(), *ties)
 
 
 def all_ips(network: DataFrame, commands: DataFrame | None = None, own_ip: str = rules.OWN_IP) -> DataFrame:
     """Distinct addresses seen as source or destination (plus command IPs
-    when present) minus our own, empty and NULL; with a numeric sort key
-    (non-IPv4 text sorts last)."""
+    when present) minus our own, empty and NULL; with a numeric sort key.
+    ``sorted_ips`` puts them in the list's order (non-IPv4 text last)."""
     parts = [network.select(F.col("src_ip").alias("ip")), network.select(F.col("dst_ip").alias("ip"))]
     if commands is not None:
         for c in ("ip", "src_ip"):

@@ -1,114 +1,99 @@
 """Greedy alert throttle, exact and distributed.
 
 Rule: an alert passes if at least ``gap`` has elapsed since the last alert
-that *passed* (not the last alert seen).  Read sequentially this is a fold
-over all alerts of a key, so a global throttle would put every alert in one
-task.  Instead:
+of its group that *passed* (not the last alert seen).  Read sequentially this
+is a fold over all alerts of a group, so a global throttle would put every
+alert in one task.  Instead:
 
 1. **Successor.**  For each alert a, ``nxt(a)`` = the first alert (by time,
-   then id) at or after ``ts_a + gap``.  Targets and alerts are merged in
-   time buckets; inside a bucket a running ``last(..., ignorenulls)`` over a
-   descending order finds the next alert (a linear running frame, not an
-   unbounded-following one); targets with no alert left in their bucket
-   take the first alert of the next non-empty bucket from a per-bucket
-   table (one row per bucket).
+   then id) at or after ``ts_a + gap``.  Alerts and these targets are merged
+   and cut into sampled ranges of (group, time, kind, id), so a burst fills
+   many tasks however dense it is.  Inside a range a running
+   ``last(..., ignorenulls)`` over a descending order finds the next alert;
+   targets with no alert left in their range take the first alert of the
+   group's next non-empty range from a table of one row per group and range.
 2. **Chain.**  The passed alerts are a0, nxt(a0), nxt(nxt(a0)), ...
    Pointer doubling finds them with joins only: S_0 = {a0}, J_0 = nxt;
    S_{k+1} = S_k u J_k(S_k), J_{k+1} = J_k o J_k, until S stops growing.
-   That takes log2(chain length) rounds.  The chain holds at most
-   span / gap + 1 alerts, and each round is a plain equi join.
+   That takes log2(chain length) rounds.  Pointers that lead nowhere are
+   dropped before they are composed.  Both sides of every join are written
+   tables, so adaptive execution can split a target many alerts point to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil import rules
-from vigil.session import shared_dir
-
-BUCKET_UNITS = ("hour", "minute", "second")
-COARSER = {"hour": "month", "minute": "day", "second": "hour"}
+from vigil.operators.windows import PART, into_ranges
+from vigil.session import cut_to, drop_dir, shared_dir
 
 
 def _us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def successors(alerts: DataFrame, gap_us: int, bucket: str = "minute", ts: str = "timestamp",
-               key: str = "id") -> DataFrame:
-    """(id, nxt): the first alert at or after ts + gap for every alert."""
-    a = alerts.select(F.col(key).alias("id"), _us(F.col(ts)).alias("us"))
-    b = lambda c: F.date_trunc(bucket, F.timestamp_micros(c))
-    points = a.select(F.col("us").alias("t"), F.lit(1).alias("kind"), F.col("id").alias("aid"),
-                      F.lit(None).cast(a.schema["id"].dataType).alias("qid"))
-    queries = a.select((F.col("us") + F.lit(gap_us)).alias("t"), F.lit(0).alias("kind"),
-                       F.lit(None).cast(a.schema["id"].dataType).alias("aid"), F.col("id").alias("qid"))
-    merged = points.unionByName(queries).withColumn("_b", b(F.col("t")))
+def successors(alerts: DataFrame, gap_us: int, ts: str = "timestamp", key: str = "id",
+               by: list[str] | None = None) -> DataFrame:
+    """(id, nxt): the first alert of the group at or after ts + gap, per alert."""
+    by = by or []
+    kind_of_id = alerts.schema[key].dataType
+    a = alerts.select(*by, F.col(key).alias("id"), _us(F.col(ts)).alias("us"))
+    none = F.lit(None).cast(kind_of_id)
+    points = a.select(*by, F.col("us").alias("t"), F.lit(1).alias("kind"), F.col("id").alias("aid"), none.alias("qid"))
+    queries = a.select(*by, (F.col("us") + F.lit(gap_us)).alias("t"), F.lit(0).alias("kind"), none.alias("aid"),
+                       F.col("id").alias("qid"))
+    # At equal times a target comes before the alerts, which it may take.
+    merged = into_ranges(points.unionByName(queries), [*by, "t", "kind", "aid", "qid"], "throttle-points")
     alert_ref = F.when(F.col("kind") == 1, F.struct(F.col("t").alias("us"), F.col("aid").alias("id")))
-    w = (Window.partitionBy("_b").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("aid").desc_nulls_last())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = merged.withColumn("_nx", F.last(alert_ref, ignorenulls=True).over(w)).filter(F.col("kind") == 0)
-    # First alert of any later bucket (empty buckets skipped), in two levels so
-    # no window sees more than one coarse bucket's fine buckets: inside each
-    # coarse bucket, a window over its fine buckets; across coarse buckets, a
-    # window over one row per coarse bucket (span / coarse unit rows).
-    coarse = COARSER[bucket]
-    firsts = merged.groupBy("_b").agg(F.min(alert_ref).alias("_first")).withColumn(
-        "_c", F.date_trunc(coarse, F.col("_b")))
     before = Window.unboundedPreceding
-    in_c = firsts.withColumn("_later_in_c", F.last("_first", ignorenulls=True).over(
-        Window.partitionBy("_c").orderBy(F.col("_b").desc()).rowsBetween(before, -1)))
-    per_c = firsts.groupBy("_c").agg(F.min("_first").alias("_cfirst")).withColumn(
-        "_later_c", F.last("_cfirst", ignorenulls=True).over(
-            Window.orderBy(F.col("_c").desc()).rowsBetween(before, -1)))
-    later = in_c.join(per_c.select("_c", "_later_c"), "_c").select(
-        "_b", F.coalesce(F.col("_later_in_c"), F.col("_later_c")).alias("_later"))
-    out = found.join(later, "_b", "left")
-    return out.select(F.col("qid").alias("id"), F.coalesce(F.col("_nx.id"), F.col("_later.id")).alias("nxt"))
-
-
-def _stage(df: DataFrame, name: str) -> DataFrame:
-    path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def choose_bucket(alerts: DataFrame, ts: str = "timestamp", max_rows: int = 5_000_000) -> str:
-    """Coarsest of hour / minute / second whose fullest bucket stays under
-    ``max_rows`` alerts (one small aggregate per probe)."""
-    for unit in BUCKET_UNITS:
-        biggest = alerts.groupBy(F.date_trunc(unit, F.col(ts))).count().agg(F.max("count")).first()[0]
-        if biggest is None or biggest <= max_rows:
-            return unit
-    return BUCKET_UNITS[-1]
+    w = (Window.partitionBy(*by, PART).orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("aid").desc_nulls_last())
+         .rowsBetween(before, Window.currentRow))
+    found = merged.withColumn("_nx", F.last(alert_ref, ignorenulls=True).over(w)).filter(F.col("kind") == 0)
+    # First alert of any later range: one row per group and range, at most.
+    firsts = merged.groupBy(*by, PART).agg(F.min(alert_ref).alias("_first"))
+    later = firsts.withColumn("_later", F.last("_first", ignorenulls=True).over(
+        Window.partitionBy(*by).orderBy(F.col(PART).desc()).rowsBetween(before, -1))).drop("_first")
+    f, r = found.alias("f"), later.alias("r")
+    same = F.col(f"f.{PART}") == F.col(f"r.{PART}")
+    for c in by:
+        same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return f.join(r, same, "left").select(F.col("f.qid").alias("id"), F.coalesce(F.col("f._nx.id"), F.col("r._later.id")).alias("nxt"))
 
 
 def throttle_batch(alerts: DataFrame, hours: float = rules.ALERT_INTERVAL_HOURS, ts: str = "timestamp",
-                   key: str = "id", bucket: str = "auto") -> DataFrame:
-    """Rows of ``alerts`` that pass the greedy throttle (one global key)."""
+                   key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """Rows of ``alerts`` that pass the greedy throttle of their group (all
+    rows one group without ``by``).  ``key`` is unique."""
+    spark = alerts.sparkSession
+    base = shared_dir(spark, "throttle")
     gap_us = int(hours * 3600 * 1_000_000)
-    if bucket == "auto":
-        bucket = choose_bucket(alerts, ts)
-    jump = _stage(successors(alerts, gap_us, bucket, ts, key), "throttle_jump")
-    first = alerts.select(F.min(F.struct(_us(F.col(ts)).alias("us"), F.col(key).alias("id"))).alias("f"))
-    chain = _stage(first.select(F.col("f.id").alias("id")).filter(F.col("id").isNotNull()), "throttle_chain")
-    size = chain.count()
+    jump = cut_to(successors(alerts, gap_us, ts, key, by).where("nxt is not null"), f"{base}/jump-0")
+    earliest = F.min(F.struct(_us(F.col(ts)).alias("us"), F.col(key).alias("id"))).alias("f")
+    first = alerts.groupBy(*by).agg(earliest) if by else alerts.agg(earliest)
+    chain = cut_to(first.select(F.col("f.id").alias("id")).filter(F.col("id").isNotNull()), f"{base}/chain-0")
+    size, k = chain.count(), 0
     while size:
-        step = chain.join(jump, "id").select(F.col("nxt").alias("id")).filter(F.col("id").isNotNull())
-        grown = _stage(chain.unionByName(step).distinct(), "throttle_chain")
+        step = chain.join(jump, "id").select(F.col("nxt").alias("id"))
+        grown = cut_to(chain.unionByName(step).distinct(), f"{base}/chain-{k + 1}")
         new_size = grown.count()
+        chain, old = grown, f"{base}/chain-{k}"
+        drop_dir(spark, old)
         if new_size == size:
             break
-        chain, size = grown, new_size
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"), "left").select(
-            F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt"))
-        jump = _stage(j2, "throttle_jump")
+        size = new_size
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut_to(a.join(b, F.col("a.nxt") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")),
+                      f"{base}/jump-{k + 1}")
+        drop_dir(spark, f"{base}/jump-{k}")
+        k += 1
     return alerts.join(chain.withColumnRenamed("id", key), key, "left_semi")
 
 
 def throttle_sink(table_path: str, hours: float = rules.ALERT_INTERVAL_HOURS, ts: str = "timestamp",
-                  key: str = "id"):
+                  key: str = "id", by: list[str] | None = None):
     """foreachBatch function: passes of each micro-batch given the last
     passed alert of earlier batches (read from the output table), written to
     ``table_path/batch_id=N`` (a replayed batch overwrites its own folder).
@@ -119,12 +104,18 @@ def throttle_sink(table_path: str, hours: float = rules.ALERT_INTERVAL_HOURS, ts
         spark = batch.sparkSession
         alerts = batch
         if path_exists(spark, table_path):
-            prev = spark.read.parquet(table_path).filter(F.col("batch_id") != batch_id)
-            last = prev.select(F.max(ts)).scalar()
-            alerts = alerts.filter(last.isNull() | (F.col(ts) >= last + F.make_dt_interval(
-                secs=F.lit(hours * 3600).cast("decimal(18,6)"))))
-        passed = throttle_batch(alerts, hours, ts, key)
-        passed.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{table_path}/batch_id={batch_id}")
+            # Batches before this one; a newer folder can only be left over from a lost run.
+            stored = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
+            prev = spark.read.schema(stored).parquet(table_path).filter(F.col("batch_id") < batch_id)
+            gap = F.make_dt_interval(secs=F.lit(hours * 3600).cast("decimal(18,6)"))
+            if by:
+                last = prev.groupBy(*by).agg(F.max(ts).alias("_last"))
+                alerts = (alerts.join(last, by, "left").filter(F.col("_last").isNull() | (F.col(ts) >= F.col("_last") + gap))
+                          .select(*batch.columns))
+            else:
+                last = prev.select(F.max(ts)).scalar()
+                alerts = alerts.filter(last.isNull() | (F.col(ts) >= last + gap))
+        passed = throttle_batch(alerts, hours, ts, key, by)
+        passed.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
     return run

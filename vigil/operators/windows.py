@@ -2,23 +2,23 @@
 
 A plain ``Window.partitionBy(user)`` sends every row of a user to one task;
 if one user (source pair, file ...) holds a third of the data, that task
-sorts a third of the data.  The operators here partition by
-``(key, time bucket)`` instead and carry across bucket edges exactly the
-little state the frame needs from earlier buckets:
-
-* ``lag`` (time since previous event): the newest timestamp of the previous
-  non-empty bucket, from a per-(key, bucket) aggregate.
-* running max excluding the current row: the max over all previous buckets,
-  again from the per-(key, bucket) aggregate.
-* ``rows between P preceding and current row``: the first P rows of a bucket
-  are recomputed with a *halo* of the P rows that precede the bucket (the
-  newest P rows of earlier buckets, found among each bucket's last P rows).
-
-Results are identical to the unbucketed window; ``bucket=None`` gives the
-plain window for small inputs and for tests that compare the two.  The
-default ``bucket="auto"`` picks the coarsest of day / hour / minute whose
-largest (key, bucket) group stays under ``MAX_BUCKET_ROWS`` rows, so a key
-holding a third of the data is still cut into task-sized pieces.
+sorts a third of the data.  The operators here cut the rows into sampled
+ranges of (key, time, id) instead, so a hot key fills many tasks whatever
+its rows' times are, and carry across range edges exactly the little state
+the frame needs from earlier ranges:
+
+* ``lag`` (time since previous event): the newest timestamp of the key's
+  previous range, from a per-(key, range) aggregate.
+* running max excluding the current row: the max over all previous ranges,
+  again from the per-(key, range) aggregate.
+* ``rows between P preceding and current row``: the first P rows of a range
+  are recomputed with a *halo* of the P rows that precede the range (the
+  newest P rows of earlier ranges, found among each range's last P rows).
+
+Ranges come from sampling, so the rows are written once with their range
+(shared checkpoint folder) and all passes read that table.  Results are
+identical to the plain window; ``ranged=False`` gives the plain window for
+small inputs and for tests that compare the two.
 """
 
 from __future__ import annotations
@@ -27,31 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import rules
+from vigil.session import cut_lineage
 
-DEFAULT_BUCKET = "auto"
-BUCKET_UNITS = ("day", "hour", "minute")
-MAX_BUCKET_ROWS = 5_000_000
+PART = "_part"
 
 
-def choose_bucket(df: DataFrame, keys: list[str], ts: str = "timestamp", max_rows: int = MAX_BUCKET_ROWS,
-                  units: tuple[str, ...] = BUCKET_UNITS) -> str:
-    """Coarsest time unit whose largest (key, bucket) group holds at most
-    ``max_rows`` rows.  Each probe is one partial aggregate over the key and
-    time columns returning a single number; usually the first unit fits."""
-    for unit in units:
-        biggest = (df.groupBy(*keys, F.date_trunc(unit, F.col(ts)).alias("_b"))
-                   .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0])
-        if biggest is None or biggest <= max_rows:
-            return unit
-    return units[-1]
-
-
-def _resolve(df: DataFrame, keys: list[str], ts: str, bucket: str | None) -> str | None:
-    return choose_bucket(df, keys, ts) if bucket == "auto" else bucket
-
-
-def _bucket(ts: str, unit: str | None) -> Column:
-    return F.date_trunc(unit, F.col(ts)) if unit else F.lit(0)
+def into_ranges(df: DataFrame, order: list[str], name: str = "ranges") -> DataFrame:
+    """``df`` with ``_part``, the number of its row's range in ``order``."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()), name)
 
 
 def _keys_present(keys: list[str]) -> Column:
@@ -66,20 +49,19 @@ def _keys_present(keys: list[str]) -> Column:
 # -- lag: seconds since the previous event of the key ------------------------
 
 def time_diff(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp", tie: str = "id",
-              out: str = "time_diff", bucket: str | None = DEFAULT_BUCKET) -> DataFrame:
+              out: str = "time_diff", ranged: bool = True) -> DataFrame:
     """Seconds since the previous row of the same key (NULL for the first)."""
     keys = keys or ["src_ip", "dst_ip"]
     order = [F.col(ts), F.col(tie)]
-    bucket = _resolve(df, keys, ts, bucket)
-    if bucket is None:
+    if not ranged:
         prev = F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order))
         diff = F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6)
         return df.withColumn(out, F.when(_keys_present(keys), diff))
 
-    b = "_tb"
-    x = df.withColumn(b, _bucket(ts, bucket))
-    in_bucket = F.lag(ts).over(Window.partitionBy(*keys, b).orderBy(*order))
-    x = x.withColumn("_prev", in_bucket)
+    b = PART
+    x = into_ranges(df, [*keys, ts, tie])
+    in_range = F.lag(ts).over(Window.partitionBy(*keys, b).orderBy(*order))
+    x = x.withColumn("_prev", in_range)
     edges = (
         x.groupBy(*keys, b).agg(F.max(ts).alias("_bmax"))
         .withColumn("_carry", F.lag("_bmax").over(Window.partitionBy(*keys).orderBy(b)))
@@ -102,19 +84,18 @@ def beaconing(df: DataFrame, keys: list[str] | None = None, **kw) -> DataFrame:
 # -- running max over earlier rows: file modification changes -----------------
 
 def file_mod_changes(files: DataFrame, key: str = "file", mtime: str = "mtime_s", ts: str = "timestamp",
-                     tie: str = "id", bucket: str | None = DEFAULT_BUCKET) -> DataFrame:
+                     tie: str = "id", ranged: bool = True) -> DataFrame:
     """Observations whose modification time exceeds every earlier one of the
     same file; the first observation of a file is the baseline (never
     emitted)."""
     order = [F.col(ts), F.col(tie)]
-    bucket = _resolve(files, [key], ts, bucket)
-    if bucket is None:
+    if not ranged:
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return files.filter(F.col(key).isNotNull()).withColumn("prev_max", F.max(mtime).over(w)).filter(
             F.col(mtime) > F.col("prev_max"))
 
-    b = "_tb"
-    x = files.filter(F.col(key).isNotNull()).withColumn(b, _bucket(ts, bucket))
+    b = PART
+    x = into_ranges(files.filter(F.col(key).isNotNull()), [key, ts, tie])
     w_in = Window.partitionBy(key, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_in", F.max(mtime).over(w_in))
     carry = (
@@ -139,21 +120,20 @@ def _rolling_cols(values: list[str], w) -> dict[str, Column]:
 
 def rolling_stats(df: DataFrame, keys: list[str] | None = None, values: list[str] | None = None,
                   rows: int = rules.ROLLING_ROWS, ts: str = "timestamp", tie: str = "id",
-                  bucket: str | None = DEFAULT_BUCKET) -> DataFrame:
+                  ranged: bool = True) -> DataFrame:
     """Mean and sample std of the last ``rows`` rows (current included,
     ``min_periods=1``) per key, for each value column."""
     keys = keys or ["user_name"]
     values = values or list(rules.ROLLING_FEATURES)
     P = rows - 1
     order = [F.col(ts), F.col(tie)]
-    bucket = _resolve(df, keys, ts, bucket)
-    if bucket is None:
+    if not ranged:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-P, 0)
         return _null_for_missing_keys(df.withColumns(_rolling_cols(values, w)), keys, values)
 
-    b = "_tb"
+    b = PART
     wk = Window.partitionBy(*keys, b)
-    x = df.withColumn(b, _bucket(ts, bucket))
+    x = into_ranges(df, [*keys, ts, tie])
     x = x.withColumn("_ra", F.row_number().over(wk.orderBy(*order))).withColumn(
         "_rd", F.row_number().over(wk.orderBy(F.col(ts).desc(), F.col(tie).desc()))
     )
@@ -163,9 +143,9 @@ def rolling_stats(df: DataFrame, keys: list[str] | None = None, values: list[str
     base_cols = df.columns
     heads = x.filter(F.col("_ra") <= P).select(*base_cols, b).withColumn("_halo", F.lit(False))
 
-    # Halo: for each bucket, the P rows right before it = the newest P rows of
-    # the union of earlier buckets' tails.  Tails are P rows per bucket, so
-    # this window per key holds P x (#buckets) rows, not the key's data.
+    # Halo: for each range, the P rows right before it = the newest P rows of
+    # the union of earlier ranges' tails.  Tails are P rows per range, so
+    # this window per key holds P x (#ranges) rows, not the key's data.
     slim = [*keys, ts, tie, *values]
     tails = x.filter(F.col("_rd") <= P).select(*slim, b, "_ra")
     wt = Window.partitionBy(*keys).orderBy(*order)
@@ -197,11 +177,11 @@ def _null_for_missing_keys(df: DataFrame, keys: list[str], values: list[str]) ->
 def value_frequency(df: DataFrame, col: str = "hashed_command", out: str = "command_frequency") -> DataFrame:
     """Number of rows sharing ``col`` (NULL for NULL).
 
-    Aggregate (partial, map-side) then join back: a hot value is
-    pre-aggregated before the shuffle and the join side is one row per
-    distinct value, which AQE broadcasts at run time when it is small and
-    otherwise splits on skew."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out))
+    Aggregate (partial, map-side), written as a table, joined back.  Because
+    the counts come from a table and not from an exchange on the same key,
+    the join has an exchange of its own on either side, and adaptive
+    execution can split a hot value's partition."""
+    counts = cut_lineage(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out)), "frequency")
     return df.join(counts, col, "left")
 
 

@@ -115,10 +115,17 @@ def _report_summary(t):
 
 # -- model (rows-only checks: scores come from a randomised model) ------------------------
 
+#: Folder of the model fitted on a table in this application; the queries below share it.
+_MODELS: dict[tuple[str, str], str] = {}
+
+
 def _intel(t):
     from vigil.plans.flagship import process_intelligence
+    from vigil.session import shared_dir
 
-    return process_intelligence(t.process, t.network)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    path = _MODELS.setdefault(key, shared_dir(t.spark, "forest-model"))
+    return process_intelligence(t.process, t.network, model_path=path)
 
 
 @query("fit_isolation_forest")
@@ -162,14 +169,19 @@ def _related(t):
     return related_activity(_intel(t))
 
 
+def _matrix(t):
+    i = _intel(t)
+    return A.threat_matrix(i.process, A.network_window_stats(i.network))
+
+
 @query("threat_matrix")
 def _threat_matrix(t):
-    return A.threat_matrix(_intel(t).merged)
+    return _matrix(t)
 
 
 @query("top_matrix")
 def _top_matrix(t):
-    return A.top_matrix(A.threat_matrix(_intel(t).merged))
+    return A.top_matrix(_matrix(t))
 
 
 @query("threat_counts")

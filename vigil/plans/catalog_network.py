@@ -382,7 +382,7 @@ IPS_SQL = f"""
 
 @query("all_ips", IPS_SQL, NET)
 def _all_ips(t):
-    return X.all_ips(t.network, t.commands)
+    return X.sorted_ips(X.all_ips(t.network, t.commands))
 
 
 @query("report_ips", f"SELECT * FROM ({IPS_SQL}) x ORDER BY ip_num NULLS LAST, ip LIMIT {rules.TOP_N}", NET)

@@ -91,23 +91,28 @@ def _high_memory_filter(t):
     return D.high_memory_filter(t.process)
 
 
-@query("over_limit_cpu", f"SELECT * FROM process WHERE cpu > {rules.OVER_LIMIT_CPU} AND {NOT_WL} AND NOT {EXCL_SQL}",
+#: Events lie minutes apart, so the registered snapshot is the newest row's day.
+DAY = 24 * 60
+LAST_DAY = "timestamp >= (SELECT date_trunc('day', max(timestamp)) FROM process)"
+
+
+@query("over_limit_cpu", f"SELECT * FROM process WHERE {LAST_DAY} AND cpu > {rules.OVER_LIMIT_CPU} AND {NOT_WL} AND NOT {EXCL_SQL}",
        PROC)
 def _over_limit_cpu(t):
-    return C.over_limit_candidates(t.process, "cpu")
+    return C.over_limit_candidates(t.process, "cpu", minutes=DAY)
 
 
 @query("over_limit_memory",
-       f"SELECT * FROM process WHERE memory > {rules.OVER_LIMIT_MEMORY} AND {NOT_WL} AND NOT {EXCL_SQL}", PROC)
+       f"SELECT * FROM process WHERE {LAST_DAY} AND memory > {rules.OVER_LIMIT_MEMORY} AND {NOT_WL} AND NOT {EXCL_SQL}", PROC)
 def _over_limit_memory(t):
-    return C.over_limit_candidates(t.process, "memory")
+    return C.over_limit_candidates(t.process, "memory", minutes=DAY)
 
 
 @query("manager_view", f"""
     SELECT *, CASE WHEN length(command) > 50 THEN substr(command, 1, 50) || '...' ELSE command END AS command_short
-    FROM (SELECT * FROM process ORDER BY cpu DESC, id DESC LIMIT 10) x WHERE {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
+    FROM (SELECT * FROM process WHERE {LAST_DAY} ORDER BY cpu DESC, id DESC LIMIT 10) x WHERE {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
 def _manager_view(t):
-    return C.manager_view(t.process)
+    return C.manager_view(t.process, minutes=DAY)
 
 
 @query("user_slice", "SELECT * FROM process WHERE user_name = 'user3'", PROC)
@@ -250,9 +255,19 @@ def _hour_command_cpu(t):
     return A.hour_command_cpu(t.process, exact_scale=2)
 
 
-@query("hour_command_pivot")
+#: The heat map's columns: every command line of the derived process table.
+HEAT_COMMANDS = ["rm -rf /tmp/a", "wget http://x/y", "nmap -sS 10.0.0.0/8", "bash -c curl x", "python3 /script.py", "nginx: worker",
+                 "/usr/bin/java -jar a.jar", "chmod 777 /etc", "postgres: writer", "nc -lvnp 4444"]
+_HEAT_COLS = ", ".join(
+    f"CAST(sum(CAST(cpu AS DECIMAL(38,2))) FILTER (WHERE command = '{c}') AS DOUBLE) / nullif(count(cpu) FILTER (WHERE command = '{c}'), 0)"
+    f' AS "{c}"' for c in HEAT_COMMANDS)
+
+
+@query("hour_command_pivot", f"""
+    SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, {_HEAT_COLS}
+    FROM process WHERE command IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1, 2""", PROC)
 def _hour_command_pivot(t):
-    return A.hour_command_pivot(t.process)
+    return A.hour_command_pivot(t.process, HEAT_COMMANDS, exact_scale=2)
 
 
 # -- windows, dedup, joins ---------------------------------------------------------------
@@ -341,8 +356,7 @@ def _network_behavior_join(t):
           ON p.time_window = s.time_window) m
     WHERE command IS NOT NULL AND n_dst_ports IS NOT NULL GROUP BY command, n_dst_ports""", ("process", "network"))
 def _threat_matrix_rule(t):
-    merged = M.rule_merged(t)
-    return A.threat_matrix(merged, "threat_score")
+    return A.threat_matrix(*M.rule_risk(t), "threat_score")
 
 
 @query("risk_density_rule", f"""
@@ -355,7 +369,7 @@ def _threat_matrix_rule(t):
           ON p.time_window = s.time_window) m
     WHERE command IS NOT NULL AND n_dst_ports IS NOT NULL GROUP BY n_dst_ports, command""", ("process", "network"))
 def _risk_density_rule(t):
-    return A.risk_density(M.rule_merged(t), "threat_score")
+    return A.risk_density(*M.rule_risk(t), "threat_score")
 
 
 # -- features -------------------------------------------------------------------------
@@ -477,14 +491,6 @@ def _scale_features(t):
     return out.select("id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in rules.SCALED_FEATURES])
 
 
-@query("hour_command_pivot_sql", f"""
-    PIVOT (SELECT user_name, CAST(hour(timestamp) AS INTEGER) AS hour, command, {EXACT_MEAN.format(c='cpu')} AS v
-           FROM process WHERE command IS NOT NULL GROUP BY 1, 2, 3)
-    ON command USING first(v) GROUP BY user_name, hour""", PROC)
-def _hour_command_pivot_sql(t):
-    return A.hour_command_pivot(t.process, exact_scale=2)
-
-
 @query("retrain_168h")
 def _retrain(t):
     from vigil.plans.flagship import retrain
@@ -493,17 +499,17 @@ def _retrain(t):
 
 
 @query("over_limit_cpu_top10", f"""
-    SELECT * FROM (SELECT * FROM process ORDER BY cpu DESC, id DESC LIMIT 10) x
+    SELECT * FROM (SELECT * FROM process WHERE {LAST_DAY} ORDER BY cpu DESC, id DESC LIMIT 10) x
     WHERE cpu > {rules.OVER_LIMIT_CPU} AND {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
 def _over_limit_cpu_top10(t):
-    return C.over_limit_candidates(t.process, "cpu", pool=10)
+    return C.over_limit_candidates(t.process, "cpu", pool=10, minutes=DAY)
 
 
 @query("over_limit_memory_top10", f"""
-    SELECT * FROM (SELECT * FROM process ORDER BY cpu DESC, id DESC LIMIT 10) x
+    SELECT * FROM (SELECT * FROM process WHERE {LAST_DAY} ORDER BY cpu DESC, id DESC LIMIT 10) x
     WHERE memory > {rules.OVER_LIMIT_MEMORY} AND {NOT_WL} AND NOT {EXCL_SQL}""", PROC)
 def _over_limit_memory_top10(t):
-    return C.over_limit_candidates(t.process, "memory", pool=10)
+    return C.over_limit_candidates(t.process, "memory", pool=10, minutes=DAY)
 
 
 @query("cpu_histogram", """

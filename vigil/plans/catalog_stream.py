@@ -25,10 +25,19 @@ OWN = rules.OWN_IP
 
 
 def _events_stream(t) -> DataFrame:
-    spark = t.spark
-    schema = t.raw("events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .parquet(t.sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    """The whole ``events`` table, stored as one file or as a folder."""
+    return ST.stream_table(t.spark, f"{t.sf_dir}/events.parquet", t.raw("events").schema)
+
+
+def _drive(t, df: DataFrame, make_sink, *, states: int = 0) -> DataFrame:
+    """Run a foreachBatch sink over everything available; its table."""
+    name = "vigil_" + uuid.uuid4().hex[:12]
+    table = shared_dir(t.spark, f"{name}_out")
+    sink = make_sink(table, *[shared_dir(t.spark, f"{name}_state") for _ in range(states)])
+    q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", shared_dir(t.spark, f"{name}_ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return t.spark.read.parquet(table).drop("batch_id")
 
 
 def _run(t, df: DataFrame, mode: str = "append") -> DataFrame:
@@ -114,7 +123,7 @@ def _stream_correlate(t):
     WHERE mtime_s > prev_max""", ("file_ev",))
 def _stream_file_changes(t):
     files = AD.file_from_events(_events_stream(t))
-    return _ntz(_run(t, ST.file_changes(files)), "timestamp")
+    return _ntz(_drive(t, files, ST.file_changes_sink, states=1), "timestamp")
 
 
 CRON_STATE_SQL = """
@@ -142,7 +151,7 @@ def _stream_cron_diff(t):
     cron = AD.cron_from_events(_events_stream(t))
     lines = cron.select("cron_file", F.col("snapshot_date").cast("timestamp").alias("snapshot_ts"),
                         F.col("id").alias("line_no"), F.col("job").alias("line"))
-    return _ntz(_run(t, ST.cron_diff(lines)), "snapshot_ts")
+    return _ntz(_drive(t, lines, ST.cron_diff_sink, states=1), "snapshot_ts")
 
 
 THROTTLE_SQL = f"""
@@ -162,14 +171,9 @@ def _stream_throttle(t):
     """Distributed throttle per micro-batch (foreachBatch), state = last pass."""
     from vigil.operators.throttle import throttle_sink
 
-    spark = t.spark
-    table, ck = shared_dir(spark, "throttle_table"), shared_dir(spark, "throttle_ck")
     proc = AD.process_from_events(_events_stream(t))
     cmds = proc.filter(high_risk_match(F.col("command"))).select("id", "timestamp")
-    q = cmds.writeStream.foreachBatch(throttle_sink(table)).option("checkpointLocation", ck).trigger(
-        availableNow=True).start()
-    q.awaitTermination()
-    return _ntz(spark.read.parquet(table).drop("batch_id"), "timestamp")
+    return _ntz(_drive(t, cmds, throttle_sink), "timestamp")
 
 
 @query("throttle_alerts", THROTTLE_SQL, ("commands",))
@@ -194,19 +198,15 @@ def _throttle_alerts(t):
       FROM chain c WHERE c.id IS NOT NULL)
     SELECT id, timestamp, user_name FROM chain WHERE id IS NOT NULL""", ("commands",))
 def _stream_throttle_keyed(t):
-    """Per-user throttle with keyed state (applyInPandasWithState)."""
+    """One throttle per user: the distributed throttle with a group column."""
+    from vigil.operators.throttle import throttle_sink
+
     proc = AD.process_from_events(_events_stream(t))
     cmds = proc.filter(high_risk_match(F.col("command"))).select("id", "timestamp", "user_name")
-    return _ntz(_run(t, ST.throttle(cmds, key="user_name")), "timestamp")
+    return _ntz(_drive(t, cmds, lambda table: throttle_sink(table, by=["user_name"])), "timestamp")
 
 
 @query("stream_upsert_new", "SELECT id, timestamp, pid, command FROM process", ("process",))
 def _stream_upsert_new(t):
-    spark = t.spark
-    table = shared_dir(spark, "upsert_table")
-    ck = shared_dir(spark, "upsert_ck")
     proc = AD.process_from_events(_events_stream(t)).select("id", "timestamp", "pid", "command")
-    q = (proc.writeStream.foreachBatch(ST.upsert_new_rows(table)).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(table).drop("batch_id").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return _ntz(_drive(t, proc, ST.upsert_new_rows), "timestamp")

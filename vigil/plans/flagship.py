@@ -2,7 +2,7 @@
 
     process, network --fetch_window--> detectors (C2, exfil, port scan)
     process --M1 preprocess--> M2 behaviour --M3 encode--> M4 scale --> M5 matrix
-    matrix --load_or_fit forest--> scores (anomaly_score, is_anomaly, anomaly_risk)
+    matrix --stored or new forest--> scores, written once (anomaly_score, is_anomaly, anomaly_risk)
     scored process --bucket join--> per-(5 min, source) network stats = merged
 
 Everything stays distributed: the only driver-side values are the model
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from vigil.operators import detect as D
 from vigil.operators import features as M
 from vigil.operators import forest as FR
 from vigil.operators import joins as J
+from vigil.session import cut_lineage
 
 
 @dataclass
@@ -53,7 +53,7 @@ def retrain(process: DataFrame, hours: int | None = rules.TRAIN_HOURS, model_pat
 
 
 def process_intelligence(process: DataFrame, network: DataFrame, hours: int | None = None,
-                         model_path: str | None = None, persist: bool = True) -> Intelligence:
+                         model_path: str | None = None) -> Intelligence:
     """M10: the whole chain.  ``hours=None`` analyses every row."""
     if hours:
         process = C.fetch_window(process, hours)
@@ -62,17 +62,19 @@ def process_intelligence(process: DataFrame, network: DataFrame, hours: int | No
     spark = process.sparkSession
     vocab, scaler = M.load_preprocessing(spark, model_path) if model_path else (None, None)
     feats, matrix, vocab, scaler = M.prepare_model_input(process, vocab, scaler)
-    model = FR.load_or_fit(spark, matrix, model_path, [c for c in rules.MODEL_FEATURES if c in matrix.columns])
+    stored = bool(model_path) and FR.model_exists(spark, model_path)
+    model = (FR.load_model(spark, model_path) if stored
+             else FR.grow(matrix, [c for c in rules.MODEL_FEATURES if c in matrix.columns]))
+    # Encode, scale and score in one pass; the written scores give the offset and everything after it.
+    inputs = M.feature_columns(feats, model.features)
+    raw = cut_lineage(FR.score_samples(feats, model, inputs=[inputs[f] for f in model.features]), "scored")
+    if model.offset is None:
+        model.offset = FR.fit_offset(raw)
+    if model_path and not stored:
+        FR.save_model(model, model_path)
     if model_path:
         M.save_preprocessing(vocab, scaler, model_path)
-    # Score the feature rows directly (model inputs as temporary columns), so
-    # no join of two full-size frames is needed to attach the scores.
-    inputs = M.feature_columns(feats, model.features)
-    tmp = {f"__in_{f}": c for f, c in inputs.items()}
-    scored = FR.score_anomalies(feats.withColumns(tmp), model, columns=list(tmp)).drop(
-        *tmp, "anomaly_score_raw")
-    if persist:
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = FR.judge_scores(raw, model.offset).drop("anomaly_score_raw")
     merged = J.network_behavior_join(scored, A.network_window_stats(net))
     return Intelligence(process=scored, network=net, merged=merged, model=model)
 

@@ -1,24 +1,24 @@
 """Network / threat view (lifecycle E3): one scored frame feeds every panel.
 
-    network --threat_score, tcp_flag_text--> scored (persisted once)
+    network --threat_score, tcp_flag_text--> scored (written once)
        scored --> A5 port access, A6 SYN pairs, A7 inbound/outbound (+ top 5),
                   A2 metrics, A14 hourly timeline, I5 incidents (with process)
 
-The scored frame is persisted (memory and disk) because every panel reads
-it; each panel is then one aggregate over it.
+Every panel reads the scored frame, so it is written to the shared folder
+once; each panel is then one aggregate over that table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars as S
 from vigil.operators import aggregates as A
 from vigil.operators import detect as D
+from vigil.session import cut_lineage
 
 
 def score_network(network: DataFrame) -> DataFrame:
@@ -41,10 +41,9 @@ class NetworkView:
     incidents: DataFrame
 
 
-def network_view(network: DataFrame, process: DataFrame | None = None, persist: bool = True) -> NetworkView:
-    scored = score_network(network)
-    if persist:
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+def network_view(network: DataFrame, process: DataFrame | None = None) -> NetworkView:
+    """All panels read one written table of scored rows."""
+    scored = cut_lineage(score_network(network), "network-view")
     return NetworkView(
         scored=scored,
         metrics=A.network_metrics(scored),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings every operator relies on: UTC wall clock, AQE with skew
 # splitting, and a partial WindowGroupLimit for per-group top-k filters.
@@ -65,9 +65,15 @@ def shared_base(spark: SparkSession) -> str:
     return "/tmp/vigil-checkpoints"
 
 
+#: Folders that this process has named and not dropped.
+_MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory."""
-    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.add(path)
+    return path
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -75,3 +81,27 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    _MADE.discard(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every folder of ``shared_dir`` that is still there: for callers
+    that have read or stored all results, since a returned frame may still
+    read its last tables."""
+    for path in sorted(_MADE):
+        drop_dir(spark, path)
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a parquet table under the cluster's shared checkpoint
+    directory (``spark.checkpoint.dir``) and read it back: later passes
+    neither recompute nor re-plan the chain behind it, a lost executor does
+    not force a recompute, and readers get column pruning.  (One job, where
+    ``Dataset.checkpoint`` of an unpersisted plan runs it twice.)"""
+    return cut_to(df, shared_dir(df.sparkSession, name))
+
+
+def cut_to(df: DataFrame, path: str) -> DataFrame:
+    """``cut_lineage`` into a named folder, for callers that drop it later."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

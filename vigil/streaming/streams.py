@@ -4,26 +4,25 @@ The collector, receiver and loader loops become one streaming pipeline:
 file source (S1) -> quarantine -> routing sink (S2) / alerts (S3) ->
 keyed first-seen filters (S4) -> idempotent upsert of unseen timestamps (S5),
 plus windowed statistics (S6), a stream-stream interval join (S7) and three
-custom stateful operators (S8 cron diff, S9 file changes, S10 throttle).
+stateful sinks (S8 cron diff, S9 file changes, S10 throttle) that run the
+batch operators on every micro-batch and carry a small state table.
 
-State is keyed and bounded: per cron file its current job list, per watched
-file one timestamp, per throttle key one timestamp.  Exactly-once output
-comes from checkpointed offsets plus sinks that are idempotent per batch id.
+State is keyed and bounded: per cron file its last changed job list, per
+watched file one timestamp, per throttle key one timestamp.  Exactly-once
+output comes from checkpointed offsets plus sinks that are idempotent per
+batch id: batch N reads the state of the batches before it alone.
 Checkpoints live under the cluster's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil import rules
 from vigil.operators import sets as X
+from vigil.session import cut_lineage
 
 DEFAULT_WATERMARK = "10 minutes"
 
@@ -46,17 +45,26 @@ def stream_events(spark: SparkSession, path: str, schema: T.StructType | None =
     })
 
 
-def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int | None = None,
-                   ts: str = "timestamp") -> DataFrame:
-    """Parquet folder as a stream; ``timestamp_ntz`` is cast to ``timestamp``
+def stream_table(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table as a stream, stored as a folder of part files or as
+    one file.  Fails where there is nothing to read; an empty stream would
+    look like a finished one.  ``timestamp_ntz`` columns become ``timestamp``
     (watermarks need the zoned type)."""
-    r = spark.readStream.schema(schema)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    status = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath)
+    if not status:
+        raise FileNotFoundError(path)
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.parquet(path)
-    if ts in df.columns and isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    return df
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if status[0].isDirectory():
+        df = reader.parquet(path)
+    else:
+        folder, _, name = path.rpartition("/")
+        df = reader.option("pathGlobFilter", name).parquet(folder)
+    zoned = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoned}) if zoned else df
 
 
 # S2 ----------------------------------------------------------------------------------
@@ -147,12 +155,21 @@ def window_stats(network: DataFrame, minutes: int = rules.BUCKET_MINUTES, waterm
 # S7 ----------------------------------------------------------------------------------
 def correlate(process: DataFrame, network: DataFrame, minutes: int = rules.CORRELATION_MINUTES,
               watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Stream-stream inner join: network time within +-minutes of the
-    process time and src_port = pid.  Watermarks on both sides bound state."""
-    p = process.withWatermark("timestamp", watermark).alias("p")
-    n = network.withWatermark("timestamp", watermark).alias("n")
+    """Stream-stream inner join: network time within +-minutes of the process
+    time and src_port = pid.  Watermarks on both sides bound the state.
+
+    As in the batch join, the keys include a time bucket as wide as the
+    interval, and the process side takes part in the buckets around its own:
+    a hot pid's rows spread over its buckets instead of one state partition."""
+    width = f"{minutes} minutes"
+    bucket = lambda c: F.window(c, width).getField("start")
+    p = process.withWatermark("timestamp", watermark)
+    p = p.withColumn("_b", F.explode(F.array(*[bucket(F.col("timestamp")) + F.expr(f"INTERVAL {k * minutes} MINUTES")
+                                               for k in (-1, 0, 1)]))).alias("p")
+    n = network.withWatermark("timestamp", watermark).withColumn("_b", bucket(F.col("timestamp"))).alias("n")
     cond = (
-        (F.col("n.src_port") == F.col("p.pid"))
+        (F.col("n._b") == F.col("p._b"))
+        & (F.col("n.src_port") == F.col("p.pid"))
         & (F.col("n.timestamp") >= F.col("p.timestamp") - F.expr(f"INTERVAL {minutes} MINUTES"))
         & (F.col("n.timestamp") <= F.col("p.timestamp") + F.expr(f"INTERVAL {minutes} MINUTES"))
     )
@@ -163,102 +180,91 @@ def correlate(process: DataFrame, network: DataFrame, minutes: int = rules.CORRE
 
 
 # S8 ----------------------------------------------------------------------------------
-CRON_OUT = T.StructType([
-    T.StructField("cron_file", T.StringType()), T.StructField("snapshot_ts", T.TimestampType()),
-    T.StructField("job", T.StringType()),
-])
-CRON_STATE = T.StructType([T.StructField("jobs", T.ArrayType(T.StringType()))])
-
-
-def cron_lines_to_jobs(lines: list[str]) -> list[str]:
-    """Drop lines starting with '#' (before stripping), strip the rest; blank
-    lines stay (as '')."""
-    return [ln.strip() for ln in lines if not ln.startswith("#")]
-
-
-def _cron_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    cron_file = key[0]
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    last = list(state.get[0]) if state.exists else []
-    out = []
-    for ts, snap in pdf.sort_values(["snapshot_ts", "line_no"]).groupby("snapshot_ts", sort=True):
-        jobs = cron_lines_to_jobs(snap["line"].tolist())
-        new = sorted(set(jobs) - set(last))
-        if new:
-            out += [(cron_file, ts, j) for j in new]
-            last = jobs  # state replaced only when something new appeared
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["cron_file", "snapshot_ts", "job"])
-
-
-def cron_diff(lines: DataFrame) -> DataFrame:
-    """Per cron file (key), snapshots of its lines (cron_file, snapshot_ts,
-    line_no, line) -> jobs new relative to the last *changed* snapshot.
-    State per file is that snapshot's job list."""
-    return lines.groupBy("cron_file").applyInPandasWithState(
-        _cron_state_fn, CRON_OUT, CRON_STATE, "append", GroupStateTimeout.NoTimeout)
+def cron_jobs(lines: DataFrame) -> DataFrame:
+    """Jobs of a snapshot's lines: a line whose first character is '#' is
+    none; the others lose white space at their ends and may be empty."""
+    return (lines.filter(~F.startswith("line", F.lit("#")))
+            .select("cron_file", "snapshot_ts", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("job")))
+
+
+def cron_steps(jobs: DataFrame, known: DataFrame) -> DataFrame:
+    """(cron_file, snapshot_ts, job) of every job that a snapshot adds to the
+    last *changed* snapshot, and the state afterwards.
+
+    ``known`` (cron_file, snapshot_ts, jobs) is that snapshot from earlier
+    batches.  Per file the snapshots of one micro-batch are folded in time
+    order inside the JVM; the row of a file holds its distinct job sets of
+    this batch, which ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound."""
+    snaps = jobs.groupBy("cron_file", "snapshot_ts").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
+    per_file = snaps.groupBy("cron_file").agg(F.array_sort(F.collect_list(F.struct("snapshot_ts", "jobs"))).alias("snaps"))
+    step = "struct<snapshot_ts: timestamp, jobs: array<string>, added: array<string>>"
+    state = "struct<jobs: array<string>, steps: array<" + step + ">>"
+    start = F.struct(F.coalesce("known", F.array().cast("array<string>")).alias("jobs"),
+                     F.array().cast(f"array<{step}>").alias("steps")).cast(state)
+
+    def fold(acc, snap):
+        added = F.array_except(snap["jobs"], acc["jobs"])
+        one = F.struct(snap["snapshot_ts"].alias("snapshot_ts"), snap["jobs"].alias("jobs"), added.alias("added"))
+        changed = F.struct(snap["jobs"].alias("jobs"), F.concat(acc["steps"], F.array(one)).alias("steps")).cast(state)
+        return F.when(F.size(added) > 0, changed).otherwise(acc)
+
+    before = known.select("cron_file", F.col("jobs").alias("known"))
+    return (per_file.join(before, "cron_file", "left")
+            .select("cron_file", F.explode(F.aggregate("snaps", start, fold, lambda acc: acc["steps"])).alias("s"))
+            .select("cron_file", "s.*"))
+
+
+def cron_diff_sink(out_path: str, state_path: str):
+    """foreachBatch function: jobs new relative to the last changed snapshot
+    go to ``out_path``; every changed snapshot with its jobs to
+    ``state_path``, whose newest row per file is the state.  Both folders are
+    per batch, so a replayed batch overwrites its own."""
+    from vigil.sources.files import path_exists
+
+    schema = "cron_file string, snapshot_ts timestamp, jobs array<string>, batch_id long"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = (spark.read.schema(schema).parquet(state_path) if path_exists(spark, state_path)
+                  else spark.createDataFrame([], schema)).filter(F.col("batch_id") < batch_id)
+        known = stored.groupBy("cron_file").agg(F.max_by("jobs", F.struct("batch_id", "snapshot_ts")).alias("jobs"))
+        steps = cut_lineage(cron_steps(cron_jobs(batch), known), "cron-steps")
+        (steps.select("cron_file", "snapshot_ts", F.explode("added").alias("job"))
+         .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
+        steps.select("cron_file", "snapshot_ts", "jobs").write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+
+    return run
 
 
 # S9 ----------------------------------------------------------------------------------
-FILE_OUT = T.StructType([
-    T.StructField("file", T.StringType()), T.StructField("timestamp", T.TimestampType()),
-    T.StructField("mtime_s", T.LongType()),
-])
-FILE_STATE = T.StructType([T.StructField("max_mtime", T.LongType())])
-
-
-def _file_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "id"])
-    last = state.get[0] if state.exists else None
-    out = []
-    for ts, m in zip(pdf["timestamp"], pdf["mtime_s"]):
-        if last is None:
-            last = int(m)  # first observation is the baseline
-        elif m > last:
-            out.append((key[0], ts, int(m)))
-            last = int(m)
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["file", "timestamp", "mtime_s"])
-
-
-def file_changes(files: DataFrame) -> DataFrame:
-    return files.groupBy("file").applyInPandasWithState(
-        _file_state_fn, FILE_OUT, FILE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-# S10 ---------------------------------------------------------------------------------
-THROTTLE_STATE = T.StructType([T.StructField("last_sent", T.TimestampType())])
-
-
-def throttle(alerts_df: DataFrame, hours: float = rules.ALERT_INTERVAL_HOURS, key: str = "user_name") -> DataFrame:
-    """Per-key throttle with keyed state: an alert passes only if >= ``hours``
-    since the last *passed* alert of its key (greedy); state per key is one
-    timestamp.  The single global throttle of the reproduced alert mail is
-    ``vigil.operators.throttle.throttle_sink`` (distributed, no hot group)."""
-    gap = pd.Timedelta(hours=hours)
-    out_schema = T.StructType(list(alerts_df.schema.fields))
-
-    def fn(kv, pdfs, state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        order = [c for c in ("timestamp", "id") if c in pdf.columns]
-        pdf = pdf.sort_values(order)
-        last = state.get[0] if state.exists else None
-        keep = []
-        for ts in pdf["timestamp"]:
-            if last is None or ts - pd.Timestamp(last) >= gap:
-                keep.append(True)
-                last = ts
-            else:
-                keep.append(False)
-        if last is not None:
-            state.update((pd.Timestamp(last).to_pydatetime(),))
-        if any(keep):
-            yield pdf[keep]
-
-    return alerts_df.groupBy(key).applyInPandasWithState(
-        fn, out_schema, THROTTLE_STATE, "append", GroupStateTimeout.NoTimeout)
+def file_changes_sink(out_path: str, state_path: str):
+    """foreachBatch function over ``windows.file_mod_changes``: the largest
+    modification time of earlier batches enters the batch as an observation
+    before all others of its file."""
+    from vigil.operators.windows import file_mod_changes
+    from vigil.sources.files import path_exists
+
+    schema = "file string, mtime_s long, batch_id long"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("id", "timestamp", "file", "mtime_s").withColumn("_known", F.lit(False))
+        if path_exists(spark, state_path):
+            known = (spark.read.schema(schema).parquet(state_path).filter(F.col("batch_id") < batch_id)
+                     .groupBy("file").agg(F.max("mtime_s").alias("mtime_s")))
+            # A null time sorts before every observation.
+            rows = rows.unionByName(known.select(
+                F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("timestamp"), "file", "mtime_s",
+                F.lit(True).alias("_known")))
+        changed = file_mod_changes(rows).filter(~F.col("_known")).select("file", "timestamp", "mtime_s")
+        changed.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        (batch.filter(F.col("file").isNotNull()).groupBy("file").agg(F.max("mtime_s").cast("long").alias("mtime_s"))
+         .write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}"))
+
+    return run
+
+
+# S10: ``vigil.operators.throttle.throttle_sink`` (one throttle, or one per key with ``by``)
 
 
 # S11 ---------------------------------------------------------------------------------
