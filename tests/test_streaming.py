@@ -264,9 +264,9 @@ def test_ingest_application_end_to_end(spark):
             f.write(json.dumps(e) + "\n")
         f.write("{broken\n")
     await_all(start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/ck"))
-    cmds = spark.read.parquet(f"{d}/out/tables/suspicious_command").collect()
+    cmds = spark.read.parquet(f"{d}/out/tables/commands").collect()
     assert [(r.command, r.pid) for r in cmds] == [("nc -e sh", 7)]       # first row per timestamp kept
-    assert spark.read.parquet(f"{d}/out/tables/network_event").count() == 1
+    assert spark.read.parquet(f"{d}/out/tables/network").count() == 1
     assert sorted(r.alert for r in spark.read.parquet(f"{d}/out/alerts").collect()) == [
         "ALERT: Suspicious command detected - dup ts", "ALERT: Suspicious command detected - nc -e sh",
         "ALERT: Suspicious network activity on port 22"]
@@ -275,4 +275,42 @@ def test_ingest_application_end_to_end(spark):
     with open(f"{d}/in/b.ndjson", "w") as f:
         f.write(json.dumps({**ev[0], "command": "later same ts"}) + "\n")
     await_all(start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/ck"))
-    assert spark.read.parquet(f"{d}/out/tables/suspicious_command").count() == 1
+    assert spark.read.parquet(f"{d}/out/tables/commands").count() == 1
+
+
+def test_ingested_tables_feed_the_analytics(spark):
+    """Files -> tables with the stored schema -> incidents and features; a time window prunes date folders."""
+    import json
+
+    from vigil.operators import clean as C
+    from vigil.operators import detect as D
+    from vigil.operators import features as M
+    from vigil.sources import schemas
+    from vigil.streaming.ingest import await_all, start_ingest
+
+    d = tempfile.mkdtemp(prefix="vigil-analytics-", dir="/tmp")
+    os.makedirs(f"{d}/events")
+    os.makedirs(f"{d}/process")
+    with open(f"{d}/events/a.ndjson", "w") as f:
+        for i in range(12):
+            f.write(json.dumps({"type": "network_event", "timestamp": f"2024-01-{1 + i // 4:02d}T00:00:{i:02d}", "src_ip": "9.9.9.9",
+                                "dst_ip": "192.168.154.133", "src_port": 40000, "dst_port": 100 + i, "flags": "S"}) + "\n")
+    line = "2024-01-0{d} 10:00:0{s},{p},root,{c},40.0,100,10,1,S,0:01.00,nc -lvnp {p},{h}\n"
+    with open(f"{d}/process/a.csv", "w") as f:
+        f.write("Timestamp,PID,User,CPU,Memory,VIRT,RES,SHR,S,Time Used,Command,Hashed Command\n")
+        for i in range(6):
+            f.write(line.format(d=1 + i // 2, s=i, p=i, c=float(i), h="ab" * 32))
+        f.write("broken line\n")
+    await_all(start_ingest(spark, f"{d}/events", f"{d}/out", f"{d}/ck", process_dir=f"{d}/process"))
+    process, network = (spark.read.parquet(f"{d}/out/tables/{t}") for t in ("process", "network"))
+    assert [c for c in process.columns if c not in ("event_date", "batch_id")] == schemas.PROCESS.names
+    assert network.select("id").distinct().count() == 12 and process.filter("id is null").count() == 0
+    assert [r.value for r in spark.read.text(f"{d}/out/process_quarantine").collect()] == ["broken line"]
+    kinds = {r.type for r in D.detect_incidents(network, process).collect()}
+    assert {"Multiple Ports Accessed", "High Memory Process", "Suspicious Process"} <= kinds
+    feats = M.behavior_features(M.preprocess_process(process))
+    assert feats.count() == 6 and feats.filter("cpu_rolling_mean is null").count() == 0
+    recent = C.fetch_window(process, 24)
+    assert recent.count() == 2
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]

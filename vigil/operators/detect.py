@@ -206,21 +206,45 @@ def incident_suspicious_process(process: DataFrame, as_of: Column | None = None)
 
 def detect_incidents(network: DataFrame | None, process: DataFrame | None,
                      as_of: Column | None = None, th: rules.Thresholds = rules.Thresholds()) -> DataFrame:
-    """I5: union of the four incident rules (duplicates kept)."""
+    """I5: all rows of the four incident rules (duplicates kept).
+
+    One aggregate per source decides I1 and I2, one pass over the processes
+    I3 and I4; a row gives as many incidents as rules it meets."""
     if as_of is None:
         marks = [_as_of(d) for d in (network, process) if d is not None]
         as_of = marks[0] if len(marks) == 1 else F.greatest(*marks)
     parts: list[DataFrame] = []
     if network is not None:
-        parts += [incident_multi_port(network, as_of, th), incident_syn_flood(network, as_of, th)]
+        src = F.col("src_ip")
+        per_source = (network.filter((F.col("dst_ip") == th.own_ip) & src.isNotNull()).groupBy("src_ip")
+                      .agg(F.countDistinct("dst_port").alias("ports"), F.count_if(F.col("flags") == "S").alias("syns")))
+        parts.append(_any_of(per_source, as_of, [
+            (F.col("ports") >= th.port_threshold, "Multiple Ports Accessed", src, "High", S.text_multi_port(src, F.col("ports"))),
+            (F.col("syns") >= th.syn_threshold, "Possible SYN Flood", src, "Critical", S.text_syn_flood(src, F.col("syns")))]))
     if process is not None:
-        parts += [incident_high_memory(process, as_of, th), incident_suspicious_process(process, as_of)]
+        cmd = _command_col(process)
+        c = F.col(cmd) if cmd else F.lit(None).cast("string")
+        memory = S.over(F.col("memory"), th.high_memory)
+        source = F.col("process_name") if "process_name" in process.columns else F.lit("Unknown")
+        parts.append(_any_of(process, as_of, [
+            (memory & ~P.is_whitelisted(c) if cmd else memory, "High Memory Process", source, "High",
+             S.text_high_memory(F.col("memory"), c if cmd else F.lit("Unknown"))),
+            (P.suspicious_process(c) if cmd else F.lit(False), "Suspicious Process", c, "High", S.text_suspicious(c))]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _any_of(df: DataFrame, as_of: Column, rules_: list[tuple]) -> DataFrame:
+    """One incident row per row of ``df`` and rule (condition, type, source,
+    severity, text) that it meets."""
+    hits = [F.when(cond, F.struct(F.lit(kind).alias("type"), source.cast("string").alias("source"),
+                                  F.lit(severity).alias("severity"), text.alias("description")))
+            for cond, kind, source, severity, text in rules_]
+    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("x")).select("x.*", as_of.alias("timestamp"))
+
+
 SEVERITY_RANK = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
 
 

@@ -39,4 +39,4 @@ def query(name: str, sql: str | None = None, tables: tuple[str, ...] = ()):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from vigil.plans import catalog_misc, catalog_network, catalog_process, catalog_stream  # noqa: F401
+    from vigil.plans import catalog_facts, catalog_misc, catalog_network, catalog_process, catalog_stream  # noqa: F401

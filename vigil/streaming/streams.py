@@ -110,11 +110,16 @@ def first_seen(events: DataFrame, keys: list[str], watermark: str | None = None,
 
 
 # S5 ----------------------------------------------------------------------------------
-def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] | None = None):
+def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] | None = None,
+                    schema: T.StructType | None = None):
     """foreachBatch function: keep the first row per key inside the batch,
     drop keys already stored, append.  A replayed batch overwrites its own
-    folder (``batch_id=N``), so the sink is idempotent."""
-    from vigil.sources.files import path_exists
+    folder (``batch_id=N``), so the sink is idempotent.
+
+    With ``schema`` the rows get the table's columns and types; an absent
+    ``id`` is numbered in arrival order (batch, then row), and the batch's
+    rows are laid out by ``event_date`` so that time windows prune folders."""
+    from vigil.sources.files import conform, path_exists
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -122,16 +127,25 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
             # Arrival order inside the micro-batch (file split order); only
             # available on the static batch, not on the stream itself.
             batch = batch.withColumn("_seq", F.monotonically_increasing_id())
-        firsts = X.dedup_first(batch.filter(F.col(key).isNotNull()), [key], order or ["id"]).drop("_seq")
+        firsts = X.dedup_first(batch.filter(F.col(key).isNotNull()), [key], order or ["id"])
         if path_exists(spark, table_path):
-            stored = spark.read.parquet(table_path).filter(F.col("batch_id") != batch_id)
+            stored = spark.read.parquet(table_path).filter(F.col("batch_id") < batch_id)
             # Only stored keys inside the batch's own key range can collide;
             # the range filter lets parquet statistics skip the rest.
             lo, hi = batch.select(F.min(key)).scalar(), batch.select(F.max(key)).scalar()
             stored = stored.filter(F.col(key).between(lo, hi))
             firsts = firsts.join(stored.select(key), key, "left_anti")
-        firsts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{table_path}/batch_id={batch_id}")
+        writer = None
+        if schema is not None:
+            if "id" in schema.names and "id" not in firsts.columns:
+                # Up to 2048 tasks a batch and half a million batches.
+                firsts = firsts.withColumn("id", F.lit(batch_id << 44) + (
+                    F.col("_seq") if "_seq" in firsts.columns else F.monotonically_increasing_id()))
+            out = conform(firsts, schema).withColumn("event_date", F.to_date(F.col("timestamp")))
+            writer = out.write.mode("overwrite").partitionBy("event_date")
+        else:
+            writer = firsts.drop("_seq").write.mode("overwrite")
+        writer.parquet(f"{table_path}/batch_id={batch_id}")
 
     return run
 
