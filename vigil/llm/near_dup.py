@@ -218,6 +218,14 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     edges = scratch.cut(done.where(alike).select("a", "b"), "edges")
     comps = scratch.cut(components(edges, scratch), "comps")
 
+    def merged(edges: DataFrame, comps: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges and components with the links found among ``checked`` pairs."""
+        found = scratch.cut(checked.where(alike).select("a", "b"), "found")
+        if found.isEmpty():
+            return edges, comps
+        edges = scratch.cut(edges.unionByName(found), "edges")
+        return edges, scratch.cut(components(edges, scratch), "comps")
+
     def with_comp(df: DataFrame, node: str, name: str) -> DataFrame:
         c = comps.select(F.col("node").alias(node), F.col("comp").alias(name))
         return df.join(c, node, "left").withColumn(name, F.coalesce(name, node))
@@ -227,8 +235,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             .where("a <> b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
     apart = with_comp(with_comp(ends, "a", "ca"), "b", "cb").where("ca <> cb")
     more = compare(apart, sets, scratch)
-    edges = scratch.cut(edges.unionByName(more.where(alike).select("a", "b")), "edges")
-    comps = scratch.cut(components(edges, scratch), "comps")
+    edges, comps = merged(edges, comps, more)
     done = scratch.cut(done.select("a", "b", "common", "na", "nb").unionByName(more.select("a", "b", "common", "na", "nb")), "done")
 
     # What is left: buckets that hold several components.
@@ -255,8 +262,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
             .join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
     last = compare(rest, sets, scratch)
-    edges = scratch.cut(edges.unionByName(last.where(alike).select("a", "b")), "edges")
-    comps = scratch.cut(components(edges, scratch), "comps")
+    edges, comps = merged(edges, comps, last)
     scratch.drop(buckets, members, nodes, sets, placed, mixed, open_, spaced)
 
     # Back to rows: class, component, the id of the component's smallest row.
