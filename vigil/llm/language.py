@@ -82,7 +82,7 @@ class Model:
 def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
     """The model of sample texts by language."""
     langs = sorted(samples)
-    letters = np.where(_is_letter(), OTHER, SEP).astype(np.uint8)
+    letters = np.where(is_letter(), OTHER, SEP).astype(np.uint8)
     counts = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
     for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_letters]):
         letters[ord(c)] = FIRST + i
@@ -110,7 +110,7 @@ def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
                  np.array(roots, dtype=np.int64), np.array(logs))
 
 
-def _is_letter() -> np.ndarray:
+def is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 

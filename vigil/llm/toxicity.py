@@ -2,7 +2,7 @@
 by naive Bayes log-count ratios.
 
 A text's features are the character n-grams (``NGRAMS``) of its lower-cased
-words with word ends marked, present or not, hashed into ``BUCKETS`` buckets.
+words with word boundaries, present or not, hashed into ``BUCKETS`` buckets.
 The ratio of a feature is log of its smoothed share among toxic texts over its
 share among the others; a logistic regression with an L2 penalty is fitted on
 presence times ratio.  Scoring sums weight times ratio over the features of
@@ -20,7 +20,6 @@ and source are never features.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,86 +29,118 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.language import held_out
+from vigil.llm.language import held_out, is_letter
 
-NGRAMS = (2, 3, 4, 5, 6)
-BUCKETS = 1 << 19
+NGRAMS = (3, 4, 5, 6)
+BITS = 18
+BUCKETS, SHIFT = 1 << BITS, np.uint64(64 - BITS)
 #: Bounds of the labelled sample.
-TOXIC_ROWS, CLEAN_ROWS = 2_500, 7_500
-#: Features of fewer sample texts are left out.
-MIN_TEXTS = 5
-WORD = re.compile(r"[^\W\d_]+")
-#: Words remembered in a task.
-KNOWN_WORDS = 100_000
+TOXIC_ROWS, CLEAN_ROWS = 2_000, 6_000
+#: Features of fewer sample texts, or of a ratio closer to zero, are left out.
+MIN_TEXTS, MIN_RATIO = 5, 0.1
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Features:
-    """Feature sets of texts; the n-grams of known words are remembered."""
+    """Distinct feature buckets of texts."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.known.get(w)
-        if got is None:
-            got = ngrams(w)
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            self.known[w] = got
-        return got
+    def __init__(self, letters: np.ndarray) -> None:
+        self.letters = letters
+        self.latest = np.zeros(BUCKETS, dtype=np.int64)
 
     def text(self, text: str | None) -> np.ndarray:
-        words = set(WORD.findall((text or "").lower()))
-        return np.unique(np.concatenate([self.word(w) for w in words])) if words else np.zeros(0, dtype=np.int32)
-
-
-def ngrams(word: str) -> np.ndarray:
-    """Buckets of the n-grams of a word with its ends marked."""
-    import zlib
-
-    s = f"<{word}>"
-    grams = {s[i:i + n] for n in NGRAMS for i in range(len(s) - n + 1)}
-    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], dtype=np.int32)
+        """Code points in lower case, everything but letters as one boundary
+        between words; an n-gram lies in a word with a boundary on either side."""
+        if not text:
+            return np.zeros(0, dtype=np.int64)
+        chars = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        chars = np.where(self.letters[chars], chars, 0)
+        chars = chars[np.concatenate([[True], (chars[1:] != 0) | (chars[:-1] != 0)])]
+        if len(chars) < 3:
+            return np.zeros(0, dtype=np.int64)
+        # Steps to the next boundary behind each place.
+        ends = np.flatnonzero(chars == 0)
+        at = np.arange(len(chars))
+        steps = ends[np.minimum(np.searchsorted(ends, at, side="right"), len(ends) - 1)] - at
+        h = chars.astype(np.uint64) * ODD
+        made = []
+        for n in range(2, max(NGRAMS) + 1):
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * ODD + chars[n - 1:]
+            if not h.size:
+                break
+            if n in NGRAMS:
+                made.append((((h ^ (h >> np.uint64(31))) * ODD) >> SHIFT)[steps[:len(h)] >= n - 1])
+        found = np.concatenate(made).astype(np.int64)
+        # One of each: the place that was written last.
+        place = np.arange(len(found))
+        self.latest[found] = place
+        return found[self.latest[found] == place]
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # weight times ratio by bucket
     bias: float
+    letters: np.ndarray  # whether a code point is a letter
 
+    def features(self) -> Features:
+        return Features(self.letters)
 
-def fit(texts: list[str | None], toxic: list[int], penalty: float = 1.0, steps: int = 150) -> Model:
+
+def fit(texts: list[str | None], toxic: list[int], penalty: float = 1.0, steps: int = 60) -> Model:
     y = np.asarray(toxic, dtype=np.float64)
     rate = (y.sum() + 1) / (len(y) + 2)
-    base = Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(rate / (1 - rate))))
+    base = Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(rate / (1 - rate))), is_letter())
     if not len(y) or y.min() == y.max():
         return base
-    made = Features()
-    sets = [made.text(t) for t in texts]
-    ends = np.cumsum([0] + [len(s) for s in sets])
+    made = base.features()
+    sets = [made.text(t).astype(np.int32) for t in texts]
+    sizes = np.array([len(x) for x in sets])
     cols = np.concatenate(sets)
-    rows = np.repeat(np.arange(len(sets)), np.diff(ends))
-    pos = np.bincount(cols, weights=y[rows], minlength=BUCKETS)
-    neg = np.bincount(cols, weights=1 - y[rows], minlength=BUCKETS)
+    del sets, made
+    blocks = list(_blocks(sizes))
+
+    width = BUCKETS
+
+    def spread(per_text: np.ndarray) -> np.ndarray:
+        """Per feature, the sum of its texts' values."""
+        out = np.zeros(width)
+        for a, b, lo, hi in blocks:
+            out += np.bincount(cols[lo:hi], weights=np.repeat(per_text[a:b], sizes[a:b]), minlength=width)
+        return out
+
+    def gather(per_feature: np.ndarray) -> np.ndarray:
+        """Per text, the sum of its features' values."""
+        out = np.zeros(len(sizes))
+        for a, b, lo, hi in blocks:
+            run = np.concatenate([[0.0], np.cumsum(per_feature[cols[lo:hi]])])
+            ends = np.concatenate([[0], np.cumsum(sizes[a:b])])
+            out[a:b] = run[ends[1:]] - run[ends[:-1]]
+        return out
+
+    pos, neg = spread(y), spread(1 - y)
     used = pos + neg >= MIN_TEXTS
     ratio = np.where(used, np.log((pos + 1) / (pos + 1).sum()) - np.log((neg + 1) / (neg + 1).sum()), 0.0)
-    keep = used[cols]
-    cols, rows = cols[keep], rows[keep]
-    if not cols.size:
+    used &= np.abs(ratio) >= MIN_RATIO
+    names = np.flatnonzero(used)
+    if not names.size:
         return base
-    # Presence times ratio, in the compact numbering of the used features.
-    names, at = np.unique(cols, return_inverse=True)
-    val = ratio[cols].astype(np.float64)
-    w, b = np.zeros(len(names)), base.bias
-    n = len(sets)
+    # From here on only features in use, in their compact numbering.
+    number = np.full(BUCKETS, -1, dtype=np.int32)
+    number[names] = np.arange(len(names), dtype=np.int32)
+    cols = number[cols]
+    sizes = np.array([int((cols[lo:hi] >= 0).sum()) for lo, hi in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))])
+    cols, width, ratio = cols[cols >= 0], len(names), ratio[names]
+    blocks = list(_blocks(sizes))
 
     def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
-        z = np.bincount(rows, weights=val * w[at], minlength=n) + b
+        z = gather(w * ratio) + b
         p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
         g = p - y
         value = float(np.sum(np.logaddexp(0, z) - y * z) + penalty / 2 * w @ w)
-        return value, np.bincount(at, weights=val * g[rows], minlength=len(names)) + penalty * w, float(g.sum())
+        return value, spread(g) * ratio + penalty * w, float(g.sum())
 
+    w, b = np.zeros(len(names)), base.bias
     # Limited-memory BFGS with backtracking.
     value, gw, gb = loss(w, b)
     past: list[tuple[np.ndarray, np.ndarray]] = []
@@ -139,13 +170,24 @@ def fit(texts: list[str | None], toxic: list[int], penalty: float = 1.0, steps:
         s, t = nx - x, ng - g
         if s @ t > 1e-12:
             past = [*past[-7:], (s, t)]
-        done = value - nv < 1e-6 * max(1.0, abs(value))
+        done = value - nv < 1e-4 * max(1.0, abs(value))
         x, g, value = nx, ng, nv
         if done:
             break
     weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[names] = x[:-1] * ratio[names]
-    return Model(weights, float(x[-1]))
+    weights[names] = x[:-1] * ratio
+    return Model(weights, float(x[-1]), base.letters)
+
+
+def _blocks(sizes: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of texts with about ``most`` features: first, end, and the same of
+    their features.  The fit touches one at a time, which bounds its memory."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield a, b, int(ends[a]), int(ends[b])
+        a = b
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -169,7 +211,8 @@ def score_texts(docs: DataFrame, model: Model, text_col: str, out: str = "score"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, made = shared.value, Features()
+        m = shared.value
+        made = m.features()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             z = np.array([m.bias + float(m.weights[made.text(t.as_py())].sum()) for t in texts], dtype=np.float64)
