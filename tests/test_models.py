@@ -54,7 +54,7 @@ def test_matrices_equal_the_join(intel):
 def test_alert_rows_and_counts(intel):
     _, i = intel
     process = i.process.withColumn("anomaly_score", i.process.anomaly_score - 1)
-    network = i.network.withColumn("threat_score", i.network.dst_port % 100)
+    network = i.network.withColumn("threat_score", i.network.dst_port % 5 * 25)
     got = D.alert_rows(process, network).groupBy("kind").count().collect()
     assert {r.kind: r["count"] for r in got} == {
         "anomaly": D.critical_anomalies(process).count(), "network": network.filter("threat_score > 80").count()}
