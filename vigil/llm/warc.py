@@ -221,8 +221,10 @@ def train_dictionary(pages: DataFrame, id_col: str, payload_col: str, rows: int
     are too few to train one."""
     import zstandard
 
-    few = (pages.select(F.substring(_payload(F.col(payload_col)), 1, 8192).alias("p"), F.xxhash64(id_col).alias("o"))
-           .orderBy("o", "p").limit(rows).collect())
+    order = F.xxhash64(id_col)
+    first = [r[0] for r in pages.select(order.alias("o")).orderBy("o").limit(rows).collect()]  # numbers only
+    few = (pages.where(order <= F.lit(max(first, default=0))).select(F.substring(_payload(F.col(payload_col)), 1, 8192).alias("p"))
+           .limit(rows).collect())
     samples = [record(i, "http://example.com/", bytes(r.p), None, False, "1970-01-01T00:00:00Z") for i, r in enumerate(few)]
     try:
         return zstandard.train_dictionary(size, samples, d=8, k=256).as_bytes()
