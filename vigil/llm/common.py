@@ -126,8 +126,9 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
                    .unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))))
         nxt = scratch.cut(nxt, "cc")
         # Stars: every node has one smaller neighbour, which has none itself.
-        done = (nxt.groupBy("a").count().where("count > 1").isEmpty()
-                and nxt.join(nxt.select(F.col("a").alias("x")).distinct(), F.col("b") == F.col("x"), "left_semi").isEmpty())
+        several = nxt.groupBy("a").count().where("count > 1").select("a")
+        deep = nxt.join(nxt.select(F.col("a").alias("x")).distinct(), F.col("b") == F.col("x"), "left_semi").select("a")
+        done = several.unionByName(deep).isEmpty()
         scratch.drop(low, step, small, cur)
         cur = nxt
         if done:

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import Scratch, checked_broadcast, components, row_keys
@@ -56,23 +56,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Words(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Shingle sets of texts: sorted distinct 64-bit hashes."""
 
     def __init__(self, k: int):
         self.k = k
-        self.known: dict[bytes, int] = {}
+        self.known = Words()
         self.steps = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(k + 1)], dtype=np.uint64)
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def shingles(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # of bytes: A-Z alone; separators are the six ASCII white spaces
@@ -126,6 +131,7 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 SIGNED = "_k long, _n long, _set binary, _bands array<long>"
 FULL = "_k long, _n long, _items binary"
+COMPARED = "a long, b long, na long, nb long, common long"
 
 
 def signatures(keyed: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -167,8 +173,11 @@ def full_sets(keyed: DataFrame, shingle: int) -> DataFrame:
 def compare(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, na, nb, common) of distinct pairs, by their full sets."""
     pairs = scratch.cut(pairs.select("a", "b").distinct(), "pairs")
-    left = sets.join(checked_broadcast(pairs), F.col("_k") == F.col("a")).select("a", "b", F.col("_n").alias("na"), F.col("_items").alias("ia"))
-    ends = checked_broadcast(scratch.cut(pairs.select(F.col("b").alias("_b")).distinct(), "ends"))
+    n = pairs.count()
+    if not n:
+        return pairs.sparkSession.createDataFrame([], COMPARED)
+    left = sets.join(checked_broadcast(pairs, n), F.col("_k") == F.col("a")).select("a", "b", F.col("_n").alias("na"), F.col("_items").alias("ia"))
+    ends = checked_broadcast(pairs.select(F.col("b").alias("_b")).distinct(), n)  # at most as many as pairs
     right = (sets.join(ends, F.col("_k") == F.col("_b"), "left_semi")
              .select(F.col("_k").alias("b"), F.col("_n").alias("nb"), F.col("_items").alias("ib")))
 
@@ -186,7 +195,7 @@ def compare(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
                                              names=["a", "b", "na", "nb", "common"])
 
     return scratch.cut(left.join(right, "b").select("a", "b", "na", "nb", "ia", "ib")
-                       .mapInArrow(run, "a long, b long, na long, nb long, common long"), "compared")
+                       .mapInArrow(run, COMPARED), "compared")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
