@@ -26,8 +26,10 @@ ranks, which can differ from replaying the merges.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: How a piece is used (``type`` in the model file).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Key of a piece's (id, score) in the trie of characters; characters of a piece looked up at once.
+PIECE, HEAD = 0, 4
 #: Stretches up to this length are remembered, so many at once.
 KNOWN_CHARS, KNOWN = 64, 200_000
 
@@ -53,7 +57,9 @@ class Model:
     dummy_prefix: bool
     squeeze: bool
     longest: int = 1
-    reach: dict[str, int] = field(default_factory=dict)
+    trie: dict = field(default_factory=dict)
+    singles: set[str] = field(default_factory=set)
+    heads: dict = field(default_factory=dict)
     stretches: re.Pattern | None = None
 
 
@@ -81,9 +87,13 @@ def load_model(data: bytes) -> Model:
     lowest = min((s for _, s in pieces.values()), default=0.0)
     m = Model(pieces, byte_ids if min(byte_ids) >= 0 else [], unk, lowest - 10.0, text_of, norm.add_dummy_prefix,
               norm.remove_extra_whitespaces)
-    for p in pieces:
+    for p, found in pieces.items():
         m.longest = max(m.longest, len(p))
-        m.reach[p[0]] = max(m.reach.get(p[0], 1), len(p))
+        node = m.trie
+        for c in p:
+            node = node.setdefault(c, {})
+        node[PIECE] = found
+    m.singles = {p for p in pieces if len(p) == 1}
     joined = {c for p in pieces if len(p) > 1 for c in p}
     lone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined))
     inside = any(SPACE in p.lstrip(SPACE) for p in pieces)
@@ -100,42 +110,54 @@ def normalise(m: Model, text: str) -> str:
     return (SPACE if m.dummy_prefix else "") + text.replace(" ", SPACE)
 
 
+def head(m: Model, chars: str) -> tuple[list[tuple[int, int, float]], dict | None]:
+    """Of pieces that begin where ``chars`` (at most ``HEAD`` of them) do:
+    (length, id, score) of those that end within, a character without a piece
+    counting as unknown, and the trie node for those that go on.  Remembered
+    in a bounded table."""
+    ends, node = [], m.trie
+    for k, c in enumerate(chars):
+        node = node.get(c)
+        if node is None:
+            break
+        hit = node.get(PIECE)
+        if hit is not None:
+            ends.append((k + 1, *hit))
+    if chars[0] not in m.singles:
+        ends.append((1, m.unk_id, m.unk_score))
+    if len(m.heads) >= KNOWN:
+        m.heads.clear()
+    m.heads[chars] = found = (ends, node if len(chars) == HEAD else None)
+    return found
+
+
 def viterbi(m: Model, text: str) -> Iterator[int]:
     """Piece ids of ``text``, committed as soon as they are certain."""
-    n, longest, pieces, reach = len(text), m.longest, m.pieces, m.reach
+    n, longest = len(text), m.longest
     # Of reached positions: best score, where its last piece began, that piece's id.
     score, came, by = {0: 0.0}, {}, {}
     # Of settled positions that survive: how many survivors came from there, and the xor of their positions.
     kids, which = {0: 0}, {0: 0}
     root = 0
-    for i in range(n + 1):
+    for i in range(n):
         if i:
             p = came[i]
             kids[i], which[i] = 0, 0
             kids[p] += 1
             which[p] ^= i
+        base, chars = score[i], text[i:i + HEAD]
+        ends, node = m.heads.get(chars) or head(m, chars)
+        for size, piece, gain in ends:
+            if base + gain > score.get(i + size, -inf):
+                score[i + size], came[i + size], by[i + size] = base + gain, i, piece
+        j = i + HEAD
+        while node is not None and j < n:
+            node = node.get(text[j])
+            j += 1
+            hit = node.get(PIECE) if node else None
+            if hit is not None and base + hit[1] > score.get(j, -inf):
+                score[j], came[j], by[j] = base + hit[1], i, hit[0]
         gone = i - longest  # no later piece can start here
-        if i == n:
-            # The end is the only survivor: what it did not come through is forgotten.
-            path = []
-            while i != root:
-                path.append(i)
-                i = came[i]
-            for j in reversed(path):
-                yield from emit(m, by[j], text[came[j]:j])
-            return
-        base, alone = score[i], False
-        for j in range(i + 1, min(n, i + reach.get(text[i], 1)) + 1):
-            hit = pieces.get(text[i:j])
-            if hit is not None:
-                alone |= j == i + 1
-                s = base + hit[1]
-                if j not in score or s > score[j]:
-                    score[j], came[j], by[j] = s, i, hit[0]
-        if not alone:
-            s = base + m.unk_score
-            if i + 1 not in score or s > score[i + 1]:
-                score[i + 1], came[i + 1], by[i + 1] = s, i, m.unk_id
         if gone >= 0:
             del score[gone]
             x = gone
@@ -152,6 +174,45 @@ def viterbi(m: Model, text: str) -> Iterator[int]:
                 came.pop(root, None)
                 by.pop(root, None)
                 root = nxt
+    # The end is the only survivor: what it did not come through is forgotten.
+    yield from along(m, text, came, by, root, n)
+
+
+def whole(m: Model, text: str) -> list[int]:
+    """The same for a text that fits into the window: nothing leaves it, so
+    nothing is certain before the end."""
+    n, heads = len(text), m.heads
+    score, came, by = [0.0] + [-inf] * n, [0] * (n + 1), [0] * (n + 1)
+    for i in range(n):
+        base, chars = score[i], text[i:i + HEAD]
+        ends, node = heads.get(chars) or head(m, chars)
+        for size, piece, gain in ends:
+            k = i + size
+            if base + gain > score[k]:
+                score[k] = base + gain
+                came[k] = i
+                by[k] = piece
+        j = i + HEAD
+        while node is not None and j < n:
+            node = node.get(text[j])
+            j += 1
+            hit = node.get(PIECE) if node else None
+            if hit is not None and base + hit[1] > score[j]:
+                score[j], came[j], by[j] = base + hit[1], i, hit[0]
+    return along(m, text, came, by, 0, n)
+
+
+def along(m: Model, text: str, came, by, root: int, end: int) -> list[int]:
+    """Ids of the path from ``root`` to ``end``."""
+    out, unk = [], m.unk_id
+    while end != root:
+        if by[end] == unk:
+            out += reversed(emit(m, unk, text[came[end]:end]))
+        else:
+            out.append(by[end])
+        end = came[end]
+    out.reverse()
+    return out
 
 
 def emit(m: Model, piece: int, text: str) -> list[int]:
@@ -170,7 +231,7 @@ class Encoder:
     def stretch(self, s: str) -> bytes:
         out = self.known.get(s)
         if out is None:
-            out = np.fromiter(viterbi(self.m, s), dtype=np.int32).tobytes()
+            out = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
             if len(s) <= KNOWN_CHARS:
                 if len(self.known) >= KNOWN:
                     self.known.clear()
