@@ -42,7 +42,7 @@ SPACE = "▁"
 #: How a piece is used (``type`` in the model file).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Key of a piece's (id, score) in the trie of characters; characters of a piece looked up at once.
-PIECE, HEAD = 0, 4
+PIECE, HEAD = 0, 3
 #: Stretches up to this length are remembered, so many at once.
 KNOWN_CHARS, KNOWN = 64, 200_000
 
@@ -187,11 +187,14 @@ def whole(m: Model, text: str) -> list[int]:
         base, chars = score[i], text[i:i + HEAD]
         ends, node = heads.get(chars) or head(m, chars)
         for size, piece, gain in ends:
-            k = i + size
-            if base + gain > score[k]:
-                score[k] = base + gain
-                came[k] = i
-                by[k] = piece
+            gain += base
+            size += i
+            if gain > score[size]:
+                score[size] = gain
+                came[size] = i
+                by[size] = piece
+        if node is None:
+            continue
         j = i + HEAD
         while node is not None and j < n:
             node = node.get(text[j])
@@ -221,28 +224,34 @@ def emit(m: Model, piece: int, text: str) -> list[int]:
     return [m.bytes_[b] for b in text.encode("utf-8", "surrogatepass")]
 
 
+class Known(dict):
+    """Ids of stretches as little-endian 32-bit integers; short ones are remembered."""
+
+    def __init__(self, m: Model):
+        super().__init__()
+        self.m = m
+
+    def __missing__(self, s: str) -> bytes:
+        out = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
+        if len(s) <= KNOWN_CHARS:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[s] = out
+        return out
+
+
 class Encoder:
     """Encodes texts, remembering short stretches."""
 
     def __init__(self, m: Model):
         self.m = m
-        self.known: dict[str, bytes] = {}
-
-    def stretch(self, s: str) -> bytes:
-        out = self.known.get(s)
-        if out is None:
-            out = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
-            if len(s) <= KNOWN_CHARS:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[s] = out
-        return out
+        self.known = Known(m)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        whole = normalise(self.m, text)
-        parts = self.m.stretches.findall(whole) if self.m.stretches else ([whole] if whole else [])
-        return b"".join(map(self.stretch, parts))
+        text = normalise(self.m, text)
+        parts = self.m.stretches.findall(text) if self.m.stretches else ([text] if text else [])
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 def decode(m: Model, ids: list[int]) -> str:
@@ -257,6 +266,16 @@ def decode(m: Model, ids: list[int]) -> str:
     return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
+def _lists(ids: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of an array, taken from its flat values (a null list is empty)."""
+    if ids.null_count or ids.values.null_count:
+        yield from (x.as_py() or [] for x in ids)
+        return
+    ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield values[a:b].tolist()
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -301,8 +320,8 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", m
         m = load_model(data.value)
         for batch in batches:
             for part in _slices(batch):
-                ids = part.column(part.schema.get_field_index(ids_col))
-                yield _with(part, keep, text_col, pa.array([decode(m, x.as_py() or []) for x in ids], pa.string()))
+                texts = [decode(m, x) for x in _lists(part.column(part.schema.get_field_index(ids_col)))]
+                yield _with(part, keep, text_col, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, schema)
 
