@@ -313,4 +313,5 @@ def test_ingested_tables_feed_the_analytics(spark):
     recent = C.fetch_window(process, 24)
     assert recent.count() == 2
     plan = recent._jdf.queryExecution().executedPlan().toString()
-    assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # The scan of the rows, not the one behind the newest time.
+    assert any("event_date" in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
