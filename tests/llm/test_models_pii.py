@@ -11,7 +11,7 @@ from helpers import docs, rows
 from pyspark.sql import functions as F
 
 from vigil.llm import language, toxicity
-from vigil.llm.personal_data import KINDS, as_text, personal_data
+from vigil.llm.personal_data import HEAD, KINDS, TAIL, as_text, matches, personal_data
 
 SF = "/root/testdata/sf0.01"
 
@@ -173,6 +173,31 @@ def test_bootstrap(spark):
     assert got[9].f == ""
 
 
+def test_bootstrap_beside_other_identifiers(spark):
+    """Words of a context that hold digits are context like any other, for base spans and for tokens."""
+    texts = [f"contact 24x7 user{i}@host{i}.org" for i in range(9)]
+    texts += ["contact 24x7 jane7(at)host7", f"{'reach ' * 9}contact   24x7\n jane8(at)host8"]
+    got = check_base(spark, texts)
+    assert got[9].f == "email:13:27" and texts[9][13:27] == "jane7(at)host7"
+    assert texts[10].index("jane8") == int(got[10].f.split(":")[1])
+    # Listed and grouped: the part behind another part, with brackets.
+    texts = [f"mails a1 (user{i}@host{i}.org) x2" for i in range(9)] + ["mails a1 (jane7[at]host7) x2 b3", "no a1 jane7[at]host7 x2"]
+    got = check_base(spark, texts)
+    assert texts[9][10:24] == "jane7[at]host7" and got[9].f == "email:10:24" and got[10].f == ""
+
+
+def test_context_of_matches(spark):
+    """Tail and head are the text at a match's ends, whitespace runs as one."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["12 ", "a", "x@y.zz ", "\n \t", "é", "1.2.3.4", "+491234567", " ", "7"], k=60)) for _ in range(40)]
+    flat = lambda t: re.sub(r"\s+", " ", t)
+    for r in matches(docs(spark, texts).selectExpr("doc_id AS _k", "text AS _text")).collect():
+        t = texts[r._k]
+        assert t[r.start:r.end] == r.value
+        assert r.tail == flat(t[:r.start])[-len(r.tail):] and len(r.tail) == min(TAIL, len(flat(t[:r.start])))
+        assert r.head == flat(t[r.end:])[:HEAD]
+
+
 def test_personal_data_odd_tables(spark):
     assert personal_data(docs(spark, [])).count() == 0
     got = rows(personal_data(docs(spark, ["a@b.cc", "a@b.cc", None], [1, 1, None])), "doc_id", "n_email")

@@ -46,7 +46,7 @@ PATTERNS = {
 #: Identifier-shaped: a run without white space that holds a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 TOKEN_KIND = len(KINDS)
-#: Context read on either side, rounds, and what accepts a pattern.
+#: Context read on either side (a run of white space counts as one character), rounds, and what accepts a pattern.
 TAIL, HEAD, ROUNDS, MIN_SUPPORT, ACCEPT = 48, 32, 3, 3, 0.7
 MIN_TOKEN, MAX_TOKEN = 5, 64
 
@@ -58,7 +58,9 @@ def _occurs(kind: str, text: Column) -> Column:
 
 def matches(keyed: DataFrame) -> DataFrame:
     """(_k, kind, value, start, end, tail, head) of every match of every
-    pattern and of tokens, unchecked.  One scan; documents' texts stay in it."""
+    pattern and of tokens, unchecked.  ``tail`` and ``head`` are the text before
+    and behind the match, whatever other matches lie in it.  One scan;
+    documents' texts stay in it."""
     pats = [*PATTERNS.items(), ("token", TOKEN)]
     none = F.array().cast("array<string>")
     text = F.col("_text")
@@ -67,12 +69,27 @@ def matches(keyed: DataFrame) -> DataFrame:
     found = found.where(reduce(lambda a, b: a | b, [F.size(f"_m{i}") > 0 for i in range(len(pats))]))
     cut = found.select("_k", *[f"_m{i}" for i in range(len(pats))], *[
         F.when(F.size(f"_m{i}") > 0, F.split(text, p, -1)).otherwise(none).alias(f"_g{i}") for i, (_, p) in enumerate(pats)])
+    # Ends and starts of gaps and matches, as far as a context reaches.
+    flat = lambda x: F.regexp_replace(x, r"\s+", " ")
+    joined = lambda a, b: F.concat(a, b)
+    cut = cut.select("*", *[
+        F.transform(f"_{x}{i}", lambda y: side(flat(y), F.lit(size))).alias(f"_{x}{name}{i}")
+        for i in range(len(pats)) for x in "mg" for name, side, size in (("tail", F.right, TAIL), ("head", F.left, HEAD))])
+
+    def beside(i: int, j: Column) -> tuple[Column, Column]:
+        """Text before and behind match ``j``.  A match and the gap at its side
+        have two characters or more, so that many pairs fill the context."""
+        last, gap = F.least(j, F.lit(TAIL // 2)), F.lit(HEAD // 2)
+        before = F.zip_with(F.slice(f"_gtail{i}", j - last + 1, last), F.slice(f"_mtail{i}", j - last + 1, last), joined)
+        behind = F.zip_with(F.slice(f"_mhead{i}", j + 2, gap), F.slice(f"_ghead{i}", j + 3, gap), joined)
+        return (F.right(F.concat(F.array_join(before, ""), F.get(f"_gtail{i}", j)), F.lit(TAIL)),
+                F.left(F.concat(F.get(f"_ghead{i}", j + 1), F.array_join(behind, "")), F.lit(HEAD)))
 
     def parts(i: int) -> Column:
         m, g = F.col(f"_m{i}"), F.col(f"_g{i}")
         one = lambda j: F.struct(F.lit(i).alias("kind"), j.alias("at"), F.get(m, j).alias("value"),
-                                 F.char_length(F.get(g, j)).alias("gap"), F.right(F.get(g, j), F.lit(TAIL)).alias("tail"),
-                                 F.left(F.get(g, j + 1), F.lit(HEAD)).alias("head"))
+                                 F.char_length(F.get(g, j)).alias("gap"), *[
+                                     x.alias(name) for name, x in zip(("tail", "head"), beside(i, j))])
         empty = F.array().cast("array<struct<kind: int, at: int, value: string, gap: int, tail: string, head: string>>")
         return F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.size(m) - 1), one)).otherwise(empty)
 
@@ -111,10 +128,13 @@ def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     (kind ``TOKEN_KIND``), with their surroundings; written down."""
     rows = matches(keyed)
     token = F.col("kind") == TOKEN_KIND
-    # Tokens lose punctuation at their ends.
-    lead = F.char_length(F.regexp_extract("value", r"^[^\p{L}0-9+@]*+", 0))
+    # Tokens lose punctuation at their ends, which goes to their context as it does for base spans.
+    lead = F.regexp_extract("value", r"^[^\p{L}0-9+@]*+", 0)
     core = F.regexp_replace(F.col("value"), r"^[^\p{L}0-9+@]++|(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
-    rows = (rows.withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start")))
+    trail = F.substr("value", F.char_length(lead) + F.char_length(core) + 1)
+    rows = (rows.withColumn("tail", F.when(token, F.right(F.concat("tail", lead), F.lit(TAIL))).otherwise(F.col("tail")))
+            .withColumn("head", F.when(token, F.left(F.concat(trail, "head"), F.lit(HEAD))).otherwise(F.col("head")))
+            .withColumn("start", F.when(token, F.col("start") + F.char_length(lead)).otherwise(F.col("start")))
             .withColumn("value", F.when(token, core).otherwise(F.col("value")))
             .withColumn("end", F.when(token, F.col("start") + F.char_length("value")).otherwise(F.col("end"))))
     rows = rows.where(valid(F.col("kind"), F.col("value")))
