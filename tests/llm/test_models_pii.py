@@ -64,6 +64,20 @@ def test_language_rules(spark):
     assert {r.text: r.lang_pred for r in other.collect()}[de] == "de"
 
 
+def test_small_samples_win_nothing(spark):
+    """A rare label with one short row, a row without letters or the label 'und' takes no texts of the others."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    texts, langs = [r.text for r in d], [r.lang for r in d]
+    samples = {la: " ".join(t for t, x in zip(texts, langs) if x == la and t) for la in set(langs) - {None}}
+    odd = {"aa": "ok", "bb": "e", "cc": "12 -- 34 " * 50, "dd": "the quick brown fox jumps over the lazy dog", "und": "le chat et la maison"}
+    assert not set(language.fit(samples | odd).langs) & {"cc", "und"}
+    got, _ = language.classify(language.fit(samples | odd), texts)
+    assert got == language.classify(language.fit(samples), texts)[0] and not set(got) & set(odd)
+    # Rows without a letter don't use up a label's rows, whatever their hash.
+    rare = docs(spark, ["12 34 " * 50 + str(i) for i in range(200)] + ["ok then"], langs=["xx"] * 201)
+    assert language.sample(rare, "lang", "text") == {"xx": "ok then"}
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.language_id(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")

@@ -3,8 +3,11 @@
 A suffix automaton of each language's labelled sample text accepts exactly the
 substrings of that text.  A document is cut greedily into phrases, each the
 longest match with the sample; few long phrases mean that the sample predicts
-it well.  phrases * log2(sample length) / document length estimates the cross
-entropy; the language with the least wins.
+it well.  A phrase costs log2(sample length) bits for its place and
+``LENGTH_BITS`` for its length; a character that the sample lacks costs the bits
+of the common alphabet besides, so that a tiny sample does not code texts
+cheaply.  Bits over document length estimate the cross entropy; the language
+with the least wins.
 
 The automaton is flattened into one transition table in which a failing
 character closes the phrase and starts the next one, so parsing is one table
@@ -15,7 +18,8 @@ once with numpy.  Texts are parsed whole; a phrase ends at the latest at every
 Characters are letters in lower case; a run of anything else is one separator.
 
 * A text that is null or has no letter is ``und`` with score 0.
-* Without any learnable row every text is ``und`` with score 0.
+* Without any learnable row every text is ``und`` with score 0.  Rows without
+  a letter and rows labelled ``und`` are not learnt from.
 * Ties go to the language that sorts first.  Repeated rows get equal results,
   columns other than those named are never read, an empty table gives none.
 """
@@ -36,6 +40,8 @@ SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 48, 4_000, 20_000
 #: Characters after which a phrase ends at the latest, and characters parsed at once.
 SEGMENT, BATCH_CHARS = 16_384, 8_000_000
 SEP, OTHER, FIRST = 0, 1, 2
+#: Bits for the length of a phrase.
+LENGTH_BITS = 3.0
 UNDETERMINED = "und"
 
 
@@ -77,10 +83,12 @@ class Model:
     table: np.ndarray  # (next state * width) * 4 + phrases closed, by state * width + code
     roots: np.ndarray  # first state * width of each language
     logs: np.ndarray  # log2 of each sample's length
+    lacks: np.ndarray  # bits for each code that a sample lacks, else 0 (languages x codes)
 
 
 def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
     """The model of sample texts by language."""
+    samples = {k: t for k, t in samples.items() if k != UNDETERMINED and any(c.isalpha() for c in t.lower())}
     langs = sorted(samples)
     letters = np.where(is_letter(), OTHER, SEP).astype(np.uint8)
     counts = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
@@ -88,7 +96,8 @@ def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
         letters[ord(c)] = FIRST + i
     width = FIRST + min(len(counts), max_letters)
     tables, roots, logs, states = [], [], [], 0
-    for lang in langs:
+    lacks = np.zeros((len(langs), width))
+    for i, lang in enumerate(langs):
         codes = encode(letters, samples[lang])[:SAMPLE_CHARS]
         nxt = suffix_automaton(codes.tolist())
         t = np.empty((len(nxt), width), dtype=np.int64)
@@ -96,6 +105,7 @@ def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
         start = np.full(width, -1, dtype=np.int64)
         for c, s in nxt[0].items():
             start[c] = s
+        lacks[i, start < 0] = np.log2(width)
         t[0] = np.where(start >= 0, (states + start) * width * 4, states * width * 4 + 1)
         t[1:] = np.where(start >= 0, (states + start) * width * 4 + 1, states * width * 4 + 2)
         for s, row in enumerate(nxt):
@@ -107,7 +117,7 @@ def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
         states += len(nxt)
     flat = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int64)
     return Model(langs, letters, width, flat.astype(np.int32) if flat.size and flat.max() < 2**31 else flat,
-                 np.array(roots, dtype=np.int64), np.array(logs))
+                 np.array(roots, dtype=np.int64), np.array(logs), lacks)
 
 
 def is_letter() -> np.ndarray:
@@ -168,7 +178,8 @@ def classify(m: Model, texts: list[str | None]) -> tuple[list[str], list[float]]
         if not held:
             return
         n = np.array([len(c) for c in held])
-        entropy = phrases(m, held) * m.logs[:, None] / n
+        used = np.stack([np.bincount(c, minlength=m.width) for c in held], axis=1)
+        entropy = (phrases(m, held) * (m.logs[:, None] + LENGTH_BITS) + m.lacks @ used) / n
         best = entropy.argmin(axis=0)
         least = entropy.min(axis=0)
         if len(m.langs) > 1:
@@ -198,13 +209,13 @@ def classify(m: Model, texts: list[str | None]) -> tuple[list[str], list[float]]
 
 
 def sample(rows: DataFrame, lang_col: str, text_col: str) -> dict[str, str]:
-    """Sample text by language: at most ``SAMPLE_ROWS`` rows in hash order, rows
+    """Sample text by language: at most ``SAMPLE_ROWS`` rows with a letter in hash order, rows
     of 200 to ``ROW_CHARS`` characters first, ``ROW_CHARS`` characters of
     longer ones.  The partial top-k before the shuffle keeps a language that
     holds most rows from going to one task whole."""
     n = F.length("_t")
     base = (rows.select(F.col(lang_col).cast("string").alias("_l"), F.col(text_col).alias("_t"))
-            .where(F.col("_l").isNotNull() & (n > 0)))
+            .where((F.col("_l") != UNDETERMINED) & F.substring("_t", 1, ROW_CHARS).rlike(r"\p{L}")))
     order = [F.when(n.between(200, ROW_CHARS), 0).otherwise(1), F.xxhash64("_t"), F.substring("_t", 1, 64)]
     w = Window.partitionBy("_l").orderBy(*[F.col(c) for c in ("_o0", "_o1", "_o2")])
     few = (base.select("_l", F.substring("_t", 1, ROW_CHARS).alias("_t"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
