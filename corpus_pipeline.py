@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import Scratch, checked_broadcast, with_key
 from vigil.llm.decontaminate import decontaminate
 from vigil.llm.exact_dedup import exact_dedup
-from vigil.llm.language import UNDETERMINED, fit, identify, sample
+from vigil.llm.language import fit, identify, sample
 from vigil.llm.near_dup import near_dedup
 from vigil.llm.pieces import decode_ids, encode_texts
 
@@ -26,10 +26,11 @@ def _without(docs: DataFrame, key: str, columns: list[str], dropped: DataFrame,
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter have no language and go."""
-    pred = "_lang_pred"
-    found = identify(docs, fit(sample(docs, "lang", "text")), "text", pred, "_lang_score")
-    return found.where(F.col(pred) != UNDETERMINED).select(*docs.columns)
+    """Texts without a letter have no language and go; all others stay, also
+    if no label could be learnt from."""
+    letter = "_has_letter"
+    found = identify(docs, fit(sample(docs, "lang", "text")), "text", "_lang_pred", "_lang_score", letter)
+    return found.where(F.col(letter)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

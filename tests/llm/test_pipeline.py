@@ -92,6 +92,13 @@ def test_repeated_ids_and_empty_table(spark, small):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("langs", [[None] * 5, ["en", "en", "und", "und", "en"], ["und"] * 5])
+def test_language_stage_drops_only_letterless_texts(spark, langs):
+    texts = ["the cat and the dog " * 20, "日本語", "12 34 !! " * 40, None, "é"]
+    frame = docs(spark, texts, langs=langs).drop("kept", "_id")
+    assert rows(corpus_pipeline.language_stage(spark, frame, ""), *COLUMNS) == rows(frame.where("doc_id in (0, 1, 4)"), *COLUMNS)
+
+
 # -- registered queries -----------------------------------------------------------------
 
 def test_every_operator_is_registered():

@@ -227,15 +227,17 @@ def sample(rows: DataFrame, lang_col: str, text_col: str) -> dict[str, str]:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred",
-             score_out: str = "score") -> DataFrame:
-    """``docs`` with the language and a score of every whole text.  The model
-    is broadcast; its size depends on the number of languages and the sample's
-    bounds alone."""
+             score_out: str = "score", letter_out: str | None = None) -> DataFrame:
+    """``docs`` with the language and a score of every whole text, and, if
+    ``letter_out`` names a column, whether the text has a letter, which no model
+    is needed for.  The model is broadcast; its size depends on the number of
+    languages and the sample's bounds alone."""
     from pyspark.sql import types as T
 
-    keep = [c for c in docs.columns if c not in (lang_out, score_out)]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(lang_out, T.StringType()),
-                                                             T.StructField(score_out, T.DoubleType())])
+    keep = [c for c in docs.columns if c not in (lang_out, score_out, letter_out)]
+    flag = [letter_out] if letter_out else []
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
+                          + [T.StructField(c, T.BooleanType()) for c in flag])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +245,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
         for batch in batches:
             for at in range(0, batch.num_rows, 4_000):
                 part = batch.slice(at, 4_000)
-                langs, scores = classify(m, part.column(part.schema.get_field_index(text_col)).to_pylist())
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                langs, scores = classify(m, texts)
+                letters = [pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()) for _ in flag]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*keep, lang_out, score_out])
+                    [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + letters,
+                    names=[*keep, lang_out, score_out, *flag])
 
     return docs.mapInArrow(run, schema)
 
