@@ -200,6 +200,22 @@ def test_bootstrap_beside_other_identifiers(spark):
     assert texts[9][10:24] == "jane7[at]host7" and got[9].f == "email:10:24" and got[10].f == ""
 
 
+def test_slots_hold_any_characters(spark):
+    """Accepted patterns find words without digits, spaced numbers and long keys; a context of prose finds nothing."""
+    texts = [f"é hello my mail is user{i}@host{i}.org thanks" for i in range(12)]
+    texts += [f"please call on +49 30 {5550000 + i} today" for i in range(12)]
+    texts += [f"she wrote to user{i}@host{i}.net" for i in range(4)] + [f"she wrote to {w}" for w in "him her them mother us me".split()]
+    key = "k1" + "x" * 90
+    want = {"é hello my mail is   jane(at)host.org, thanks": "email:jane(at)host.org", "hello my mail is jane[at]host.org thanks": "email:jane[at]host.org",
+            f"hello my mail is {key} thanks": f"email:{key}", "please call on 030 (555) 1234x today": "phone:030 (555) 1234x"}
+    first = len(texts)
+    got = check_base(spark, texts + list(want))
+    for i, (text, span) in enumerate(want.items(), first):
+        kind, a, b = got[i].f.split(":")
+        assert f"{kind}:{text[int(a):int(b)]}" == span
+    assert all(got[i].f == got[i].b for i in range(first))
+
+
 def test_context_of_matches(spark):
     """Tail and head are the text at a match's ends, whitespace runs as one."""
     rng = random.Random(8)

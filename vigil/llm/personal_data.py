@@ -12,7 +12,8 @@ graph of patterns and instances two scores are iterated per kind:
 
 Tokens in a pattern that scores ``ACCEPT`` or more, with as much confidence
 themselves, are new spans of that kind; tokens that overlap a base span never
-are.  Pattern and instance statistics cover all documents; every step is a
+are.  One more scan then reads what else stands in the slots of accepted
+patterns, whatever characters it holds (``slots``).  Pattern and instance statistics cover all documents; every step is a
 pre-aggregated group or an equi-join whose sides come from written tables.
 
 Offsets: ``split`` gives the gaps between the matches that
@@ -32,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, row_keys
+from vigil.llm.common import Scratch, checked_broadcast, row_keys
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  Possessive quantifiers don't change what matches: what follows a repeated class never
@@ -48,7 +49,8 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 TOKEN_KIND = len(KINDS)
 #: Context read on either side (a run of white space counts as one character), rounds, and what accepts a pattern.
 TAIL, HEAD, ROUNDS, MIN_SUPPORT, ACCEPT = 48, 32, 3, 3, 0.7
-MIN_TOKEN, MAX_TOKEN = 5, 64
+#: Word lengths added up at a time.
+CHUNK = 256
 
 
 def _occurs(kind: str, text: Column) -> Column:
@@ -138,14 +140,19 @@ def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
             .withColumn("value", F.when(token, core).otherwise(F.col("value")))
             .withColumn("end", F.when(token, F.col("start") + F.char_length("value")).otherwise(F.col("end"))))
     rows = rows.where(valid(F.col("kind"), F.col("value")))
-    # Base spans before and after, in start order, show whether a token overlaps one.
+    return scratch.cut(apart(rows.where(F.col("value") != "")), "spans")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Base spans, and the other rows that overlap none: base spans before and
+    after, in start order, show that."""
     order = Window.partitionBy("_k").orderBy("start", "kind")
     upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     base = F.col("kind") < TOKEN_KIND
     rows = (rows.withColumn("b", F.coalesce(F.max(F.when(base, F.col("end"))).over(upto), F.lit(0)))
             .withColumn("a", F.coalesce(F.min(F.when(base, F.col("start"))).over(after), F.lit(2**62))))
-    free = (F.col("b") <= F.col("start")) & (F.col("a") >= F.col("end")) & F.char_length("value").between(MIN_TOKEN, MAX_TOKEN)
-    return scratch.cut(rows.where(base | free).drop("a", "b"), "spans")
+    free = (F.col("b") <= F.col("start")) & (F.col("a") >= F.col("end"))
+    return rows.where(base | free).drop("a", "b")
 
 
 def surroundings(rows: DataFrame) -> DataFrame:
@@ -159,8 +166,86 @@ def surroundings(rows: DataFrame) -> DataFrame:
             .withColumn("pattern", F.explode(F.array_compact(F.array(two, around)))))
 
 
-def bootstrap(rows: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(_k, kind, start, end): the spans that accepted patterns discover."""
+def _sums(lengths: Column) -> Column:
+    """Running sums of an array, by chunks: appending to one long array would copy it each time."""
+    run = lambda xs: F.aggregate(xs, F.array().cast("array<bigint>"), lambda acc, x: F.concat(
+        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")),
+                         lambda c: run(F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK))))
+    before = F.concat(F.array(F.lit(0).cast("bigint")), run(F.transform(chunks, lambda c: F.element_at(c, -1))))
+    return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, b: F.transform(c, lambda x: x + b)))
+
+
+def slots(keyed: DataFrame, rows: DataFrame, around: DataFrame, accepted: DataFrame, sure: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_k, start, end, kind, score): words in the slots of accepted patterns.
+
+    How many words a slot holds is learnt: two words before mark as many as
+    most of their confident instances have; a word before and one after mark
+    every number that ``MIN_SUPPORT`` seeds of the kind have.  A pattern's score
+    for a number of words counts everything that stands there apart from base
+    spans, so that words of prose speak against it; ``ACCEPT`` holds again."""
+    width = F.size(F.split("instance", r"\s+"))
+    known = (around.select("pattern", "instance").distinct().join(sure, "instance")
+             .join(accepted.select("pattern", "kind"), ["pattern", "kind"]).withColumn("width", width))
+    known = scratch.cut(known.groupBy("pattern", "kind", "width").agg(F.sum("conf").alias("conf"), F.count(F.lit(1)).alias("n")), "known")
+    total = known.groupBy("pattern", "kind").agg(F.max_by("width", F.struct("n", F.negative("width"))).alias("most"),
+                                                 F.sum("conf").alias("conf"), F.sum("n").alias("n"))
+    wide = (rows.where(F.col("kind") < TOKEN_KIND).select("kind", F.lower("value").alias("instance")).distinct()
+            .groupBy("kind", width.alias("width")).count().where(F.col("count") >= MIN_SUPPORT)
+            .groupBy("kind").agg(F.collect_set("width").alias("wide")))
+    two = F.col("pattern").startswith("2:")
+    marks = scratch.cut(total.join(F.broadcast(wide), "kind", "left").withColumn("width", F.explode(
+        F.when(two, F.array("most")).otherwise(F.coalesce("wide", F.array("most"))))).drop("most", "wide"), "marks")
+    widths = sorted(r["width"] for r in marks.select("width").distinct().collect())
+    # Nothing accepted: no scan.
+    if not widths:
+        return marks.select(F.lit(0).cast("long").alias("_k"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"),
+                            "kind", F.col("conf").alias("score"))
+    marks = marks.withColumn("left", F.when(F.col("pattern").startswith("2:"), F.col("pattern"))
+                             .otherwise(F.substring_index("pattern", " _ ", 1)))
+    lefts = scratch.cut(marks.select("left").distinct(), "lefts")
+    cut = (keyed.select("_k", F.regexp_extract_all("_text", F.lit(r"\S++"), F.lit(0)).alias("_w"), F.split("_text", r"\S++", -1).alias("_g"))
+           .where(F.size("_w") > 0))
+    cut = cut.withColumn("_l", F.zip_with(F.slice("_g", F.lit(1), F.size("_w")), F.col("_w"),
+                                          lambda g, w: (F.char_length(g) + F.char_length(w)).cast("bigint")))
+    cut = cut.withColumn("_e", _sums(F.col("_l")))
+    one = lambda j: F.struct(F.slice("_w", j + 1, F.lit(widths[-1] + 1)).alias("w"), F.slice("_e", j + 1, F.lit(widths[-1])).alias("e"),
+                             F.get("_w", j - 2).alias("b"), F.get("_w", j - 1).alias("a"))
+    words = cut.select("_k", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1), one)).alias("x")).select("_k", "x.*")
+    first = F.get("w", F.lit(0))
+    words = words.withColumn("lead", F.when(first.rlike(r"[\p{L}0-9+@]"), F.regexp_extract(first, r"^[^\p{L}0-9+@]*+", 0)).otherwise(""))
+    # The words that ``surroundings`` sees in a tail and a head.
+    tail = F.trim(F.right(F.concat(F.concat_ws(" ", "b", "a"), F.lit(" "), "lead"), F.lit(TAIL)))
+    words = words.withColumn("tail", F.lower(tail))
+    last, pair = F.substring_index("tail", " ", -1), F.substring_index("tail", " ", -2)
+    words = words.withColumn("left", F.explode(F.array_compact(F.array(
+        F.when(pair.contains(" "), F.concat(F.lit("2:"), pair)), F.when(last != "", F.concat(F.lit("1:"), last))))))
+    hits = words.join(checked_broadcast(lefts), "left").withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
+    hits = hits.where(F.col("width") <= F.size("e"))
+    end_word = F.get("w", F.col("width") - 1)
+    hits = hits.withColumn("trail", F.regexp_extract(end_word, r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", 0))
+    follow = F.lower(F.when(F.col("trail") != "", F.left("trail", F.lit(HEAD))).otherwise(F.left(F.get("w", F.col("width")), F.lit(HEAD - 1))))
+    value = F.array_join(F.slice("w", F.lit(1), F.col("width")), " ")
+    hits = hits.select(
+        "_k", "width", F.when(F.col("left").startswith("2:"), F.col("left")).otherwise(F.concat("left", F.lit(" _ "), follow)).alias("pattern"),
+        (F.get("e", F.lit(0)) - F.char_length(first) + F.char_length("lead")).alias("start"),
+        (F.get("e", F.col("width") - 1) - F.char_length("trail")).alias("end"),
+        F.lower(F.substr(value, F.char_length("lead") + 1, F.char_length(value) - F.char_length("lead") - F.char_length("trail"))).alias("instance"))
+    hits = hits.join(checked_broadcast(marks.select("pattern", "width", F.col("kind").alias("of"), "conf", "n")), ["pattern", "width"])
+    base = rows.where(F.col("kind") < TOKEN_KIND).select("_k", "start", "end", "kind")
+    hits = apart(hits.withColumn("kind", F.lit(TOKEN_KIND)).unionByName(base, allowMissingColumns=True)).where(F.col("kind") == TOKEN_KIND)
+    hits = scratch.cut(hits.drop("kind").withColumnRenamed("of", "kind"), "hits")
+    new = hits.select("pattern", "kind", "width", "conf", "n", "instance").distinct().join(
+        sure.select("instance", "kind", F.lit(1).alias("known")), ["instance", "kind"], "left")
+    scored = (new.groupBy("pattern", "kind", "width", "conf", "n").agg(F.sum(F.col("known").isNull().cast("int")).alias("more"))
+              .select("pattern", "kind", "width", (F.col("conf") / (F.col("n") + F.col("more") + 1)).alias("score"))
+              .where(F.col("score") >= ACCEPT))
+    return hits.select("_k", "start", "end", "pattern", "kind", "width").join(scored, ["pattern", "kind", "width"]).select(
+        "_k", "start", "end", "kind", "score")
+
+
+def bootstrap(keyed: DataFrame, rows: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """(_k, kind, start, end): the spans that accepted patterns discover, without those inside another."""
     around = scratch.cut(surroundings(rows), "around")
     edges = scratch.cut(around.select("pattern", "instance").distinct(), "edges")
     size = scratch.cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "size")
@@ -179,10 +264,14 @@ def bootstrap(rows: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFr
         conf = scratch.cut(seeds.unionByName(heard.join(known, "instance", "left_anti")
                                              .select("instance", "kind", F.col("heard").alias("conf"))), "conf")
     accepted = scratch.cut(scored.where(F.col("score") >= ACCEPT), "accepted")
-    sure = conf.where(F.col("conf") >= ACCEPT)
-    found = (around.where(F.col("kind") == TOKEN_KIND).drop("kind").join(accepted, "pattern")
-             .join(sure, ["instance", "kind"])
-             .groupBy("_k", "start", "end").agg(F.min_by("kind", F.struct(F.negative("conf"), "kind")).alias("kind")))
+    sure = scratch.cut(conf.where(F.col("conf") >= ACCEPT), "sure")
+    tokens = (around.where(F.col("kind") == TOKEN_KIND).drop("kind").join(accepted, "pattern")
+              .join(sure, ["instance", "kind"]).select("_k", "start", "end", "kind", F.col("conf").alias("score")))
+    found = (tokens.unionByName(slots(keyed, rows, around, accepted, sure, scratch)).groupBy("_k", "start", "end")
+             .agg(F.min_by("kind", F.struct(F.negative("score"), "kind")).alias("kind")))
+    # In this order, a span that lies inside another comes after it.
+    upto = Window.partitionBy("_k").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("b", F.coalesce(F.max("end").over(upto), F.lit(0))).where(F.col("end") > F.col("b"))
     return found.select("_k", "kind", "start", "end")
 
 
@@ -193,7 +282,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = row_keys(docs, id_col, text_col, scratch)
     rows = spans(keyed, scratch)
     base = rows.where(F.col("kind") < TOKEN_KIND).select("_k", "kind", "start", "end").withColumn("added", F.lit(False))
-    more = bootstrap(rows, scratch).withColumn("added", F.lit(True))
+    more = bootstrap(keyed, rows, scratch).withColumn("added", F.lit(True))
     item = F.struct("kind", "start", "end")
     per_doc = base.unionByName(more).groupBy("_k").agg(
         *[F.sum((~F.col("added") & (F.col("kind") == i)).cast("long")).alias(f"n_{k}") for i, k in enumerate(KINDS)],
