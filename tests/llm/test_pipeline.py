@@ -99,6 +99,18 @@ def test_language_stage_drops_only_letterless_texts(spark, langs):
     assert rows(corpus_pipeline.language_stage(spark, frame, ""), *COLUMNS) == rows(frame.where("doc_id in (0, 1, 4)"), *COLUMNS)
 
 
+def test_stages_leave_columns_with_inner_names_alone(spark, small):
+    d, texts, _ = small
+    frame = spark.read.parquet(f"{d}/documents.parquet").selectExpr(
+        "*", "'mine' as _gone", "'mine' as _lang_pred", "'mine' as _lang_score", "'mine' as _has_letter", "'mine' as n",
+        "'mine' as _row")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame, d)
+        assert frame.columns[5:] == ["_gone", "_lang_pred", "_lang_score", "_has_letter", "n", "_row"], name
+        got = frame.collect()
+        assert got and {x for r in got for x in r[5:]} == {"mine"}, name
+
+
 # -- registered queries -----------------------------------------------------------------
 
 def test_every_operator_is_registered():
@@ -123,7 +135,7 @@ CONTRACT = {
     "op2_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op4_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op5_language_id": {"doc_id", "held_out", "lang_pred", "score"},
-    "op8_sentencepiece": {"doc_id", "n_ids", "round_trip"},
+    "op8_sentencepiece": {"doc_id", "ids", "n_ids", "round_trip"},
     "op9_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op10_personal_data": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }

@@ -159,12 +159,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text, decoded again: number and hash of the ids,
+    """Ids of every whole text, decoded again: the ids, their number and hash,
     digest of the decoded text, and whether it is the text."""
     from vigil.llm.pieces import round_trip
 
     both = round_trip(documents(spark, sf_dir).select("doc_id", "text"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("same").alias("round_trip"))
 
 
@@ -178,6 +178,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
+
 # -- 10: personal data -------------------------------------------------------------------
 
 @register("op10_personal_data")

@@ -31,9 +31,10 @@ class Scratch:
         self.name = name
         self.paths: dict[int, str] = {}
 
-    def cut(self, df: DataFrame, what: str) -> DataFrame:
+    def cut(self, df: DataFrame, what: str, *folders: str) -> DataFrame:
+        """``folders``: columns by whose values the table is split into folders."""
         path = shared_dir(self.spark, f"{self.name}-{what}")
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
         # The written schema is known: reading it back needs no footer job.
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
@@ -83,16 +84,22 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     return scratch.cut(keyed, "keyed")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_key(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that tells its rows apart, ordered
     like the id: the id itself where it is unique, else an added number of
     the rows sorted by id and text hash, written once."""
-    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
+    n, key = unused("n", docs.columns), unused("_row", docs.columns)
+    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias(n)).where(F.col(id_col).isNull() | (F.col(n) > 1))
     if odd.isEmpty():
         return docs, id_col
-    key = "_row"
-    while key in docs.columns:
-        key += "_"
     hashed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     numbered = hashed.repartitionByRange(id_col, key).sortWithinPartitions(id_col, key).withColumn(
         key, F.monotonically_increasing_id())

@@ -10,7 +10,7 @@ the stretch on which paths still differ, for texts of any length.
 Two boundaries are known before: no piece holds a space sign behind another
 character, and a character that no longer piece uses stands alone.  All paths
 meet there, so the stretches between them are segmented on their own, and the
-ids of short stretches are remembered (a bounded table per task).
+ids of short stretches are remembered (a bounded table per worker).
 
 A character without a piece becomes its UTF-8 byte pieces (or the unknown id
 if the model has none).  The scores are used as they are: for a model made by
@@ -21,10 +21,14 @@ ranks, which can differ from replaying the merges.
 * Decoding gives back the text, except that the space sign U+2581 itself comes
   back as a space.  Ids outside the vocabulary decode like the unknown id.
 * All columns of the input are kept; a column named like an output is replaced.
+* Each row stands alone: repeated rows give the same ids, an empty table gives
+  an empty one.  Of two segmentations with equal scores the one whose last
+  piece begins first stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -225,16 +229,22 @@ def emit(m: Model, piece: int, text: str) -> list[int]:
 
 
 class Known(dict):
-    """Ids of stretches as little-endian 32-bit integers; short ones are remembered."""
+    """Ids of stretches as little-endian 32-bit integers; short ones are
+    remembered.  A full table becomes the older generation, from which
+    stretches that are met again come back: frequent words are never lost."""
 
     def __init__(self, m: Model):
         super().__init__()
         self.m = m
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, s: str) -> bytes:
-        out = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
+        out = self.older.get(s)
+        if out is None:
+            out = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
         if len(s) <= KNOWN_CHARS:
             if len(self) >= KNOWN:
+                self.older = dict(self)
                 self.clear()
             self[s] = out
         return out
@@ -254,6 +264,19 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, parts))
 
 
+#: The encoder of the model last used in this process: tasks on one worker share what they remember.
+_LAST: dict[str, Encoder] = {}
+
+
+def encoder(data: bytes) -> Encoder:
+    """The worker's encoder for a model file."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Encoder(load_model(data))
+    return _LAST[key]
+
+
 def decode(m: Model, ids: list[int]) -> str:
     n, text_of, unk = len(m.text_of), m.text_of, m.unk_id
     try:
@@ -281,8 +304,8 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _with(batch: pa.RecordBatch, keep: list[str], name: str, col: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [col], names=[*keep, name])
+def _with(batch: pa.RecordBatch, keep: list[str], made: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + made, names=[*keep, *names])
 
 
 def _model(df: DataFrame, model_path: str):
@@ -292,20 +315,30 @@ def _model(df: DataFrame, model_path: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
+def _columns(df: DataFrame, *made: T.StructField) -> tuple[list[str], T.StructType]:
+    keep = [c for c in df.columns if c not in [f.name for f in made]]
+    return keep, T.StructType([df.schema[c] for c in keep] + list(made))
+
+
+def _encoded(enc: Encoder, part: pa.RecordBatch, text_col: str) -> list[bytes]:
+    return [enc.encode(t.as_py() or "") for t in part.column(part.schema.get_field_index(text_col))]
+
+
+def _id_lists(made: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(x) // 4 for x in made], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), dtype=np.int32)))
+
+
 def encode_texts(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
     """``df`` with ``ids_col`` (array<int>), the piece ids of ``text_col``."""
     data = _model(df, model_path)
-    keep = [c for c in df.columns if c != ids_col]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    keep, schema = _columns(df, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(load_model(data.value))
+        enc = encoder(data.value)
         for batch in batches:
             for part in _slices(batch):
-                made = [enc.encode(t.as_py() or "") for t in part.column(part.schema.get_field_index(text_col))]
-                ends = np.cumsum([0] + [len(x) // 4 for x in made], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(made), dtype=np.int32))
-                yield _with(part, keep, ids_col, pa.ListArray.from_arrays(pa.array(ends), values))
+                yield _with(part, keep, [_id_lists(_encoded(enc, part, text_col))], [ids_col])
 
     return df.mapInArrow(run, schema)
 
@@ -313,21 +346,32 @@ def encode_texts(df: DataFrame, text_col: str = "text", ids_col: str = "ids", mo
 def decode_ids(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model_path: str = MODEL) -> DataFrame:
     """``df`` with ``text_col``, the text of the piece ids in ``ids_col``."""
     data = _model(df, model_path)
-    keep = [c for c in df.columns if c != text_col]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(text_col, T.StringType())])
+    keep, schema = _columns(df, T.StructField(text_col, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = load_model(data.value)
+        m = encoder(data.value).m
         for batch in batches:
             for part in _slices(batch):
                 texts = [decode(m, x) for x in _lists(part.column(part.schema.get_field_index(ids_col)))]
-                yield _with(part, keep, text_col, pa.array(texts, pa.string()))
+                yield _with(part, keep, [pa.array(texts, pa.string())], [text_col])
 
     return df.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """``df`` with ids, decoded text and whether that is the text again."""
-    both = decode_ids(encode_texts(df, text_col, "ids", model_path), "ids", "decoded", model_path)
+    """``df`` with ``ids``, the text ``decoded`` from them, and whether that is
+    the text again (``same``): encoded and decoded in one pass over the rows."""
+    data = _model(df, model_path)
+    keep, schema = _columns(df, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
+                            T.StructField("decoded", T.StringType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(data.value)
+        for batch in batches:
+            for part in _slices(batch):
+                ids = _id_lists(_encoded(enc, part, text_col))
+                texts = [decode(enc.m, x) for x in _lists(ids)]
+                yield _with(part, keep, [ids, pa.array(texts, pa.string())], ["ids", "decoded"])
+
     want = F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    return both.withColumn("same", F.col("decoded") == want)
+    return df.mapInArrow(run, schema).withColumn("same", F.col("decoded") == want)
