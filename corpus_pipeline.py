@@ -11,25 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, checked_broadcast, with_key
+from vigil.llm.common import Scratch, checked_broadcast, unused, with_key
 from vigil.llm.decontaminate import decontaminate
 from vigil.llm.exact_dedup import exact_dedup
 from vigil.llm.language import fit, identify, sample
 from vigil.llm.near_dup import near_dedup
-from vigil.llm.pieces import decode_ids, encode_texts
+from vigil.llm.pieces import round_trip
 
 
 def _without(docs: DataFrame, key: str, columns: list[str], dropped: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped`` (written down first)."""
-    gone = scratch.cut(dropped.select(F.col(key).alias("_gone")), "dropped")
-    return docs.join(checked_broadcast(gone), F.col(key) == F.col("_gone"), "left_anti").select(*columns)
+    name = unused("_gone", docs.columns)
+    gone = scratch.cut(dropped.select(F.col(key).alias(name)), "dropped")
+    return docs.join(checked_broadcast(gone), F.col(key) == F.col(name), "left_anti").select(*columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter have no language and go; all others stay, also
     if no label could be learnt from."""
-    letter = "_has_letter"
-    found = identify(docs, fit(sample(docs, "lang", "text")), "text", "_lang_pred", "_lang_score", letter)
+    pred, score, letter = (unused(c, docs.columns) for c in ("_lang_pred", "_lang_score", "_has_letter"))
+    found = identify(docs, fit(sample(docs, "lang", "text")), "text", pred, score, letter)
     return found.where(F.col(letter)).select(*docs.columns)
 
 
@@ -57,9 +58,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_ids, decodes): ids of the whole text and
     whether they decode to it."""
-    both = decode_ids(encode_texts(docs.select("doc_id", "lang", "source", "text")))
+    both = round_trip(docs.select("doc_id", "lang", "source", "text"))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"),
-                       (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")).alias("decodes"))
+                       F.col("same").alias("decodes"))
 
 
 STAGES = [
