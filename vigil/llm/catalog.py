@@ -188,3 +188,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
                         as_text(F.col("found")).alias("spans"))
+
+
+# -- 12: packing -------------------------------------------------------------------------
+
+@register("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with the checksum of its ids."""
+    from vigil.llm.packing import pack
+
+    pieces = pack(documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "row")
