@@ -200,3 +200,15 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset", "row")
+
+
+# -- 13: embedding whitening -------------------------------------------------------------
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every remaining vector on every component up to 32."""
+    from vigil.llm.whitening import whiten
+
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+    return found.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened",
+                        "explained", "identity_error")

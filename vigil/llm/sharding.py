@@ -79,9 +79,10 @@ def number_rows(df: DataFrame, order: list[str], scratch: Scratch) -> tuple[Data
     Sampled ranges sort the rows over all tasks; a row's number is the rows in
     the ranges before plus its place in its own.  The sorted rows are written
     once, with range and place taken from ``monotonically_increasing_id``
-    (range in the upper bits), so later passes can't see other ranges."""
-    placed = scratch.cut(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .withColumn("_m", F.monotonically_increasing_id()), "placed")
+    (range in the upper bits), so later passes can't see other ranges.
+    Without ``order`` the rows are numbered as they lie, without a shuffle."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = scratch.cut(ranged.withColumn("_m", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_m", 33)
     # One row per range: the number of shuffle partitions bounds it, not the data.
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
