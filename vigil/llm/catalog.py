@@ -190,6 +190,87 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         as_text(F.col("found")).alias("spans"))
 
 
+# -- 11: conversation repair -------------------------------------------------------------
+
+_CRC_BITS = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+_BLANK = r"NOT regexp_matches(text, '[^\x20\x09-\x0D]')"
+
+
+def _state(*options: str) -> str:
+    """Least (cost, audit) of the options; their text goes along."""
+    return f"list_min([x for x in [{', '.join(options)}] if x IS NOT NULL])"
+
+
+def _edit(state: str, cost: str, audit: str, line: str | None) -> str:
+    lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 's': {state}.s || '{audit}', 't': {lines}}} END"
+
+
+def _inserted(out: str, s0: str, ss: str, su: str, sa: str) -> tuple[str, str]:
+    """The states u and a when one more row may have been inserted."""
+    u = _state(su, *[_edit(x, "3", "I", "'user:'") for x in (s0, ss, sa)])
+    return u, _state(sa, _edit(su, "3", "I", "'assistant:'"))
+
+
+_STAY = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+_OWN, _FREE = "role || ':' || text", "fault IN ('', 'truncated')"
+
+CONVERSATION_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {_CRC_BITS})), 4294967295) % 20 AS d FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS again FROM summed WHERE d <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS met,
+         lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS pair
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+rows_ AS (
+  SELECT *, CASE WHEN {_BLANK} THEN 'blank' WHEN met > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows_ GROUP BY conv_id),
+search AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 's': '', 't': CAST([] AS VARCHAR[])}} AS s0,
+         CAST(NULL AS STRUCT(c BIGINT, s VARCHAR, t VARCHAR[])) AS ss, CAST(NULL AS STRUCT(c BIGINT, s VARCHAR, t VARCHAR[])) AS su,
+         CAST(NULL AS STRUCT(c BIGINT, s VARCHAR, t VARCHAR[])) AS sa FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_edit('s0', '4', 'D', None)},
+         {_state(_edit('ss', '4', 'D', None), f"CASE WHEN {_FREE} AND starts_with(role, 's') THEN {_edit('s0', _STAY, 'K', _OWN)} END")},
+         {_state(_edit('yu', '4', 'D', None), *[f"CASE WHEN {_FREE} THEN {_edit(x, f'3 + {_STAY}', 'R', "'user:' || text")} END" for x in ('s0', 'ss', 'ya')],
+                 *[f"CASE WHEN {_FREE} AND starts_with(role, 'u') THEN {_edit(x, _STAY, 'K', _OWN)} END" for x in ('s0', 'ss', 'ya')])},
+         {_state(_edit('ya', '4', 'D', None), f"CASE WHEN {_FREE} THEN {_edit('yu', f'3 + {_STAY}', 'R', "'assistant:' || text")} END",
+                 f"CASE WHEN {_FREE} AND starts_with(role, 'a') THEN {_edit('yu', _STAY, 'K', _OWN)} END")}
+  FROM (SELECT conv_id, i, role, text, fault, s0, ss, {_inserted('', 's0', 'ss', 'xu', 'xa')[0]} AS yu, {_inserted('', 's0', 'ss', 'xu', 'xa')[1]} AS ya
+        FROM (SELECT s.conv_id, r.i, r.role, r.text, r.fault, s0, ss, {_inserted('', 's0', 'ss', 'su', 'sa')[0]} AS xu, {_inserted('', 's0', 'ss', 'su', 'sa')[1]} AS xa
+              FROM search s JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1))),
+ended AS (
+  SELECT conv_id, s0, ss, {_inserted('', 's0', 'ss', 'su', 'sa')[0]} AS su, {_inserted('', 's0', 'ss', 'su', 'sa')[1]} AS sa
+  FROM search JOIN counts USING (conv_id) WHERE i = n),
+best AS (SELECT conv_id, {_state('s0', 'sa', _edit('su', '3', 'I', "'assistant:'"))} AS b FROM ended)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.s, '') AS audit,
+       sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts USING (conv_id) LEFT JOIN best USING (conv_id)
+"""
+
+
+@register("op11_conversation_repair", CONVERSATION_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    from vigil.llm.conversations import audit, damage
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return audit(damage(conversations), conversations)
+
+
 # -- 12: packing -------------------------------------------------------------------------
 
 @register("op12_packing")
