@@ -76,16 +76,29 @@ def test_every_id_is_in_one_window(max_open):
         assert [i for _, part in sorted(got[r]) for i in part] == ids.tolist()
 
 
-def test_parts_give_the_tokenizers_ids(library):
+def test_encoder_gives_the_tokenizers_ids(library):
     rng = random.Random(1)
-    signs = [" ", "  ", "\n", "\t", "\xa0", "\x1c", "　", "\x85", "a", "bc", "!", "'s", "1", "日本", "é", "\r\n",
-             "<|endoftext|>", "​", "́", "_", "x" * 70]
+    signs = [" ", "  ", "\n", "\t", "\xa0", "\x1c", "\u3000", "\x85", "a", "bc", "!", "'s", "1", "日本", "é", "\r\n",
+             "<|endoftext|>", "\u200b", "\u0301", "_", "x" * 70, "𝒳", "\u0378", "'LL"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["ab" * 30_000, " " * 5_000, "".join(chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000)]
     with open(packing.TOKENIZER, encoding="utf-8") as f:
         enc = packing.encoder(f.read(), 1)
-    for at in range(0, len(texts), 100):
-        for t, ids in zip(texts[at:at + 100], enc.encode(texts[at:at + 100])):
-            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids + [1], t
+    assert enc.fast is not None
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids + [1], t[:50]
+
+
+def test_other_tokenizer_files():
+    from tokenizers import Tokenizer
+
+    path = packing.TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
+    with open(path, encoding="utf-8") as f:
+        enc = packing.Encoder(f.read(), 7)
+    assert enc.fast is None
+    tok = Tokenizer.from_file(path)
+    texts = ["Two cats, one dog.", "", "längere Straße"]
+    assert [x.tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids + [7] for t in texts]
 
 
 def check(pieces, texts, library, window):
