@@ -12,12 +12,17 @@ Groups of copies never meet as all pairs:
 * Equal sets are one class, pre-aggregated before the shuffle.
 * Star rounds: the classes of a bucket are compared with its smallest class,
   then, where still apart, with its largest.
-* What is left are buckets whose members lie in different components.  Only
-  members outside the bucket's main component are compared with the others,
-  and only if sizes allow the similarity and, by the triangle inequality of
-  the Jaccard distance, their distances to the bucket's smallest class do.
-  Nothing is cut off: a candidate pair is confirmed, excluded by an exact
-  bound, or already in one component.
+* What is left are buckets whose members lie in different components.  Buckets
+  with common members form a group, and each member x is reduced to its
+  difference D from the group's pivot, its smallest set.  Two sets are similar
+  enough if, and only if, their differences have enough in common: for
+  Q = (100 + p) |D| - (100 - p) |x| at least (Q of one + Q of the other) over
+  2 (100 + p).  What all members hold is in no difference, so copies with edits
+  of their own meet only in rare shingles: a prefix-filtered join of the
+  differences, rarest shingle first, with the bound on what can still be common
+  behind a match, gives the pairs that are compared.  Nothing is cut off: a
+  candidate pair is confirmed, excluded by an exact bound, or already in one
+  component.
 
 With 32 bands of 4 a pair of similarity 0.85 (0.8) is no candidate with
 probability 6e-11 (5e-8).
@@ -35,14 +40,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import Scratch, checked_broadcast, components, row_keys
 
 BANDS, ROWS = 32, 4
 #: Shingles ranked at once, and words remembered in a task.
-CHUNK, KNOWN_WORDS = 1 << 16, 500_000
+CHUNK, KNOWN_WORDS = 1 << 16, 100_000
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -57,12 +62,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, remembered in two generations."""
+
+    older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = self.older.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h
         return h
 
 
@@ -76,6 +86,7 @@ class Shingler:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > KNOWN_WORDS:
+            self.known.older = dict(self.known)
             self.known.clear()
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
@@ -170,6 +181,49 @@ def full_sets(keyed: DataFrame, shingle: int) -> DataFrame:
     return keyed.select("_k", "_text").mapInArrow(run, FULL)
 
 
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, s): the shingles of ``a`` or its pivot, but not of both, one a row.
+    ``members``: (a, pivot)."""
+    own = sets.select(F.col("_k").alias("a"), F.col("_items").alias("ia"))
+    other = sets.select(F.col("_k").alias("pivot"), F.col("_items").alias("ip"))
+    both = members.where("a <> pivot").join(own, "a").join(other, "pivot").select("a", "ia", "ip")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                made = [np.setxor1d(*(np.frombuffer(z.as_buffer(), dtype=np.int64) for z in pair), assume_unique=True)
+                        for pair in zip(part.column(1), part.column(2))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(m) for m in made])),
+                                                  pa.array(np.concatenate(made))], names=["a", "s"])
+
+    return both.mapInArrow(run, "a long, s long")
+
+
+def meetings(members: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of ``members`` (a, pivot, n, c, d, q) in one group and
+    different components whose differences may have enough in common."""
+    p, q = percent, 100 + percent
+    held = scratch.cut(tokens.join(members, "a"), "held")
+    rare = held.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    at = F.row_number().over(Window.partitionBy("a").orderBy(F.coalesce("df", F.lit(1)), "s")) - 1
+    placed = held.join(scratch.cut(rare, "rare"), ["pivot", "s"], "left").withColumn("i", at).where("df is not null")
+    up = lambda x: F.greatest(F.ceil(x / q), F.lit(1))  # noqa: E731  at least one in common
+    # A pair is found from its member with the larger q; the other one has at most that q.
+    probe = F.col("i") <= F.col("d") - up(F.col("q") - (100 - p) * 100 * F.col("n") / p - 1e-6)
+    index = F.col("i") <= F.col("d") - up(F.col("q") - 1e-6)
+    placed = scratch.cut(placed.withColumn("probe", probe).withColumn("index", index).where("probe or index"), "prefixes")
+
+    def side(name: str, which: str) -> DataFrame:
+        return placed.where(which).select("pivot", "s", *[F.col(c).alias(c + name) for c in ("a", "n", "c", "d", "q", "i")])
+
+    still = F.least(F.col("dx") - F.col("ix"), F.col("dy") - F.col("iy"))
+    return (side("x", "probe").join(side("y", "index"), ["pivot", "s"])
+            .where((F.col("cx") != F.col("cy")) & (F.struct("qx", "ax") > F.struct("qy", "ay"))
+                   & (100 * F.least("nx", "ny") >= p * F.greatest("nx", "ny")) & (2 * q * still >= F.col("qx") + F.col("qy")))
+            .select(F.greatest("ax", "ay").alias("a"), F.least("ax", "ay").alias("b")).distinct())
+
+
 def compare(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, na, nb, common) of distinct pairs, by their full sets."""
     pairs = scratch.cut(pairs.select("a", "b").distinct(), "pairs")
@@ -219,7 +273,6 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     sets = scratch.cut(full_sets(keyed.join(checked_broadcast(nodes), F.col("_k") == F.col("a"), "left_semi"), shingle), "sets")
 
     alike = 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes allow the similarity
 
     # Star round 1: with the smallest of all leads.
     first = members.groupBy("a").agg(F.min("lead").alias("b")).where("a <> b")
@@ -249,30 +302,26 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
 
     # What is left: buckets that hold several components.
     placed = scratch.cut(with_comp(members.select("band", "lead", "a", "_n"), "a", "ca"), "placed")
-    sizes = placed.groupBy("band", "ca").agg(F.count(F.lit(1)).alias("m"))
-    mixed = scratch.cut(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max_by("ca", F.struct("m", "ca")).alias("main"))
-                        .where("comps > 1").select("band", "main"), "mixed")
-    open_ = scratch.cut(placed.join(mixed, "band"), "open")
-    # Distances to the lead, in cells as wide as the largest distance of a link.
-    lead_pairs = open_.where("a <> lead").select("a", F.col("lead").alias("b")).distinct()
-    unknown = lead_pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    known = done.unionByName(compare(unknown, sets, scratch).select("a", "b", "common", "na", "nb"))
-    far = known.select("a", F.col("b").alias("lead"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    width = (100 - percent) / 100 + 1e-9
-    spaced = scratch.cut(open_.join(far, ["a", "lead"], "left")
-                         .withColumn("d", F.coalesce("d", F.lit(0.0))).withColumn("cell", F.floor(F.col("d") / width)), "spaced")
-    some = (spaced.where("ca <> main")
-            .select("band", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"),
-                    F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("_n").alias("nx"), F.col("d").alias("dx")))
-    rest = (some.join(spaced.select("band", "cell", F.col("a").alias("y"), F.col("ca").alias("cy"), F.col("_n").alias("ny"),
-                                    F.col("d").alias("dy"), "main"), ["band", "cell"])
-            .where((F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= width) & fits(F.col("nx"), F.col("ny"))
-                   & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-            .join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    mixed = scratch.cut(placed.groupBy("band").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo < hi").select("band"), "mixed")
+    open_ = scratch.cut(placed.join(mixed, "band").select("a", "lead", "_n").distinct(), "open")
+    tied = scratch.cut(components(open_.select("a", F.col("lead").alias("b")), scratch), "tied")
+    sized = tied.join(open_.select(F.col("a").alias("node"), F.col("_n").alias("n")).distinct(), "node")
+    pivots = sized.groupBy("comp").agg(F.min(F.struct("n", "node"))["node"].alias("pivot"))
+    grouped_ = scratch.cut(sized.join(pivots, "comp").select(F.col("node").alias("a"), "pivot", "n"), "pivots")
+    tokens = scratch.cut(differences(grouped_.select("a", "pivot"), sets), "differences")
+    far = tokens.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    q = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
+    away = scratch.cut(grouped_.join(far, "a", "left").withColumn("d", F.coalesce("d", F.lit(0))).withColumn("q", q), "away")
+    # A member as near to its pivot as a link needs is linked with it.
+    size = away.where("a = pivot").select("pivot", F.col("n").alias("np"))
+    linked = away.where("a <> pivot").join(size, "pivot").where(F.col("q") <= (100 - percent) * F.col("np")).select("a", F.col("pivot").alias("b"))
+    edges = scratch.cut(edges.unionByName(linked), "edges")
+    comps = scratch.cut(components(edges, scratch), "comps")
+    met = meetings(with_comp(away, "a", "c"), tokens, percent, scratch)
+    rest = met.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     last = compare(rest, sets, scratch)
     edges, comps = merged(edges, comps, last)
-    scratch.drop(buckets, members, nodes, sets, placed, mixed, open_, spaced)
+    scratch.drop(buckets, members, nodes, sets, placed, mixed, open_, tokens)
 
     # Back to rows: class, component, the id of the component's smallest row.
     grouped = scratch.cut(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
