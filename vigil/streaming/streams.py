@@ -7,8 +7,8 @@ plus windowed statistics (S6), a stream-stream interval join (S7) and three
 stateful sinks (S8 cron diff, S9 file changes, S10 throttle) that run the
 batch operators on every micro-batch and carry a small state table.
 
-State is keyed and bounded: per cron file its last changed job list, per
-watched file one timestamp, per throttle key one timestamp.  Exactly-once
+State is keyed and bounded: per cron file the jobs of its last changed
+snapshot, per watched file one timestamp, per throttle key one timestamp.  Exactly-once
 output comes from checkpointed offsets plus sinks that are idempotent per
 batch id: batch N reads the state of the batches before it alone.
 Checkpoints live under the cluster's ``spark.checkpoint.dir``.
@@ -201,51 +201,26 @@ def cron_jobs(lines: DataFrame) -> DataFrame:
             .select("cron_file", "snapshot_ts", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("job")))
 
 
-def cron_steps(jobs: DataFrame, known: DataFrame) -> DataFrame:
-    """(cron_file, snapshot_ts, job) of every job that a snapshot adds to the
-    last *changed* snapshot, and the state afterwards.
-
-    ``known`` (cron_file, snapshot_ts, jobs) is that snapshot from earlier
-    batches.  Per file the snapshots of one micro-batch are folded in time
-    order inside the JVM; the row of a file holds its distinct job sets of
-    this batch, which ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound."""
-    snaps = jobs.groupBy("cron_file", "snapshot_ts").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
-    per_file = snaps.groupBy("cron_file").agg(F.array_sort(F.collect_list(F.struct("snapshot_ts", "jobs"))).alias("snaps"))
-    step = "struct<snapshot_ts: timestamp, jobs: array<string>, added: array<string>>"
-    state = "struct<jobs: array<string>, steps: array<" + step + ">>"
-    start = F.struct(F.coalesce("known", F.array().cast("array<string>")).alias("jobs"),
-                     F.array().cast(f"array<{step}>").alias("steps")).cast(state)
-
-    def fold(acc, snap):
-        added = F.array_except(snap["jobs"], acc["jobs"])
-        one = F.struct(snap["snapshot_ts"].alias("snapshot_ts"), snap["jobs"].alias("jobs"), added.alias("added"))
-        changed = F.struct(snap["jobs"].alias("jobs"), F.concat(acc["steps"], F.array(one)).alias("steps")).cast(state)
-        return F.when(F.size(added) > 0, changed).otherwise(acc)
-
-    before = known.select("cron_file", F.col("jobs").alias("known"))
-    return (per_file.join(before, "cron_file", "left")
-            .select("cron_file", F.explode(F.aggregate("snaps", start, fold, lambda acc: acc["steps"])).alias("s"))
-            .select("cron_file", "s.*"))
-
-
 def cron_diff_sink(out_path: str, state_path: str):
     """foreachBatch function: jobs new relative to the last changed snapshot
-    go to ``out_path``; every changed snapshot with its jobs to
-    ``state_path``, whose newest row per file is the state.  Both folders are
-    per batch, so a replayed batch overwrites its own."""
+    go to ``out_path``, the jobs of each file's last changed snapshot of this
+    batch to ``state_path``; a file's rows of its newest batch are its state.
+    Both folders are per batch, so a replayed batch overwrites its own.  The
+    snapshots of a batch are not folded: see ``operators.cron_chain``."""
+    from vigil.operators.cron_chain import state_changes
     from vigil.sources.files import path_exists
 
-    schema = "cron_file string, snapshot_ts timestamp, jobs array<string>, batch_id long"
+    schema = "cron_file string, snapshot_ts timestamp, job string, batch_id long"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = (spark.read.schema(schema).parquet(state_path) if path_exists(spark, state_path)
                   else spark.createDataFrame([], schema)).filter(F.col("batch_id") < batch_id)
-        known = stored.groupBy("cron_file").agg(F.max_by("jobs", F.struct("batch_id", "snapshot_ts")).alias("jobs"))
-        steps = cut_lineage(cron_steps(cron_jobs(batch), known), "cron-steps")
-        (steps.select("cron_file", "snapshot_ts", F.explode("added").alias("job"))
-         .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
-        steps.select("cron_file", "snapshot_ts", "jobs").write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        newest = stored.groupBy(F.col("cron_file").alias("_f")).agg(F.max("batch_id").alias("_b"))
+        known = stored.join(newest, F.col("cron_file").eqNullSafe(F.col("_f")) & (F.col("batch_id") == F.col("_b")), "left_semi")
+        added, state = state_changes(cron_jobs(cut_lineage(batch, "cron-batch")), known.select("cron_file", "job"))
+        added.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        state.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
 
     return run
 
