@@ -104,6 +104,40 @@ def _stream_window_totals(t):
     return _ntz(_run(t, agg, "complete"), "time_window")
 
 
+@query("stream_window_updates", """
+    SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS time_window, src_ip, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
+           count(*) AS events FROM network WHERE src_ip IS NOT NULL GROUP BY 1, 2""", ("network",))
+def _stream_window_updates(t):
+    """Update output mode: versions of changed windows, the newest of each."""
+    net = AD.network_from_events(_events_stream(t)).filter(F.col("src_ip").isNotNull())
+    name = "vigil_" + uuid.uuid4().hex[:12]
+    path = shared_dir(t.spark, f"{name}_out")
+    ST.run_to_table(ST.window_stats(net).select("time_window", "src_ip", "bytes_sent", "events"), path,
+                    shared_dir(t.spark, f"{name}_ck"), "update")
+    return _ntz(ST.latest_windows(t.spark, path), "time_window")
+
+
+@query("stream_growing_events", """
+    SELECT CASE WHEN id % 50 <> 0 THEN 'network_event' ELSE 'unknown' END AS type, CASE WHEN id % 50 <> 0 THEN timestamp END AS timestamp,
+           CASE WHEN id % 50 <> 0 THEN src_ip END AS src_ip, CASE WHEN id % 50 <> 0 THEN dst_ip END AS dst_ip,
+           CASE WHEN id % 50 <> 0 THEN dst_port END AS dst_port, CASE WHEN id % 50 <> 0 THEN bytes_sent END AS bytes_sent,
+           CASE WHEN id % 50 = 0 THEN '{"id":' || id END AS rejected FROM network""", ("network",))
+def _stream_growing_events(t):
+    """All network events as NDJSON log files, every 50th line broken off,
+    read as growing files: parsed rows and rejected lines."""
+    from vigil.streaming.growing import growing_events
+
+    line = F.to_json(F.struct("id", F.lit("network_event").alias("type"), F.col("timestamp").cast("string").alias("timestamp"),
+                              "src_ip", "dst_ip", "dst_port", "bytes_sent"))
+    broken = F.concat(F.lit('{"id":'), F.col("id").cast("string"))
+    name = "vigil_" + uuid.uuid4().hex[:12]
+    folder = shared_dir(t.spark, f"{name}_logs")
+    t.network.select(F.when(F.col("id") % 50 == 0, broken).otherwise(line).alias("value")).write.text(folder)
+    events = growing_events(t.spark, folder, "part-*")
+    return _ntz(_run(t, events.select("type", "timestamp", "src_ip", "dst_ip", F.col("dst_port").cast("int").alias("dst_port"),
+                                      "bytes_sent", F.col("_corrupt_record").alias("rejected"))), "timestamp")
+
+
 @query("stream_correlate", f"""
     SELECT p.id AS process_id, p.timestamp AS process_timestamp, p.pid, p.command, n.id, n.timestamp,
            n.src_ip, n.dst_ip, n.dst_port

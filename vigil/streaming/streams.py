@@ -110,15 +110,41 @@ def first_seen(events: DataFrame, keys: list[str], watermark: str | None = None,
 
 
 # S5 ----------------------------------------------------------------------------------
+def with_ids(rows: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
+    """``rows`` with ``id``: the batch in the upper bits, below it the row's
+    number in ``order``.  Rows are numbered over written ranges (rows of the
+    ranges before, then the place in the own one), so ids have no gaps for any
+    number of tasks: 2**40 rows a batch, 8 million batches."""
+    from pyspark.sql import Window
+
+    from vigil.operators.windows import PART, into_ranges
+
+    x = into_ranges(rows, order, "upsert-rows")
+    sizes = x.groupBy(PART).agg(F.count(F.lit(1)).alias("n"))  # one row per range
+    before = F.coalesce(F.sum("n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(PART).orderBy(*order))
+    return (x.join(F.broadcast(sizes.select(PART, before.alias("_before"))), PART)
+            .withColumn("id", F.lit(batch_id << 40) + F.col("_before") + place - 1).drop(PART, "_before"))
+
+
+def stored_ranges(spark: SparkSession, table_path: str, key_type: str) -> DataFrame:
+    """(batch_id, lo, hi): the key range of each batch folder of ``upsert_new_rows``, from its index."""
+    return spark.read.schema(f"lo {key_type}, hi {key_type}, batch_id long").parquet(f"{table_path}/_keys")
+
+
 def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] | None = None,
                     schema: T.StructType | None = None):
     """foreachBatch function: keep the first row per key inside the batch,
     drop keys already stored, append.  A replayed batch overwrites its own
     folder (``batch_id=N``), so the sink is idempotent.
 
-    With ``schema`` the rows get the table's columns and types; an absent
-    ``id`` is numbered in arrival order (batch, then row), and the batch's
-    rows are laid out by ``event_date`` so that time windows prune folders."""
+    The batch is written once and read from there.  ``_keys`` beside the
+    folders holds each folder's range of keys: only folders whose range meets
+    the batch's are opened for the anti-join, the others are pruned by their
+    number.  With ``schema`` the rows get the table's columns and types; an
+    absent ``id`` is numbered in arrival order (batch, then row), and the
+    batch's rows are laid out by ``event_date`` so that time windows prune
+    folders."""
     from vigil.sources.files import conform, path_exists
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -127,25 +153,31 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
             # Arrival order inside the micro-batch (file split order); only
             # available on the static batch, not on the stream itself.
             batch = batch.withColumn("_seq", F.monotonically_increasing_id())
-        firsts = X.dedup_first(batch.filter(F.col(key).isNotNull()), [key], order or ["id"])
-        if path_exists(spark, table_path):
-            stored = spark.read.parquet(table_path).filter(F.col("batch_id") < batch_id)
-            # Only stored keys inside the batch's own key range can collide;
-            # the range filter lets parquet statistics skip the rest.
-            lo, hi = batch.select(F.min(key)).scalar(), batch.select(F.max(key)).scalar()
-            stored = stored.filter(F.col(key).between(lo, hi))
-            firsts = firsts.join(stored.select(key), key, "left_anti")
+        batch = cut_lineage(batch.filter(F.col(key).isNotNull()), "upsert-batch")
+        firsts = X.dedup_first(batch, [key], order or ["id"])
+        lo, hi = batch.agg(F.min(key), F.max(key)).first()
+        if lo is not None and path_exists(spark, f"{table_path}/_keys"):
+            kind = batch.schema[key].dataType.simpleString()
+            ranges = stored_ranges(spark, table_path, kind)
+            met = [r.batch_id for r in ranges.filter((F.col("batch_id") < batch_id) & (F.col("lo") <= hi) & (F.col("hi") >= lo))
+                   .select("batch_id").collect()]
+            if met:
+                # The folder numbers prune folders, the key range row groups.
+                stored = (spark.read.schema(f"`{key}` {kind}, batch_id long").parquet(table_path)
+                          .filter(F.col("batch_id").isin(met) & F.col(key).between(lo, hi)))
+                firsts = firsts.join(stored.select(key), key, "left_anti")
         writer = None
         if schema is not None:
             if "id" in schema.names and "id" not in firsts.columns:
-                # Up to 2048 tasks a batch and half a million batches.
-                firsts = firsts.withColumn("id", F.lit(batch_id << 44) + (
-                    F.col("_seq") if "_seq" in firsts.columns else F.monotonically_increasing_id()))
+                firsts = with_ids(firsts, batch_id, ["_seq"] if "_seq" in firsts.columns else [key])
             out = conform(firsts, schema).withColumn("event_date", F.to_date(F.col("timestamp")))
             writer = out.write.mode("overwrite").partitionBy("event_date")
         else:
             writer = firsts.drop("_seq").write.mode("overwrite")
         writer.parquet(f"{table_path}/batch_id={batch_id}")
+        # One row a folder.  It covers all keys of the batch, stored before or not; a replay gives the same.
+        if lo is not None:
+            batch.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).write.mode("overwrite").parquet(f"{table_path}/_keys/batch_id={batch_id}")
 
     return run
 
@@ -166,6 +198,33 @@ def window_stats(network: DataFrame, minutes: int = rules.BUCKET_MINUTES, waterm
     )
 
 
+def window_upsert_sink(table_path: str):
+    """foreachBatch function for ``window_stats`` in update mode: each batch
+    writes the windows it changed to its own folder, so a window is there with
+    the first row of it and no window waits for the watermark; a replayed batch
+    overwrites its own.  ``latest_windows`` reads the newest version of each."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+
+    return run
+
+
+def latest_windows(spark: SparkSession, table_path: str, keys: list[str] | None = None) -> DataFrame:
+    """The newest version of each window of ``window_upsert_sink``: a partial
+    aggregate of one row a key, no sort."""
+    keys = keys or ["time_window", "src_ip"]
+    stored = spark.read.parquet(table_path)
+    rest = [c for c in stored.columns if c not in [*keys, "batch_id"]]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def compact_windows(spark: SparkSession, table_path: str, target: str, keys: list[str] | None = None) -> None:
+    """A copy of ``table_path`` with only the newest version of each window,
+    as batch -1 of ``target``: newer batches may be written beside it."""
+    latest_windows(spark, table_path, keys).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+
+
 # S7 ----------------------------------------------------------------------------------
 def correlate(process: DataFrame, network: DataFrame, minutes: int = rules.CORRELATION_MINUTES,
               watermark: str = DEFAULT_WATERMARK) -> DataFrame:
@@ -269,15 +328,47 @@ def late_rows(query) -> int:
     return n
 
 
+def split_late(on_time, late_path: str, delay: str = DEFAULT_WATERMARK, ts: str = "timestamp", state_path: str | None = None):
+    """foreachBatch function that keeps late rows: rows older than the greatest
+    time of the batches before less ``delay`` go to ``late_path/batch_id=N``, the
+    others to ``on_time(rows, batch_id)``.  On-time and late rows together are
+    the input.  The mark of a batch is a row of ``state_path``; it depends on
+    earlier batches alone, as a watermark does, so a replayed batch is split
+    alike.  Rows without a time are on time."""
+    from vigil.sources.files import path_exists
+
+    marks = state_path or f"{late_path}_marks"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = cut_lineage(batch, "late-batch")
+        seen = None
+        if path_exists(spark, marks):
+            kind = batch.schema[ts].dataType.simpleString()
+            seen = (spark.read.schema(f"seen {kind}, batch_id long").parquet(marks)
+                    .filter(F.col("batch_id") < batch_id).agg(F.max("seen")).first()[0])
+        # A null mark (nothing seen yet) makes no row late.
+        mark = F.lit(seen).cast(batch.schema[ts].dataType) - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col(ts) < mark, F.lit(False))
+        batch.filter(late).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        on_time(batch.filter(~late), batch_id)
+        batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+
+    return run
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Drive a stream over everything available into a parquet table in the
     shared folder (append: file sink; complete: each batch rewrites the
-    table, idempotently).  Output never goes through the driver."""
+    table, idempotently; update: versions of changed rows, see
+    ``latest_windows``).  Output never goes through the driver."""
     if mode == "complete":
         def write(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(path)
 
         w = df.writeStream.outputMode("complete").foreachBatch(write)
+    elif mode == "update":
+        w = df.writeStream.outputMode("update").foreachBatch(window_upsert_sink(path))
     else:
         w = df.writeStream.format("parquet").option("path", path).outputMode("append")
     q = w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
