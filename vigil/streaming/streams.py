@@ -129,7 +129,7 @@ def with_ids(rows: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
 
 def stored_ranges(spark: SparkSession, table_path: str, key_type: str) -> DataFrame:
     """(batch_id, lo, hi): the key range of each batch folder of ``upsert_new_rows``, from its index."""
-    return spark.read.schema(f"lo {key_type}, hi {key_type}, batch_id long").parquet(f"{table_path}/_keys")
+    return spark.read.schema(f"lo {key_type}, hi {key_type}, batch_id long").parquet(f"{table_path}_keys")
 
 
 def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] | None = None,
@@ -138,8 +138,8 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
     drop keys already stored, append.  A replayed batch overwrites its own
     folder (``batch_id=N``), so the sink is idempotent.
 
-    The batch is written once and read from there.  ``_keys`` beside the
-    folders holds each folder's range of keys: only folders whose range meets
+    The batch is written once and read from there.  ``<table>_keys`` beside the
+    table holds each folder's range of keys: only folders whose range meets
     the batch's are opened for the anti-join, the others are pruned by their
     number.  With ``schema`` the rows get the table's columns and types; an
     absent ``id`` is numbered in arrival order (batch, then row), and the
@@ -156,7 +156,7 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
         batch = cut_lineage(batch.filter(F.col(key).isNotNull()), "upsert-batch")
         firsts = X.dedup_first(batch, [key], order or ["id"])
         lo, hi = batch.agg(F.min(key), F.max(key)).first()
-        if lo is not None and path_exists(spark, f"{table_path}/_keys"):
+        if lo is not None and path_exists(spark, f"{table_path}_keys"):
             kind = batch.schema[key].dataType.simpleString()
             ranges = stored_ranges(spark, table_path, kind)
             met = [r.batch_id for r in ranges.filter((F.col("batch_id") < batch_id) & (F.col("lo") <= hi) & (F.col("hi") >= lo))
@@ -177,7 +177,7 @@ def upsert_new_rows(table_path: str, key: str = "timestamp", order: list[str] |
         writer.parquet(f"{table_path}/batch_id={batch_id}")
         # One row a folder.  It covers all keys of the batch, stored before or not; a replay gives the same.
         if lo is not None:
-            batch.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).write.mode("overwrite").parquet(f"{table_path}/_keys/batch_id={batch_id}")
+            batch.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).write.mode("overwrite").parquet(f"{table_path}_keys/batch_id={batch_id}")
 
     return run
 
