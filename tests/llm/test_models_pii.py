@@ -78,6 +78,29 @@ def test_small_samples_win_nothing(spark):
     assert language.sample(rare, "lang", "text") == {"xx": "ok then"}
 
 
+def test_scripts_with_many_letters():
+    """Three scripts of 900 letters each: all letters of the samples stay apart."""
+    rng = random.Random(4)
+    scripts = {"a": 0x4E00, "b": 0x6000, "c": 0xAC00}
+    letters = {k: [chr(at + i) for i in range(900)] for k, at in scripts.items()}
+    made = lambda own, n: " ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(n))
+    model = language.fit({k: made(own, 2500) for k, own in letters.items()})
+    assert model.letters.width < language.SPELT
+    for k, own in letters.items():
+        assert language.classify(model, [made(own[300:], 12) for _ in range(100)])[0] == [k] * 100
+    coded = {language.encode(model.letters, c).tobytes() for own in letters.values() for c in own}
+    assert len(coded) == 2700
+
+
+def test_repeated_labelled_ids_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 5)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 7)
+    d = docs(spark, [f"text {i}" for i in range(300)], ids=[3] * 100 + [4] * 100 + list(range(5, 105)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 90)], "doc_id long, toxic int")
+    texts, marks = toxicity.labelled_sample(d, labels, "doc_id", "text", "toxic", 5, 99)
+    assert len(texts) == 12 and sum(marks) == 5
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.language_id(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")

@@ -16,6 +16,8 @@ once with numpy.  Texts are parsed whole; a phrase ends at the latest at every
 ``SEGMENT`` characters, which bounds a batch's steps for very long texts.
 
 Characters are letters in lower case; a run of anything else is one separator.
+Samples with more letters than the table has columns (``ALPHABET``) keep them all
+apart: the rarer ones are spelt with three codes.
 
 * A text that is null or has no letter is ``und`` with score 0.
 * Without any learnable row every text is ``und`` with score 0.  Rows without
@@ -38,8 +40,11 @@ from pyspark.sql import functions as F
 #: Bounds of the labelled sample: rows a language, characters a row, characters a language.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 48, 4_000, 20_000
 #: Characters after which a phrase ends at the latest, and characters parsed at once.
-SEGMENT, BATCH_CHARS = 16_384, 8_000_000
+SEGMENT, BATCH_CHARS = 16_384, 2_000_000
 SEP, OTHER, FIRST = 0, 1, 2
+#: Letters that may have a code each.  Beyond that only the ``SINGLES`` most frequent have one, and every other
+#: letter of the samples is spelt with three: one of ``LEADS`` and two of ``DIGITS``, enough for all of Unicode.
+ALPHABET, SINGLES, LEADS, DIGITS, SPELT = 250, 120, 14, 100, 255
 #: Bits for the length of a phrase.
 LENGTH_BITS = 3.0
 UNDETERMINED = "und"
@@ -75,10 +80,17 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+@dataclass
+class Letters:
+    codes: np.ndarray  # code of each code point
+    rank: np.ndarray | None  # of letters that are spelt: their number
+    width: int  # codes in use
+
+
 @dataclass
 class Model:
     langs: list[str]
-    letters: np.ndarray  # code of each code point
+    letters: Letters
     width: int
     table: np.ndarray  # (next state * width) * 4 + phrases closed, by state * width + code
     roots: np.ndarray  # first state * width of each language
@@ -86,15 +98,28 @@ class Model:
     lacks: np.ndarray  # bits for each code that a sample lacks, else 0 (languages x codes)
 
 
-def fit(samples: dict[str, str], max_letters: int = 250) -> Model:
+def alphabet(texts: list[str], most: int = ALPHABET) -> Letters:
+    """Codes under which all letters of the texts stay apart."""
+    codes = np.where(is_letter(), OTHER, SEP).astype(np.uint8)
+    counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
+    order = [ord(c) for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    single = order if len(order) <= most else order[:SINGLES]
+    codes[single] = FIRST + np.arange(len(single))
+    if len(single) == len(order):
+        return Letters(codes, None, FIRST + len(single))
+    rank = np.zeros(len(codes), dtype=np.int32)
+    spelt = order[SINGLES:]
+    codes[spelt] = SPELT
+    rank[spelt] = np.arange(len(spelt))
+    return Letters(codes, rank, FIRST + SINGLES + LEADS + DIGITS)
+
+
+def fit(samples: dict[str, str]) -> Model:
     """The model of sample texts by language."""
     samples = {k: t for k, t in samples.items() if k != UNDETERMINED and any(c.isalpha() for c in t.lower())}
     langs = sorted(samples)
-    letters = np.where(is_letter(), OTHER, SEP).astype(np.uint8)
-    counts = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-    for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_letters]):
-        letters[ord(c)] = FIRST + i
-    width = FIRST + min(len(counts), max_letters)
+    letters = alphabet(list(samples.values()))
+    width = letters.width
     tables, roots, logs, states = [], [], [], 0
     lacks = np.zeros((len(langs), width))
     for i, lang in enumerate(langs):
@@ -124,16 +149,27 @@ def is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def encode(letters: np.ndarray, text: str) -> np.ndarray:
+def encode(letters: Letters, text: str) -> np.ndarray:
     """Codes of the lower-cased text, runs of separators as one."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = letters[points]
+    codes = letters.codes[points]
     if codes.size > 1:
         keep = codes != SEP
         keep[1:] |= codes[:-1] != SEP
         keep[0] = True
-        codes = codes[keep]
-    return codes
+        codes, points = codes[keep], points[keep]
+    if letters.rank is None:
+        return codes
+    spelt = codes == SPELT
+    if not spelt.any():
+        return codes
+    size = np.where(spelt, 3, 1)
+    out, at = np.repeat(codes, size), (np.cumsum(size) - size)[spelt]
+    rank, lead = letters.rank[points[spelt]], FIRST + SINGLES
+    out[at] = lead + rank // DIGITS**2
+    out[at + 1] = lead + LEADS + rank // DIGITS % DIGITS
+    out[at + 2] = lead + LEADS + rank % DIGITS
+    return out
 
 
 def phrases(m: Model, texts: list[np.ndarray]) -> np.ndarray:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,13 +196,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     picked from the labels before any text is touched."""
     marked = (labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
               .where(F.col("_y").isin(0, 1) & F.col("_i").isNotNull() & ~held_out("_i", folds, fold)))
-    w = Window.partitionBy("_y").orderBy(F.xxhash64("_i"), "_i")
-    some = marked.withColumn("_r", F.row_number().over(w)).where(
-        F.col("_r") <= F.when(F.col("_y") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS))
-    # At most TOXIC_ROWS + CLEAN_ROWS rows: a bound that doesn't depend on the data.
-    rows = (docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-            .join(F.broadcast(some), "_i").select("_t", "_y").collect())
-    return [r["_t"] for r in rows], [r["_y"] for r in rows]
+    text = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+    out: list = []
+    for y, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
+        # A top-k each, first of the labels, so that few texts are touched, then of the rows that bear their ids,
+        # since ids may repeat: at most TOXIC_ROWS + CLEAN_ROWS texts, whatever the data.
+        some = marked.where(F.col("_y") == y).orderBy(F.xxhash64("_i"), "_i").limit(most)
+        out += (text.join(F.broadcast(some), "_i").orderBy(F.xxhash64("_i"), "_i", F.xxhash64("_t"))
+                .limit(most).select("_t", "_y").collect())
+    return [r["_t"] for r in out], [r["_y"] for r in out]
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str, out: str = "score") -> DataFrame:
