@@ -280,24 +280,27 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     edges = scratch.cut(done.where(alike).select("a", "b"), "edges")
     comps = scratch.cut(components(edges, scratch), "comps")
 
-    def merged(edges: DataFrame, comps: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Edges and components with the links found among ``checked`` pairs."""
-        found = scratch.cut(checked.where(alike).select("a", "b"), "found")
-        if found.isEmpty():
-            return edges, comps
-        edges = scratch.cut(edges.unionByName(found), "edges")
-        return edges, scratch.cut(components(edges, scratch), "comps")
-
     def with_comp(df: DataFrame, node: str, name: str) -> DataFrame:
         c = comps.select(F.col("node").alias(node), F.col("comp").alias(name))
         return df.join(c, node, "left").withColumn(name, F.coalesce(name, node))
 
+    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """Components with new ``links`` (a, b): only the components they join are looked at again."""
+        both = with_comp(with_comp(links.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+        joined = scratch.cut(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
+        if joined.isEmpty():
+            return comps
+        top = scratch.cut(components(joined, scratch), "top")
+        up = top.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+        moved = comps.join(up, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+        return scratch.cut(moved.unionByName(top.join(comps.select("node"), "node", "left_anti")), "comps")
+
     # Star round 2: with every lead and tail of a bucket, where still apart.
     ends = (members.select("a", F.col("lead").alias("b")).unionByName(members.select("a", F.col("tail").alias("b")))
             .where("a <> b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
     apart = with_comp(with_comp(ends, "a", "ca"), "b", "cb").where("ca <> cb")
     more = compare(apart, sets, scratch)
-    edges, comps = merged(edges, comps, more)
+    comps = merged(comps, more.where(alike))
     done = scratch.cut(done.select("a", "b", "common", "na", "nb").unionByName(more.select("a", "b", "common", "na", "nb")), "done")
 
     # What is left: buckets that hold several components.
@@ -315,12 +318,11 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     # A member as near to its pivot as a link needs is linked with it.
     size = away.where("a = pivot").select("pivot", F.col("n").alias("np"))
     linked = away.where("a <> pivot").join(size, "pivot").where(F.col("q") <= (100 - percent) * F.col("np")).select("a", F.col("pivot").alias("b"))
-    edges = scratch.cut(edges.unionByName(linked), "edges")
-    comps = scratch.cut(components(edges, scratch), "comps")
+    comps = merged(comps, linked)
     met = meetings(with_comp(away, "a", "c"), tokens, percent, scratch)
     rest = met.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     last = compare(rest, sets, scratch)
-    edges, comps = merged(edges, comps, last)
+    comps = merged(comps, last.where(alike))
     scratch.drop(buckets, members, nodes, sets, placed, mixed, open_, tokens)
 
     # Back to rows: class, component, the id of the component's smallest row.
