@@ -49,8 +49,8 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 TOKEN_KIND = len(KINDS)
 #: Context read on either side (a run of white space counts as one character), rounds, and what accepts a pattern.
 TAIL, HEAD, ROUNDS, MIN_SUPPORT, ACCEPT = 48, 32, 3, 3, 0.7
-#: Word lengths added up at a time.
-CHUNK = 256
+#: Word lengths added up at a time, and buckets of words that may stand before a slot.
+CHUNK, BUCKETS = 256, 1 << 16
 
 
 def _occurs(kind: str, text: Column) -> Column:
@@ -204,14 +204,26 @@ def slots(keyed: DataFrame, rows: DataFrame, around: DataFrame, accepted: DataFr
     marks = marks.withColumn("left", F.when(F.col("pattern").startswith("2:"), F.col("pattern"))
                              .otherwise(F.substring_index("pattern", " _ ", 1)))
     lefts = scratch.cut(marks.select("left").distinct(), "lefts")
-    cut = (keyed.select("_k", F.regexp_extract_all("_text", F.lit(r"\S++"), F.lit(0)).alias("_w"), F.split("_text", r"\S++", -1).alias("_g"))
-           .where(F.size("_w") > 0))
-    cut = cut.withColumn("_l", F.zip_with(F.slice("_g", F.lit(1), F.size("_w")), F.col("_w"),
-                                          lambda g, w: (F.char_length(g) + F.char_length(w)).cast("bigint")))
-    cut = cut.withColumn("_e", _sums(F.col("_l")))
-    one = lambda j: F.struct(F.slice("_w", j + 1, F.lit(widths[-1] + 1)).alias("w"), F.slice("_e", j + 1, F.lit(widths[-1])).alias("e"),
+    # A word can only begin a slot if its left context ends like a pattern's: the word before, or its own punctuation.
+    # Those endings are known by bucket, a set that the number of patterns doesn't bound; the join below decides.
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS).cast("long"))
+    ends = [r["b"] for r in lefts.select(bucket(F.substring_index(F.expr("substr(left, 3)"), " ", -1)).alias("b")).distinct().collect()]
+    sign = lambda w: ~F.ascii(w).between(48, 57) & ~F.ascii(w).between(64, 90) & ~F.ascii(w).between(97, 122)
+    begins = lambda before, w: sign(w) | bucket(F.lower(F.right(before, F.lit(TAIL - 1)))).isin(ends)
+    # Lambdas see their own elements or stored columns alone: a computed column would be computed anew for every word.
+    text = F.col("_text")
+    words, gaps = F.regexp_extract_all(text, F.lit(r"\S++"), F.lit(0)), F.split(text, r"\S++", -1)
+    pairs = F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("a"), words.alias("w"))
+    places = F.array_compact(F.transform(pairs, lambda p, i: F.when(begins(p["a"], p["w"]), i)))
+    lengths = F.zip_with(gaps, words, lambda g, w: F.coalesce(F.char_length(g) + F.char_length(w), F.lit(0)).cast("bigint"))
+    found = scratch.cut(keyed.select("_k", words.alias("_w"), lengths.alias("_l"), places.alias("_j")).where(F.size("_j") > 0), "places")
+    cut = scratch.cut(found.select("_k", "_w", "_j", _sums(F.col("_l")).cast("array<int>").alias("_e")), "ends")
+    scratch.drop(found)
+    # Entries one by one: a slice inside a lambda copies the whole array each time, which is quadratic in a text.
+    some = lambda name, j, n: F.array(*[F.get(name, j + k) for k in range(n)])
+    one = lambda j: F.struct(some("_w", j, widths[-1] + 1).alias("w"), some("_e", j, widths[-1]).alias("e"),
                              F.get("_w", j - 2).alias("b"), F.get("_w", j - 1).alias("a"))
-    words = cut.select("_k", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1), one)).alias("x")).select("_k", "x.*")
+    words = cut.select("_k", F.explode(F.transform("_j", one)).alias("x")).select("_k", "x.*")
     first = F.get("w", F.lit(0))
     words = words.withColumn("lead", F.when(first.rlike(r"[\p{L}0-9+@]"), F.regexp_extract(first, r"^[^\p{L}0-9+@]*+", 0)).otherwise(""))
     # The words that ``surroundings`` sees in a tail and a head.
@@ -221,7 +233,7 @@ def slots(keyed: DataFrame, rows: DataFrame, around: DataFrame, accepted: DataFr
     words = words.withColumn("left", F.explode(F.array_compact(F.array(
         F.when(pair.contains(" "), F.concat(F.lit("2:"), pair)), F.when(last != "", F.concat(F.lit("1:"), last))))))
     hits = words.join(checked_broadcast(lefts), "left").withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
-    hits = hits.where(F.col("width") <= F.size("e"))
+    hits = hits.where(F.get("w", F.col("width") - 1).isNotNull())
     end_word = F.get("w", F.col("width") - 1)
     hits = hits.withColumn("trail", F.regexp_extract(end_word, r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", 0))
     follow = F.lower(F.when(F.col("trail") != "", F.left("trail", F.lit(HEAD))).otherwise(F.left(F.get("w", F.col("width")), F.lit(HEAD - 1))))
