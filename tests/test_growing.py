@@ -105,3 +105,20 @@ def test_events(spark, d):
     ST.run_to_table(df, f"{d}/out", f"{d}/ck")
     got = sorted((r.type, r.src_ip or "", r._corrupt_record or "") for r in spark.read.parquet(f"{d}/out").collect())
     assert got == [("network_event", "1.2.3.4", ""), ("unknown", "", ""), ("unknown", "", "not json")]
+
+
+def test_ingest_of_a_growing_file(spark, d):
+    from vigil.streaming.ingest import await_all, start_ingest
+
+    def line(minute):
+        return json.dumps({"type": "network_event", "timestamp": f"2024-01-01 10:{minute:02d}:00", "src_ip": "1.2.3.4", "dst_port": 22}) + "\n"
+
+    name = "network_event_20240101.ndjson"
+    for k, text in enumerate([line(0) + line(1)[:20], line(1)[20:] + "broken\n" + line(2), ""]):
+        add(d, name, text)
+        await_all(start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/ck", growing=True))
+        rows = spark.read.parquet(f"{d}/out/tables/network").collect()
+        assert len(rows) == [1, 3, 3][k] == len({r.id for r in rows})
+    assert sorted(r.timestamp.minute for r in rows) == [0, 1, 2]
+    assert spark.read.parquet(f"{d}/out/alerts").count() == 3
+    assert [r.value for r in spark.read.text(f"{d}/out/routed/_quarantine").collect()] == ["broken"]

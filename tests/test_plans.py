@@ -9,9 +9,6 @@ import __spark_entry__ as E
 from tools.plan_report import summarise
 
 SF = "/root/testdata/sf0.001"
-MODEL_OR_STREAM = {"fit_isolation_forest", "score_anomalies", "top_anomalies", "critical_anomalies",
-                   "process_intelligence", "related_activity", "threat_matrix", "top_matrix", "threat_counts",
-                   "alert_rows", "retrain_168h", "kmeans_network"}
 
 
 def _plan(spark, name):

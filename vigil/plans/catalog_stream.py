@@ -2,7 +2,7 @@
 
 Each one streams the driver's ``events`` parquet (``availableNow``), derives
 the entity through the same adapter column expressions, runs the streaming
-operator into a memory table and returns that table.  Operators whose
+operator into a parquet table in the shared folder and returns that table.  Operators whose
 streaming result equals a batch result get an SQL oracle; the others
 (watermark-dependent windows, arbitrary-row dedup) get the rows-only check.
 """

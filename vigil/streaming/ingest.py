@@ -12,7 +12,8 @@ the batch operators read them as they are.
 
 Each sink is its own streaming query with its own checkpoint under the
 cluster's shared folder; a restart resumes from the checkpoints and every
-sink is idempotent per batch id, so files are processed exactly once.
+sink is idempotent per batch id, so files (with ``growing``, lines) are
+processed exactly once.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from vigil.sources import schemas
 from vigil.sources.files import parse_process_csv
 from vigil.streaming import streams as ST
+from vigil.streaming.growing import growing_events
 
 #: Event type -> its table and the table's schema.
 EVENT_TABLES = {
@@ -49,11 +51,15 @@ def _typed_rows(events: DataFrame, kind: str) -> DataFrame:
 
 def start_ingest(spark: SparkSession, source_dir: str, out_root: str, checkpoint_root: str,
                  trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                 process_dir: str | None = None) -> IngestQueries:
+                 process_dir: str | None = None, growing: bool = False) -> IngestQueries:
     """Start the routing, alert and table queries over one NDJSON folder and,
-    with ``process_dir``, over one folder of process CSV files."""
+    with ``process_dir``, over one folder of process CSV files.  ``growing``:
+    the NDJSON files are appended to and rotated (see ``streaming.growing``)."""
     trig = trigger or {"availableNow": True}
-    events = ST.stream_events(spark, source_dir, max_files_per_trigger=max_files_per_trigger)
+    if growing:
+        events = growing_events(spark, source_dir).drop("path", "start")
+    else:
+        events = ST.stream_events(spark, source_dir, max_files_per_trigger=max_files_per_trigger)
     route = ST.stream_route(events, f"{out_root}/routed", f"{checkpoint_root}/route", trig)
     alert_rows = ST.alerts(events.filter(F.col("_corrupt_record").isNull())).select(
         "type", "timestamp", "command", "dst_port", "alert")
