@@ -49,8 +49,8 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 TOKEN_KIND = len(KINDS)
 #: Context read on either side (a run of white space counts as one character), rounds, and what accepts a pattern.
 TAIL, HEAD, ROUNDS, MIN_SUPPORT, ACCEPT = 48, 32, 3, 3, 0.7
-#: Word lengths added up at a time, and buckets of words that may stand before a slot.
-CHUNK, BUCKETS = 256, 1 << 16
+#: Piece lengths added up at a time, buckets of words that may stand before a slot, and words in a piece.
+CHUNK, BUCKETS, PIECE = 256, 1 << 16, 32
 
 
 def _occurs(kind: str, text: Column) -> Column:
@@ -210,38 +210,47 @@ def slots(keyed: DataFrame, rows: DataFrame, around: DataFrame, accepted: DataFr
     ends = [r["b"] for r in lefts.select(bucket(F.substring_index(F.expr("substr(left, 3)"), " ", -1)).alias("b")).distinct().collect()]
     sign = lambda w: ~F.ascii(w).between(48, 57) & ~F.ascii(w).between(64, 90) & ~F.ascii(w).between(97, 122)
     begins = lambda before, w: sign(w) | bucket(F.lower(F.right(before, F.lit(TAIL - 1)))).isin(ends)
-    # Lambdas see their own elements or stored columns alone: a computed column would be computed anew for every word.
-    text = F.col("_text")
-    words, gaps = F.regexp_extract_all(text, F.lit(r"\S++"), F.lit(0)), F.split(text, r"\S++", -1)
-    pairs = F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("a"), words.alias("w"))
-    places = F.array_compact(F.transform(pairs, lambda p, i: F.when(begins(p["a"], p["w"]), i)))
-    lengths = F.zip_with(gaps, words, lambda g, w: F.coalesce(F.char_length(g) + F.char_length(w), F.lit(0)).cast("bigint"))
-    found = scratch.cut(keyed.select("_k", words.alias("_w"), lengths.alias("_l"), places.alias("_j")).where(F.size("_j") > 0), "places")
-    cut = scratch.cut(found.select("_k", "_w", "_j", _sums(F.col("_l")).cast("array<int>").alias("_e")), "ends")
-    scratch.drop(found)
-    # Entries one by one: a slice inside a lambda copies the whole array each time, which is quadratic in a text.
-    some = lambda name, j, n: F.array(*[F.get(name, j + k) for k in range(n)])
-    one = lambda j: F.struct(some("_w", j, widths[-1] + 1).alias("w"), some("_e", j, widths[-1]).alias("e"),
-                             F.get("_w", j - 2).alias("b"), F.get("_w", j - 1).alias("a"))
-    words = cut.select("_k", F.explode(F.transform("_j", one)).alias("x")).select("_k", "x.*")
-    first = F.get("w", F.lit(0))
-    words = words.withColumn("lead", F.when(first.rlike(r"[\p{L}0-9+@]"), F.regexp_extract(first, r"^[^\p{L}0-9+@]*+", 0)).otherwise(""))
+    # Texts are cut into pieces of a few words: whatever looks at a word reads its piece alone, so the work is linear
+    # in a text.  A piece carries the words that a context needs of its neighbours.
+    most = widths[-1] + 1
+    piece = rf"\s*+(?:\S++\s*+){{1,{max(PIECE, 2 * most)}}}+"
+    cut = keyed.select("_k", F.regexp_extract_all("_text", F.lit(piece), F.lit(0)).alias("_p")).where(F.size("_p") > 0)
+    ends_at = _sums(F.transform("_p", lambda x: F.char_length(x).cast("bigint")))
+    beside = F.arrays_zip(F.col("_p").alias("p"), ends_at.alias("e"), F.concat(F.array(F.lit("")), F.col("_p")).alias("b"),
+                          F.slice("_p", F.lit(2), F.size("_p")).alias("f"))
+    cut = cut.select("_k", F.explode(beside).alias("x")).where("x.p is not null")
+    behind = F.coalesce(F.regexp_extract("x.f", rf"^(?:\S++\s*+){{1,{most}}}+", 0), F.lit(""))
+    prior = F.split(F.trim(F.right(F.regexp_replace("x.b", r"\s+", " "), F.lit(2 * TAIL))), " ")
+    cut = cut.select("_k", (F.col("x.e") - F.char_length("x.p")).alias("_o"), F.concat("x.p", behind).alias("_t"),
+                     F.regexp_extract_all("x.p", F.lit(r"\S++"), F.lit(0)).alias("_w"),
+                     F.coalesce(F.try_element_at(prior, F.lit(-2)), F.lit("")).alias("_b"), F.element_at(prior, -1).alias("_a"))
+    each = F.arrays_zip(F.col("_w").alias("w"), F.concat(F.array("_a"), "_w").alias("a"), F.concat(F.array("_b", "_a"), "_w").alias("b"))
+    words = cut.select("_k", "_o", "_t", F.posexplode(each).alias("j", "x")).where("x.w is not null")
+    words = words.where(begins(F.col("x.a"), F.col("x.w"))).select("_k", "_o", "_t", "j", "x.*")
+    lead = F.when(F.col("w").rlike(r"[\p{L}0-9+@]"), F.regexp_extract("w", r"^[^\p{L}0-9+@]*+", 0)).otherwise("")
+    words = words.withColumn("lead", F.when(sign(F.col("w")), lead).otherwise(""))
     # The words that ``surroundings`` sees in a tail and a head.
-    tail = F.trim(F.right(F.concat(F.concat_ws(" ", "b", "a"), F.lit(" "), "lead"), F.lit(TAIL)))
+    tail = F.trim(F.right(F.concat("b", F.lit(" "), "a", F.lit(" "), "lead"), F.lit(TAIL)))
     words = words.withColumn("tail", F.lower(tail))
     last, pair = F.substring_index("tail", " ", -1), F.substring_index("tail", " ", -2)
     words = words.withColumn("left", F.explode(F.array_compact(F.array(
         F.when(pair.contains(" "), F.concat(F.lit("2:"), pair)), F.when(last != "", F.concat(F.lit("1:"), last))))))
-    hits = words.join(checked_broadcast(lefts), "left").withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
-    hits = hits.where(F.get("w", F.col("width") - 1).isNotNull())
+    hits = words.join(checked_broadcast(lefts), "left").select("_k", "_o", "_t", "j", "lead", "left")
+    # Where the word begins, and what stands from there on.
+    front = F.coalesce(F.char_length(F.regexp_substr("_t", F.concat(F.lit(r"^\s*+(?:\S++\s++){"), F.col("j").cast("string"), F.lit("}")))), F.lit(0))
+    hits = hits.withColumn("_f", front)
+    hits = hits.select("_k", "lead", "left", (F.col("_o") + F.col("_f")).alias("at"), F.substr("_t", F.col("_f") + 1).alias("rest"))
+    hits = hits.withColumn("w", F.slice(F.split("rest", r"\s+", most + 1), F.lit(1), F.lit(most)))
+    hits = hits.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
     end_word = F.get("w", F.col("width") - 1)
+    hits = hits.where(end_word != "")
     hits = hits.withColumn("trail", F.regexp_extract(end_word, r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", 0))
     follow = F.lower(F.when(F.col("trail") != "", F.left("trail", F.lit(HEAD))).otherwise(F.left(F.get("w", F.col("width")), F.lit(HEAD - 1))))
     value = F.array_join(F.slice("w", F.lit(1), F.col("width")), " ")
+    reach = F.char_length(F.regexp_substr("rest", F.concat(F.lit(r"^\S++(?:\s++\S++){"), (F.col("width") - 1).cast("string"), F.lit("}"))))
     hits = hits.select(
         "_k", "width", F.when(F.col("left").startswith("2:"), F.col("left")).otherwise(F.concat("left", F.lit(" _ "), follow)).alias("pattern"),
-        (F.get("e", F.lit(0)) - F.char_length(first) + F.char_length("lead")).alias("start"),
-        (F.get("e", F.col("width") - 1) - F.char_length("trail")).alias("end"),
+        (F.col("at") + F.char_length("lead")).alias("start"), (F.col("at") + reach - F.char_length("trail")).alias("end"),
         F.lower(F.substr(value, F.char_length("lead") + 1, F.char_length(value) - F.char_length("lead") - F.char_length("trail"))).alias("instance"))
     hits = hits.join(checked_broadcast(marks.select("pattern", "width", F.col("kind").alias("of"), "conf", "n")), ["pattern", "width"])
     base = rows.where(F.col("kind") < TOKEN_KIND).select("_k", "start", "end", "kind")
