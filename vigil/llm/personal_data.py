@@ -50,7 +50,7 @@ TOKEN_KIND = len(KINDS)
 #: Context read on either side (a run of white space counts as one character), rounds, and what accepts a pattern.
 TAIL, HEAD, ROUNDS, MIN_SUPPORT, ACCEPT = 48, 32, 3, 3, 0.7
 #: Piece lengths added up at a time, buckets of words that may stand before a slot, and words in a piece.
-CHUNK, BUCKETS, PIECE = 256, 1 << 16, 32
+CHUNK, BUCKETS, PIECE = 256, 1 << 16, 64
 
 
 def _occurs(kind: str, text: Column) -> Column:
@@ -220,7 +220,9 @@ def slots(keyed: DataFrame, rows: DataFrame, around: DataFrame, accepted: DataFr
                           F.slice("_p", F.lit(2), F.size("_p")).alias("f"))
     cut = cut.select("_k", F.explode(beside).alias("x")).where("x.p is not null")
     behind = F.coalesce(F.regexp_extract("x.f", rf"^(?:\S++\s*+){{1,{most}}}+", 0), F.lit(""))
-    prior = F.split(F.trim(F.right(F.regexp_replace("x.b", r"\s+", " "), F.lit(2 * TAIL))), " ")
+    # Only where white space runs on does the whole piece before have to be read.
+    near, flat = F.right("x.b", F.lit(2 * TAIL)), lambda x: F.regexp_replace(x, r"\s+", " ")
+    prior = F.split(F.trim(F.when(near.rlike(r"\s\s"), F.right(flat("x.b"), F.lit(2 * TAIL))).otherwise(flat(near))), " ")
     cut = cut.select("_k", (F.col("x.e") - F.char_length("x.p")).alias("_o"), F.concat("x.p", behind).alias("_t"),
                      F.regexp_extract_all("x.p", F.lit(r"\S++"), F.lit(0)).alias("_w"),
                      F.coalesce(F.try_element_at(prior, F.lit(-2)), F.lit("")).alias("_b"), F.element_at(prior, -1).alias("_a"))
