@@ -11,7 +11,7 @@ from helpers import docs, rows
 from pyspark.sql import functions as F
 
 from vigil.llm import language, toxicity
-from vigil.llm.personal_data import HEAD, KINDS, TAIL, as_text, matches, personal_data
+from vigil.llm.personal_data import HEAD, KINDS, PIECE, TAIL, as_text, matches, personal_data
 
 SF = "/root/testdata/sf0.01"
 
@@ -239,6 +239,22 @@ def test_slots_hold_any_characters(spark):
     assert all(got[i].f == got[i].b for i in range(first))
 
 
+def test_slots_across_pieces(spark):
+    """A slot is found wherever the cuts between pieces of a text fall, whatever white space lies there."""
+    texts = [f"please call on +49 30 {5550000 + i} today" for i in range(12)]
+    first, rng = len(texts), random.Random(3)
+    for n in range(PIECE - 7, PIECE + 3):
+        gaps = rng.choices([" ", "  ", "\n", "\t \n" * 40], k=2 * n + 20)
+        words = [f"é{'abcdefghij'[i % 10]}" for i in range(n)] + "please call on 030 (555) 1234x today".split()
+        words += [f"w{'abcdefghij'[i % 10]}" for i in range(n)]
+        texts.append(gaps[0] + "".join(w + g for w, g in zip(words, gaps[1:])))
+    got = check_base(spark, texts)
+    for i in range(first, len(texts)):
+        kind, a, b = got[i].f.split(":")
+        assert kind == "phone" and re.sub(r"\s+", " ", texts[i][int(a):int(b)]) == "030 (555) 1234x"
+    assert all(got[i].f == got[i].b for i in range(first))
+
+
 def test_context_of_matches(spark):
     """Tail and head are the text at a match's ends, whitespace runs as one."""
     rng = random.Random(8)
