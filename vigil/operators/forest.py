@@ -139,36 +139,43 @@ def _model_arrays(model: ForestModel) -> dict[str, np.ndarray]:
     pdf = model.nodes.toPandas()
     n_trees = int(pdf["tree"].max()) + 1
     width = int(pdf["node"].max()) + 1
-    feat = np.full((n_trees, width), -1, dtype=np.int32)
-    thr = np.zeros((n_trees, width))
-    left = np.zeros((n_trees, width), dtype=np.int32)
-    right = np.zeros((n_trees, width), dtype=np.int32)
-    plen = np.zeros((n_trees, width))
-    t, n = pdf["tree"].to_numpy(), pdf["node"].to_numpy()
-    feat[t, n] = pdf["feature"].to_numpy()
-    thr[t, n] = np.nan_to_num(pdf["threshold"].to_numpy())
-    left[t, n] = pdf["left"].to_numpy()
-    right[t, n] = pdf["right"].to_numpy()
-    plen[t, n] = np.nan_to_num(pdf["path_len"].to_numpy())
-    return {"feat": feat, "thr": thr, "left": left, "right": right, "plen": plen}
+    # A node's entries stand at twice its number, its right and left child there and behind.  Both children of a leaf
+    # are the leaf itself, so every row takes the tree's depth in steps, without asking which ones have arrived.
+    feat = np.zeros((n_trees, 2 * width), dtype=np.intp)
+    thr = np.full((n_trees, 2 * width), np.nan)
+    kids = np.tile(np.repeat(2 * np.arange(width), 2), (n_trees, 1))
+    plen = np.zeros((n_trees, 2 * width))
+    pdf = pdf.sort_values(["tree", "node"])
+    t, at = pdf["tree"].to_numpy(), 2 * pdf["node"].to_numpy().astype(np.intp)
+    inner = pdf["feature"].to_numpy() >= 0
+    plen[t, at] = np.nan_to_num(pdf["path_len"].to_numpy())
+    t, at, pdf = t[inner], at[inner], pdf[inner]
+    feat[t, at] = pdf["feature"].to_numpy()
+    thr[t, at] = np.nan_to_num(pdf["threshold"].to_numpy())
+    kids[t, at] = 2 * pdf["right"].to_numpy().astype(np.intp)
+    kids[t, at + 1] = 2 * pdf["left"].to_numpy().astype(np.intp)
+    return {"feat": feat, "thr": thr, "kids": kids, "plen": plen, "depth": _depths(kids)}
+
+
+def _depths(kids: np.ndarray) -> np.ndarray:
+    """Steps after which every path of a tree has ended."""
+    depth = np.zeros(len(kids), dtype=int)
+    for t, k in enumerate(kids):
+        level = np.zeros(1, dtype=np.intp)
+        while (level := np.concatenate([k[level], k[level + 1]])[np.tile(k[level] != level, 2)]).size:
+            depth[t] += 1
+    return depth
 
 
 def _path_lengths(X: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
     n_trees = m["feat"].shape[0]
     total = np.zeros(len(X))
-    rows = np.arange(len(X))
-    for t in range(n_trees):
-        node = np.zeros(len(X), dtype=np.int32)
-        while True:
-            f = m["feat"][t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fi = np.where(inner, f, 0)
-            go_left = X[rows, fi] <= m["thr"][t, node]
-            nxt = np.where(go_left, m["left"][t, node], m["right"][t, node])
-            node = np.where(inner, nxt, node)
-        total += m["plen"][t, node]
+    values, row = np.ascontiguousarray(X).ravel(), np.arange(len(X)) * X.shape[1]
+    for feat, thr, kids, plen, depth in zip(m["feat"], m["thr"], m["kids"], m["plen"], m["depth"]):
+        at = np.zeros(len(X), dtype=np.intp)
+        for _ in range(depth):
+            at = kids.take(at + (values.take(feat.take(at) + row) <= thr.take(at)))
+        total += plen.take(at)
     return total / n_trees
 
 
