@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import struct
 
@@ -158,6 +159,64 @@ def test_streaming_is_optimal(model):
         assert total == pytest.approx(brute_best(model, text))
 
 
+def words(rng, n):
+    """Distinct short stretches, with characters that have no piece and some that only stand inside pieces."""
+    some = "theandingstrou" * 3 + "▁éñß日本\n.,-0189\t\x00\U0001f600\U000e0041\ue000"
+    return sorted({"▁" * rng.randrange(2) + "".join(rng.choices(some, k=rng.randrange(1, 30))) for _ in range(n)})
+
+
+def test_side_by_side_equals_one_by_one(model):
+    rng = random.Random(7)
+    some = sorted([*words(rng, 3_000), "x" * 64, "the" * 21, "\ue000" * 64], key=len, reverse=True)
+    got = pieces.Lattice(model).search(some)
+    assert [memoryview(x).cast("i").tolist() for x in got] == [list(pieces.whole(model, s)) for s in some]
+    assert [memoryview(x).cast("i").tolist() for x in got] == [list(pieces.viterbi(model, s)) for s in some]
+
+
+def test_side_by_side_ties_and_no_bytes():
+    """Equal scores, a character only inside pieces, a model without byte pieces."""
+    for table in ({"a": (1, -1.0), "aa": (2, -2.0), "aaa": (3, -3.0), "ab": (4, -1.0), "bca": (5, -2.0)}, {"ab": (1, -1.0)}, {}):
+        m = pieces.Model(table, [], 0, -12.0, [], False, False)
+        m.longest, m.singles = max(map(len, table), default=1), {p for p in table if len(p) == 1}
+        for p, found in table.items():
+            node = m.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[pieces.PIECE] = found
+        some = sorted({"".join(c) for n in range(1, 7) for c in itertools.product("abc", repeat=n)}, key=len, reverse=True)
+        got = pieces.Lattice(m).search(some)
+        assert [memoryview(x).cast("i").tolist() for x in got] == [pieces.whole(m, s) for s in some]
+
+
+def test_new_stretches_are_searched_side_by_side(model, monkeypatch):
+    """The search one by one is for few stretches, not for each of many texts (it took most of the time)."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample(words(rng, 200), 60)) for _ in range(40)] + [None, "", "y" * 200]
+    want = [ids(model, t or "") for t in texts]
+    calls, one = [], pieces.whole
+    monkeypatch.setattr(pieces, "whole", lambda m, s: calls.append(s) or one(m, s))
+    part = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    assert [memoryview(x).cast("i").tolist() for x in pieces._encoded(pieces.Encoder(model), part, "text")] == want
+    assert not calls
+
+
+def test_full_tables_and_long_texts(model, monkeypatch):
+    """Small limits change no ids: tables that fill up at once, groups of few texts, texts beyond a group, short runs."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(words(rng, 300), k=rng.randrange(400))) for _ in range(30)]
+    texts += [t for t in texts[:5]] + ["", None, "z" * 100]
+    want = [[i for s in model.stretches.findall(pieces.normalise(model, t or "")) for i in pieces.viterbi(model, s)] for t in texts]
+    part = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    for name, value in (("KNOWN", 50), ("TOGETHER", 3_000), ("RUN", 7), ("FEW", 3), ("CELLS", 100)):
+        monkeypatch.setattr(pieces, name, value)
+        got = pieces._encoded(pieces.Encoder(model), part, "text")
+        assert [memoryview(x).cast("i").tolist() if x else [] for x in got] == want
+
+
 def _pieces(m, known):
     back = {i: p for p, (i, _) in m.pieces.items()}
     return [back[i] for i in known]

@@ -10,7 +10,9 @@ the stretch on which paths still differ, for texts of any length.
 Two boundaries are known before: no piece holds a space sign behind another
 character, and a character that no longer piece uses stands alone.  All paths
 meet there, so the stretches between them are segmented on their own, and the
-ids of short stretches are remembered (a bounded table per worker).
+ids of short stretches are remembered (a bounded table per worker).  The short
+stretches of many texts that are not remembered are searched side by side, one
+character of all of them at a time (``Lattice``); the search is the same.
 
 A character without a piece becomes its UTF-8 byte pieces (or the unknown id
 if the model has none).  The scores are used as they are: for a model made by
@@ -31,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import inf
 
@@ -49,6 +51,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECE, HEAD = 0, 3
 #: Stretches up to this length are remembered, so many at once.
 KNOWN_CHARS, KNOWN = 64, 200_000
+#: Texts are encoded together up to so many characters, a longer one in runs of so many stretches; new stretches are
+#: searched side by side in blocks of so many cells, fewer than ``FEW`` one by one.
+TOGETHER, RUN, CELLS, FEW = 1 << 20, 1 << 17, 1 << 18, 100
 
 
 @dataclass
@@ -64,6 +69,7 @@ class Model:
     trie: dict = field(default_factory=dict)
     singles: set[str] = field(default_factory=set)
     heads: dict = field(default_factory=dict)
+    chars_of: dict[int, int] = field(default_factory=dict)
     stretches: re.Pattern | None = None
 
 
@@ -98,6 +104,7 @@ def load_model(data: bytes) -> Model:
             node = node.setdefault(c, {})
         node[PIECE] = found
     m.singles = {p for p in pieces if len(p) == 1}
+    m.chars_of = {i: len(p) for p, (i, _) in pieces.items()}
     joined = {c for p in pieces if len(p) > 1 for c in p}
     lone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined))
     inside = any(SPACE in p.lstrip(SPACE) for p in pieces)
@@ -228,40 +235,199 @@ def emit(m: Model, piece: int, text: str) -> list[int]:
     return [m.bytes_[b] for b in text.encode("utf-8", "surrogatepass")]
 
 
-class Known(dict):
-    """Ids of stretches as little-endian 32-bit integers; short ones are
-    remembered.  A full table becomes the older generation, from which
-    stretches that are met again come back: frequent words are never lost."""
+class Lattice:
+    """The trie as flat arrays, and the search of ``whole`` on many stretches
+    at once.  A node is a slot; its child by the character class ``c`` is slot
+    ``base[node] + c`` if ``owner`` of that slot is the node."""
 
     def __init__(self, m: Model):
-        super().__init__()
         self.m = m
-        self.older: dict[str, bytes] = {}
+        alphabet = sorted({c for p in m.pieces for c in p})
+        # Class 0 is every other character; no node has a child by it.
+        self.class_of = np.zeros(0x110000, dtype=np.int32)
+        self.class_of[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.alone = np.full(len(alphabet) + 1, m.unk_id, dtype=np.int32)
+        self.alone_gain = np.full(len(alphabet) + 1, m.unk_score)
+        for k, c in enumerate(alphabet, 1):
+            if c in m.singles:
+                self.alone[k], self.alone_gain[k] = m.pieces[c]
+        self._place({c: k for k, c in enumerate(alphabet, 1)})
+
+    def _place(self, class_of: dict[str, int]) -> None:
+        """Gives every node its slot: nodes with most children first, each at
+        the first place where its children find free slots."""
+        nodes, children, hits = [self.m.trie], [], []
+        for node in nodes:
+            below = [(class_of[c], x) for c, x in node.items() if c != PIECE]
+            children.append((np.array(sorted(k for k, _ in below), dtype=np.int64), len(nodes)))
+            nodes += [x for _, x in sorted(below, key=lambda x: x[0])]
+            hits.append(node.get(PIECE))
+        width = len(class_of) + 1
+        free = np.ones(2 * len(nodes) + 3 * width, dtype=bool)
+        free[:width] = False  # slot 0 is the root
+        slot, base_of = np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
+        low = width
+        for i in sorted((i for i, (k, _) in enumerate(children) if len(k) > 1), key=lambda i: -len(children[i][0])):
+            keys, first = children[i]
+            low += int(free[low:].argmax())
+            at, span = low, int(keys[-1] - keys[0])
+            while True:
+                if at + 1024 + span > len(free):
+                    free = np.append(free, np.ones(1024 + span + width, dtype=bool))
+                fits = free[at:at + 1024].copy()
+                for k in (keys[1:] - keys[0]).tolist():
+                    fits &= free[at + k:at + k + 1024]
+                if fits.any():
+                    break
+                at += 1024
+            base_of[i] = at + int(fits.argmax()) - keys[0]
+            slot[first:first + len(keys)] = base_of[i] + keys
+            free[base_of[i] + keys] = False
+        # An only child goes anywhere.
+        single = [(i, first, int(k[0])) for i, (k, first) in enumerate(children) if len(k) == 1]
+        for (i, first, key), at in zip(single, np.flatnonzero(free).tolist()):
+            slot[first], base_of[i] = at, at - key
+        slots = len(free) + width
+        self.base, self.owner = np.zeros(slots, dtype=np.int64), np.full(slots, -1, dtype=np.int64)
+        self.piece, self.gain = np.full(slots, -1, dtype=np.int32), np.zeros(slots)
+        self.base[slot] = base_of
+        for i, (keys, first) in enumerate(children):
+            self.owner[slot[first:first + len(keys)]] = slot[i]
+            if hits[i] is not None:
+                self.piece[slot[i]], self.gain[slot[i]] = hits[i]
+
+    def search(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch, as ``whole`` finds them; longest stretches first."""
+        out, at = [], 0
+        while at < len(stretches):
+            n = max(1, CELLS // len(stretches[at]))
+            out += self._block(stretches[at:at + n])
+            at += n
+        return out
 
-    def __missing__(self, s: str) -> bytes:
-        out = self.older.get(s)
-        if out is None:
-            out = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
-        if len(s) <= KNOWN_CHARS:
-            if len(self) >= KNOWN:
-                self.older = dict(self)
-                self.clear()
-            self[s] = out
+    def _block(self, stretches: list[str]) -> list[bytes]:
+        lengths = np.array([len(s) for s in stretches])
+        n, longest = len(stretches), int(lengths[0])
+        starts = np.cumsum(lengths) - lengths
+        flat = self.class_of[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        # The first ``reach[i]`` stretches are longer than i characters.
+        reach = np.searchsorted(-lengths, -np.arange(longest + 1)).tolist()
+        chars = np.zeros((longest, n), dtype=np.int32)
+        for i in range(longest):
+            chars[i, :reach[i]] = flat[starts[:reach[i]] + i]
+        score = np.full((longest + 1, n), -inf)
+        score[0] = 0.0
+        size, by = np.zeros((longest + 1, n), dtype=np.int16), np.zeros((longest + 1, n), dtype=np.int32)
+        for i in range(longest):
+            here, c = score[i, :reach[i]], chars[i, :reach[i]]
+            found = here + self.alone_gain[c]
+            rows = np.flatnonzero(found > score[i + 1, :reach[i]])
+            score[i + 1, rows], size[i + 1, rows], by[i + 1, rows] = found[rows], 1, self.alone[c[rows]]
+            node = self.base[0] + c
+            rows = np.flatnonzero(self.owner[node] == 0)
+            node = node[rows]
+            for j in range(i + 1, longest):
+                # Where a stretch has ended the character is class 0, which leads nowhere.
+                below = self.base[node] + chars[j, rows]
+                on = self.owner[below] == node
+                rows, node = rows[on], below[on]
+                if not len(rows):
+                    break
+                piece = self.piece[node]
+                found = here[rows] + self.gain[node]
+                better = np.flatnonzero((piece >= 0) & (found > score[j + 1, rows]))
+                to = rows[better]
+                score[j + 1, to], size[j + 1, to], by[j + 1, to] = found[better], j + 1 - i, piece[better]
+        return self._ids(stretches, lengths, size, by)
+
+    def _ids(self, stretches: list[str], lengths: np.ndarray, size: np.ndarray, by: np.ndarray) -> list[bytes]:
+        """The best paths, followed from the ends."""
+        end, rows, steps = lengths.copy(), np.arange(len(stretches)), []
+        while len(rows):
+            at = end[rows]
+            steps.append((rows, by[at, rows]))
+            end[rows] = at - size[at, rows]
+            rows = rows[end[rows] > 0]
+        count = np.zeros(len(stretches), dtype=np.int64)
+        for rows, _ in steps:
+            count[rows] += 1
+        ends = np.cumsum(count)
+        ids, unknown = np.empty(int(ends[-1]), dtype="<i4"), np.zeros(len(stretches), dtype=bool)
+        for k, (rows, step) in enumerate(steps):
+            ids[ends[rows] - 1 - k] = step
+            unknown[rows[step == self.m.unk_id]] = True
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for r in np.flatnonzero(unknown).tolist() if self.m.bytes_ else ():
+            out[r] = array("i", self._spelt(stretches[r], array("i", out[r]))).tobytes()
         return out
 
+    def _spelt(self, text: str, ids: array) -> Iterator[int]:
+        """``ids`` of ``text``, unknown characters as their bytes."""
+        at = 0
+        for i in ids:
+            if i == self.m.unk_id:
+                yield from emit(self.m, i, text[at])
+                at += 1
+            else:
+                yield i
+                at += self.m.chars_of[i]
+
 
 class Encoder:
-    """Encodes texts, remembering short stretches."""
+    """Encodes texts, remembering the ids of short stretches.  A full table
+    becomes the older generation, from which stretches that are met again come
+    back: frequent words are never lost."""
 
     def __init__(self, m: Model):
         self.m = m
-        self.known = Known(m)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.lattice: Lattice | None = None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        text = normalise(self.m, text)
-        parts = self.m.stretches.findall(text) if self.m.stretches else ([text] if text else [])
-        return b"".join(map(self.known.__getitem__, parts))
+        parts = self._parts(normalise(self.m, text))
+        return b"".join(self._joined([parts[a:a + RUN]])[0] for a in range(0, len(parts), RUN))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, new short stretches of all searched side by side."""
+        return self._joined(self._parts(normalise(self.m, t)) for t in texts)
+
+    def _joined(self, lists: Iterable[list[str]]) -> list[bytes]:
+        """The ids of each list of stretches."""
+        made, gaps, known = [], [], self.known.get
+        for parts in lists:
+            ids = list(map(known, parts))
+            if None in ids:
+                gaps.append((ids, [(k, s) for k, (s, x) in enumerate(zip(parts, ids)) if x is None]))
+            made.append(ids)
+        found = self._found({s for _, gap in gaps for _, s in gap})
+        for ids, gap in gaps:
+            for k, s in gap:
+                ids[k] = found[s]
+        return [b"".join(ids) for ids in made]
+
+    def _found(self, stretches: set[str]) -> dict[str, bytes]:
+        """The ids of stretches that are not in the table."""
+        found = {s: x for s in stretches if (x := self.older.get(s)) is not None}
+        new = [s for s in stretches if s not in found and len(s) <= KNOWN_CHARS]
+        if len(new) >= FEW:
+            self.lattice = self.lattice or Lattice(self.m)
+            new.sort(key=len, reverse=True)
+            found.update(zip(new, self.lattice.search(new)))
+        for s in stretches:
+            if s not in found:
+                found[s] = array("i", viterbi(self.m, s) if len(s) > self.m.longest else whole(self.m, s)).tobytes()
+            if len(s) <= KNOWN_CHARS:
+                if len(self.known) >= KNOWN:
+                    self.older = dict(self.known)
+                    self.known.clear()
+                self.known[s] = found[s]
+        return found
+
+    def _parts(self, text: str) -> list[str]:
+        return self.m.stretches.findall(text) if self.m.stretches else ([text] if text else [])
 
 
 #: The encoder of the model last used in this process: tasks on one worker share what they remember.
@@ -321,7 +487,19 @@ def _columns(df: DataFrame, *made: T.StructField) -> tuple[list[str], T.StructTy
 
 
 def _encoded(enc: Encoder, part: pa.RecordBatch, text_col: str) -> list[bytes]:
-    return [enc.encode(t.as_py() or "") for t in part.column(part.schema.get_field_index(text_col))]
+    """The ids of the rows' texts, taken together up to ``TOGETHER`` characters."""
+    out, texts, chars = [], [], 0
+    for t in part.column(part.schema.get_field_index(text_col)):
+        t = t.as_py() or ""
+        if chars + len(t) > TOGETHER:
+            out += enc.encode_all(texts)
+            texts, chars = [], 0
+        if len(t) > TOGETHER:
+            out.append(enc.encode(t))
+            continue
+        texts.append(t)
+        chars += len(t)
+    return out + enc.encode_all(texts)
 
 
 def _id_lists(made: list[bytes]) -> pa.ListArray:
