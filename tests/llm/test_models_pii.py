@@ -11,6 +11,7 @@ from helpers import docs, rows
 from pyspark.sql import functions as F
 
 from vigil.llm import language, toxicity
+from vigil.llm import personal_data as personal
 from vigil.llm.personal_data import HEAD, KINDS, PIECE, TAIL, as_text, matches, personal_data
 
 SF = "/root/testdata/sf0.01"
@@ -267,6 +268,21 @@ def test_context_of_matches(spark):
         assert r.head == flat(t[r.end:])[:HEAD]
 
 
+def test_texts_are_scanned_once(spark, monkeypatch):
+    """Each pattern, also the one that cuts pieces, goes over a text once: no filter finds its matches anew."""
+    plans, cut = {}, personal.Scratch.cut
+
+    def noted(self, df, what, *folders):
+        plans[what] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut(self, df, what, *folders)
+
+    monkeypatch.setattr(personal.Scratch, "cut", noted)
+    texts = [f"please call on +49 30 {5550000 + i} today" for i in range(12)] + ["please call on 030 (555) 1234x today"]
+    assert check_base(spark, texts)[12].f == "phone:15:30"
+    assert plans["spans"].count("regexp_extract_all(") == len(personal.PATTERNS) + 1
+    assert plans["hits"].count(f"{{1,{PIECE}}}+") == 1
+
+
 def test_personal_data_odd_tables(spark):
     assert personal_data(docs(spark, [])).count() == 0
     got = rows(personal_data(docs(spark, ["a@b.cc", "a@b.cc", None], [1, 1, None])), "doc_id", "n_email")

@@ -66,16 +66,24 @@ def matches(keyed: DataFrame) -> DataFrame:
     pats = [*PATTERNS.items(), ("token", TOKEN)]
     none = F.array().cast("array<string>")
     text = F.col("_text")
+    # A text without a digit and an at sign has no match.  Later filters on the arrays would be pushed below them
+    # and find every match a second time: rows without any are dropped by ``explode_outer`` and its null rows.
+    keyed = keyed.where(reduce(lambda a, b: a | b, [text.contains(c) for c in "@0123456789"]))
     found = keyed.select("_k", "_text", *[
         F.when(_occurs(k, text), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"_m{i}") for i, (k, p) in enumerate(pats)])
-    found = found.where(reduce(lambda a, b: a | b, [F.size(f"_m{i}") > 0 for i in range(len(pats))]))
     cut = found.select("_k", *[f"_m{i}" for i in range(len(pats))], *[
         F.when(F.size(f"_m{i}") > 0, F.split(text, p, -1)).otherwise(none).alias(f"_g{i}") for i, (_, p) in enumerate(pats)])
     # Ends and starts of gaps and matches, as far as a context reaches.
+    # A gap may be nearly the whole text: only its end is read, unless white space runs on there.
     flat = lambda x: F.regexp_replace(x, r"\s+", " ")
     joined = lambda a, b: F.concat(a, b)
+
+    def edge(y: Column, side, size: int) -> Column:
+        near = side(y, F.lit(2 * size))
+        return side(F.when(near.rlike(r"\s\s"), flat(y)).otherwise(flat(near)), F.lit(size))
+
     cut = cut.select("*", *[
-        F.transform(f"_{x}{i}", lambda y: side(flat(y), F.lit(size))).alias(f"_{x}{name}{i}")
+        F.transform(f"_{x}{i}", lambda y: edge(y, side, size)).alias(f"_{x}{name}{i}")
         for i in range(len(pats)) for x in "mg" for name, side, size in (("tail", F.right, TAIL), ("head", F.left, HEAD))])
 
     def beside(i: int, j: Column) -> tuple[Column, Column]:
@@ -95,7 +103,7 @@ def matches(keyed: DataFrame) -> DataFrame:
         empty = F.array().cast("array<struct<kind: int, at: int, value: string, gap: int, tail: string, head: string>>")
         return F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.size(m) - 1), one)).otherwise(empty)
 
-    rows = cut.select("_k", F.explode(F.concat(*[parts(i) for i in range(len(pats))])).alias("x")).select("_k", "x.*")
+    rows = cut.select("_k", F.explode_outer(F.concat(*[parts(i) for i in range(len(pats))])).alias("x")).where("x is not null").select("_k", "x.*")
     # Running lengths within one document and pattern.
     upto = Window.partitionBy("_k", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.char_length("value")).over(upto)
@@ -207,54 +215,63 @@ def slots(keyed: DataFrame, rows: DataFrame, around: DataFrame, accepted: DataFr
     # A word can only begin a slot if its left context ends like a pattern's: the word before, or its own punctuation.
     # Those endings are known by bucket, a set that the number of patterns doesn't bound; the join below decides.
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS).cast("long"))
-    ends = [r["b"] for r in lefts.select(bucket(F.substring_index(F.expr("substr(left, 3)"), " ", -1)).alias("b")).distinct().collect()]
+    ending = F.substring_index(F.expr("substr(left, 3)"), " ", -1)
+    known_ends = lefts.select(bucket(ending).alias("b"), (~ending.rlike("[a-z0-9+@]")).alias("bare")).distinct().collect()
+    ends = sorted({r["b"] for r in known_ends})
     sign = lambda w: ~F.ascii(w).between(48, 57) & ~F.ascii(w).between(64, 90) & ~F.ascii(w).between(97, 122)
-    begins = lambda before, w: sign(w) | bucket(F.lower(F.right(before, F.lit(TAIL - 1)))).isin(ends)
+    # Punctuation has neither ASCII letters nor digits: without a bare ending, a word's own ends no left context.
+    begins = (lambda follows, w: sign(w) | follows) if any(r["bare"] for r in known_ends) else (lambda follows, w: follows)
     # Texts are cut into pieces of a few words: whatever looks at a word reads its piece alone, so the work is linear
     # in a text.  A piece carries the words that a context needs of its neighbours.
     most = widths[-1] + 1
     piece = rf"\s*+(?:\S++\s*+){{1,{max(PIECE, 2 * most)}}}+"
-    cut = keyed.select("_k", F.regexp_extract_all("_text", F.lit(piece), F.lit(0)).alias("_p")).where(F.size("_p") > 0)
+    # Filters on what is made here, also those that Spark adds below ``explode``, would cut every text a second time.
+    cut = keyed.where(F.col("_text").rlike(r"\S")).select("_k", F.regexp_extract_all("_text", F.lit(piece), F.lit(0)).alias("_p"))
     ends_at = _sums(F.transform("_p", lambda x: F.char_length(x).cast("bigint")))
     beside = F.arrays_zip(F.col("_p").alias("p"), ends_at.alias("e"), F.concat(F.array(F.lit("")), F.col("_p")).alias("b"),
                           F.slice("_p", F.lit(2), F.size("_p")).alias("f"))
-    cut = cut.select("_k", F.explode(beside).alias("x")).where("x.p is not null")
+    cut = cut.select("_k", F.explode_outer(beside).alias("x")).where("x.p is not null")
     behind = F.coalesce(F.regexp_extract("x.f", rf"^(?:\S++\s*+){{1,{most}}}+", 0), F.lit(""))
     # Only where white space runs on does the whole piece before have to be read.
     near, flat = F.right("x.b", F.lit(2 * TAIL)), lambda x: F.regexp_replace(x, r"\s+", " ")
     prior = F.split(F.trim(F.when(near.rlike(r"\s\s"), F.right(flat("x.b"), F.lit(2 * TAIL))).otherwise(flat(near))), " ")
-    cut = cut.select("_k", (F.col("x.e") - F.char_length("x.p")).alias("_o"), F.concat("x.p", behind).alias("_t"),
-                     F.regexp_extract_all("x.p", F.lit(r"\S++"), F.lit(0)).alias("_w"),
-                     F.coalesce(F.try_element_at(prior, F.lit(-2)), F.lit("")).alias("_b"), F.element_at(prior, -1).alias("_a"))
-    each = F.arrays_zip(F.col("_w").alias("w"), F.concat(F.array("_a"), "_w").alias("a"), F.concat(F.array("_b", "_a"), "_w").alias("b"))
-    words = cut.select("_k", "_o", "_t", F.posexplode(each).alias("j", "x")).where("x.w is not null")
-    words = words.where(begins(F.col("x.a"), F.col("x.w"))).select("_k", "_o", "_t", "j", "x.*")
-    lead = F.when(F.col("w").rlike(r"[\p{L}0-9+@]"), F.regexp_extract("w", r"^[^\p{L}0-9+@]*+", 0)).otherwise("")
-    words = words.withColumn("lead", F.when(sign(F.col("w")), lead).otherwise(""))
+    cut = cut.select("_k", (F.col("x.e") - F.char_length("x.p")).alias("_o"), F.col("x.p").alias("_p"), behind.alias("_n"), prior.alias("_c"))
+    of = lambda x: F.regexp_extract_all(x, F.lit(r"\S++"), F.lit(0))
+    cut = cut.select("_k", "_o", F.concat("_p", "_n").alias("_t"), of("_p").alias("_w"), of("_n").alias("_n"),
+                     F.array(F.coalesce(F.try_element_at("_c", F.lit(-2)), F.lit("")), F.element_at("_c", -1)).alias("_c"))
+    cut = cut.select("_k", "_o", "_t", F.size("_w").alias("_s"), F.concat("_w", "_n").alias("_w"), F.concat("_c", "_w").alias("_c"))
+    # Of most words nothing is kept: places are chosen before rows are made, each with the few words its slots may hold.
+    cut = cut.withColumn("_f", F.transform("_c", lambda x: bucket(F.lower(F.substr(x, F.lit(1 - TAIL), F.lit(TAIL - 1)))).isin(ends)))
+    places = F.filter(F.sequence(F.lit(0), F.col("_s") - 1), lambda j: begins(F.get("_f", j + 1), F.get("_w", j)))
+    words = cut.select("_k", "_o", "_t", F.explode_outer(F.transform(places, lambda j: F.struct(
+        j.alias("j"), F.get("_c", j).alias("b"), F.get("_c", j + 1).alias("a"), F.slice("_w", j + 1, F.lit(most)).alias("w")))).alias("x"))
+    words = words.where("x is not null").select("_k", "_o", "_t", "x.*")
+    first = F.get("w", F.lit(0))
+    lead = F.when(first.rlike(r"[\p{L}0-9+@]"), F.regexp_extract(first, r"^[^\p{L}0-9+@]*+", 0)).otherwise("")
+    words = words.withColumn("lead", F.when(sign(first), lead).otherwise(""))
     # The words that ``surroundings`` sees in a tail and a head.
     tail = F.trim(F.right(F.concat("b", F.lit(" "), "a", F.lit(" "), "lead"), F.lit(TAIL)))
     words = words.withColumn("tail", F.lower(tail))
     last, pair = F.substring_index("tail", " ", -1), F.substring_index("tail", " ", -2)
     words = words.withColumn("left", F.explode(F.array_compact(F.array(
         F.when(pair.contains(" "), F.concat(F.lit("2:"), pair)), F.when(last != "", F.concat(F.lit("1:"), last))))))
-    hits = words.join(checked_broadcast(lefts), "left").select("_k", "_o", "_t", "j", "lead", "left")
-    # Where the word begins, and what stands from there on.
-    front = F.coalesce(F.char_length(F.regexp_substr("_t", F.concat(F.lit(r"^\s*+(?:\S++\s++){"), F.col("j").cast("string"), F.lit("}")))), F.lit(0))
-    hits = hits.withColumn("_f", front)
-    hits = hits.select("_k", "lead", "left", (F.col("_o") + F.col("_f")).alias("at"), F.substr("_t", F.col("_f") + 1).alias("rest"))
-    hits = hits.withColumn("w", F.slice(F.split("rest", r"\s+", most + 1), F.lit(1), F.lit(most)))
+    hits = words.join(checked_broadcast(lefts), "left").select("_k", "_o", "_t", "j", "lead", "left", "w")
     hits = hits.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
     end_word = F.get("w", F.col("width") - 1)
     hits = hits.where(end_word != "")
     hits = hits.withColumn("trail", F.regexp_extract(end_word, r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", 0))
     follow = F.lower(F.when(F.col("trail") != "", F.left("trail", F.lit(HEAD))).otherwise(F.left(F.get("w", F.col("width")), F.lit(HEAD - 1))))
+    hits = hits.withColumn("pattern", F.when(F.col("left").startswith("2:"), F.col("left")).otherwise(F.concat("left", F.lit(" _ "), follow)))
+    hits = hits.join(checked_broadcast(marks.select("pattern", "width", F.col("kind").alias("of"), "conf", "n")), ["pattern", "width"])
+    # Where the word begins, and what stands from there on.
+    front = F.coalesce(F.char_length(F.regexp_substr("_t", F.concat(F.lit(r"^\s*+(?:\S++\s++){"), F.col("j").cast("string"), F.lit("}")))), F.lit(0))
+    hits = hits.withColumn("_f", front).withColumn("at", F.col("_o") + F.col("_f")).withColumn("rest", F.substr("_t", F.col("_f") + 1))
     value = F.array_join(F.slice("w", F.lit(1), F.col("width")), " ")
     reach = F.char_length(F.regexp_substr("rest", F.concat(F.lit(r"^\S++(?:\s++\S++){"), (F.col("width") - 1).cast("string"), F.lit("}"))))
     hits = hits.select(
-        "_k", "width", F.when(F.col("left").startswith("2:"), F.col("left")).otherwise(F.concat("left", F.lit(" _ "), follow)).alias("pattern"),
+        "_k", "pattern", "width", "of", "conf", "n",
         (F.col("at") + F.char_length("lead")).alias("start"), (F.col("at") + reach - F.char_length("trail")).alias("end"),
         F.lower(F.substr(value, F.char_length("lead") + 1, F.char_length(value) - F.char_length("lead") - F.char_length("trail"))).alias("instance"))
-    hits = hits.join(checked_broadcast(marks.select("pattern", "width", F.col("kind").alias("of"), "conf", "n")), ["pattern", "width"])
     base = rows.where(F.col("kind") < TOKEN_KIND).select("_k", "start", "end", "kind")
     hits = apart(hits.withColumn("kind", F.lit(TOKEN_KIND)).unionByName(base, allowMissingColumns=True)).where(F.col("kind") == TOKEN_KIND)
     hits = scratch.cut(hits.drop("kind").withColumnRenamed("of", "kind"), "hits")
